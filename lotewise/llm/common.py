@@ -15,8 +15,10 @@ holds it rather than once per document.
 from __future__ import annotations
 
 import math
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,9 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):  # workers import this package from where the driver did
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -229,3 +234,52 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
 def buckets(keys: np.ndarray, n: int) -> np.ndarray:
     """Bucket of each key: equal ranges of the key space, in key order."""
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+_FOLD = np.full(256, 32, np.uint8)
+_FOLD[97:123] = np.arange(97, 123)
+_FOLD[65:91] = np.arange(97, 123)
+_FOLD[128:] = np.arange(128, 256)
+
+
+def folded(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of lower-cased texts in which everything but letters of any script is a space.
+
+    Each text begins and ends with a space, so that n-grams see word ends. Bytes of characters
+    beyond ASCII count as letters.
+    """
+    data, off = string_buffers(pc.utf8_lower(col.cast(pa.large_string())))
+    n = len(off) - 1
+    out = np.full(len(data) + 2 * n, 32, np.uint8)
+    if len(data):
+        at = np.arange(len(data)) + np.repeat(2 * np.arange(n) + 1, np.diff(off))
+        out[at] = _FOLD[data]
+    return out, off + 2 * np.arange(n + 1)
+
+
+def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
+    """Mixed 64-bit hash of every run of n bytes (n up to 8)."""
+    size = len(data) - n + 1
+    if size <= 0:
+        return np.zeros(0, np.uint64)
+    h = data[:size].astype(np.uint64)
+    for i in range(1, n):
+        h <<= np.uint64(8)
+        h |= data[i : i + size]
+    h ^= np.uint64(n << 60)
+    return mix(h)
+
+
+def gram_docs(off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For texts at ``off``: first gram of each text and how many it has."""
+    return off[:-1], np.maximum(np.diff(off) - n + 1, 0)
+
+
+_FOLD_DIGITS = _FOLD.copy()
+_FOLD_DIGITS[48:58] = np.arange(48, 58)
+
+
+def byte_case_fold(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of lower-cased texts in which all but letters and digits is a space."""
+    data, off = string_buffers(pc.utf8_lower(col.cast(pa.large_string())))
+    return _FOLD_DIGITS[data], off

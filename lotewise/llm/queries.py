@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, warc
+from . import ann, bpe, decontaminate, langid, sharding, toxicity, warc
 from .common import prepare
 
 
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out_of_fold = langid.held_out(3, 1)
+    model = toxicity.train(docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where(~out_of_fold), "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", out_of_fold.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -30,10 +38,29 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    filters = langid.train(docs.where(~langid.held_out(4, 2)))
+    out = langid.predict(docs, filters)
+    return out.select("doc_id", langid.held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_hnsw": op7_hnsw,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_langid": op10_langid,
 }
 
 SQL: dict[str, str] = {
