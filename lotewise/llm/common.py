@@ -283,3 +283,18 @@ def byte_case_fold(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of lower-cased texts in which all but letters and digits is a space."""
     data, off = string_buffers(pc.utf8_lower(col.cast(pa.large_string())))
     return _FOLD_DIGITS[data], off
+
+
+def n_buckets(blocks: int) -> int:
+    """Ranges of the key space that a reducer takes one at a time: a power of two, 1024 at least."""
+    return 1 << max(10, (8 * blocks - 1).bit_length())
+
+
+def pack_low(keys: np.ndarray, width: int) -> bytes:
+    """``width`` bytes of each key after its first, which the bucket implies (there are 256 buckets or more)."""
+    return pack(keys << np.uint64(8), width)
+
+
+def unpack_low(blob: bytes, width: int, bucket: int, n: int) -> np.ndarray:
+    first = np.uint64((bucket << 8) // n) << np.uint64(56)
+    return (unpack(blob, width) >> np.uint64(8)) | first
