@@ -14,6 +14,7 @@ holds it rather than once per document.
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import uuid
@@ -298,3 +299,24 @@ def pack_low(keys: np.ndarray, width: int) -> bytes:
 def unpack_low(blob: bytes, width: int, bucket: int, n: int) -> np.ndarray:
     first = np.uint64((bucket << 8) // n) << np.uint64(56)
     return (unpack(blob, width) >> np.uint64(8)) | first
+
+
+def block_files(docs: DataFrame, columns: tuple[str, ...], blocks: int) -> DataFrame:
+    """``blocked`` as a table bucketed by block in the shared warehouse: later passes group it without a shuffle."""
+    spark = docs.sparkSession
+    name = f"lotewise_blocks_{uuid.uuid4().hex}"
+    blocked(docs, columns, blocks).repartition(blocks, "block").write.bucketBy(blocks, "block").format("parquet").saveAsTable(name)
+    release(spark)
+    return spark.table(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of plans that are no longer in use: it does so when the JVM finds them unreachable."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def parts_of(own: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) for runs of a sorted array."""
+    cut = np.append(runs(own), len(own))
+    return [(int(own[i]), int(i), int(j)) for i, j in zip(cut[:-1], cut[1:], strict=True)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, jaccard_join, langid, sharding, substring_dedup, toxicity, warc
+from . import ann, bpe, decontaminate, jaccard_join, katz, langid, sharding, substring_dedup, toxicity, warc
 from .common import prepare
 
 
@@ -50,6 +50,10 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_hnsw": op7_hnsw,
+    "op8_katz": op8_katz,
     "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
 }
