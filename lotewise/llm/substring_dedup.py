@@ -152,13 +152,14 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated spans taken out of ``text``; a text that loses nothing is unchanged, another is its kept words joined by spaces."""
-    columns = ("doc_id", *[c for c in docs.columns if c != "doc_id"])
+    names = docs.columns
+    columns = ("doc_id", *[c for c in names if c != "doc_id"])
 
     def build(t: pa.Table, counts: np.ndarray, removed: np.ndarray, gone: np.ndarray, ends: np.ndarray) -> pa.Table:
         texts = t.column("text").to_pylist()
         for i in np.flatnonzero(removed).tolist():
             texts[i] = b" ".join(kept_words(texts[i], gone[ends[i] - counts[i] : ends[i]])).decode("utf-8", "replace")
-        return t.set_column(t.column_names.index("text"), "text", pa.array(texts, pa.string())).select(docs.columns)
+        return t.set_column(t.column_names.index("text"), "text", pa.array(texts, pa.string())).select(names)
 
     return _apply(docs, columns, docs.schema, build, length)
 
