@@ -9,6 +9,7 @@ from html.entities import html5
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -71,7 +72,7 @@ def decode_text(s: str) -> str:
     return _ENTITY.sub(one, s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode(s: pd.Series) -> pd.Series:
     return s.map(decode_text, na_action="ignore")
 
@@ -83,9 +84,9 @@ def decode_entities(c: Column) -> Column:
 
 def html_to_text(c: Column) -> Column:
     """Readable text of HTML: line ends for breaks and blocks, dashes for list items, entities decoded."""
-    t = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</(p|div|li|ul|ol|tr|table|h[1-6]|section|article)>", "\n")
+    t = F.regexp_replace(c, r"(?is)<(script|style).*?</\1>", " ")
+    t = F.regexp_replace(t, r"(?i)<\s*br\s*/?>", "\n")
+    t = F.regexp_replace(t, r"(?i)</(p|li|div|h\d|tr|ul|ol|section|article)>", "\n")
     t = F.regexp_replace(t, r"(?i)<li[^>]*>", "- ")
     return clean_multiline(decode_entities(F.regexp_replace(t, r"<[^>]+>", " ")), decode=False)
 
@@ -110,7 +111,7 @@ def inline_plain(c: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def fix_upper_case(c: Column) -> Column:

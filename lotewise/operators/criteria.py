@@ -95,6 +95,6 @@ def listing(state: DataFrame, where: Column | None = None, order: str = "recente
 
 def health(rows: DataFrame, by: str) -> DataFrame:
     """Verdict on each source's scan: no rows, degraded (over half without price, or bad titles), or ok."""
-    bad = F.col("titulo").isNull() | (F.trim("titulo") == "") | ~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False))
+    bad = F.coalesce(F.col("titulo").rlike(r"(?i)&[a-z]+;|<\w+"), F.lit(False)) | ~F.coalesce(F.col("url").startswith("http"), F.lit(False))
     a = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("aluguel").isNull()).alias("sem_preco"), F.count_if(bad).alias("ruins"))
     return a.withColumn("veredito", F.when(F.col("n") == 0, "sem resultados").when((F.col("sem_preco") * 2 > F.col("n")) | (F.col("ruins") > 0), "degradado").otherwise("ok"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import stat_family
-from ..functions.text import half_up, normalize_bairro
+from ..functions.text import brl, half_up, normalize_bairro
 from .criteria import first_per_group
 
 
@@ -14,9 +14,9 @@ def market_stats(state: DataFrame) -> DataFrame:
     """(grupo, n, p25, mediana, p75, mediana_m2) of active listings, one of each duplicate group."""
     rows = first_per_group(state.where("ativo AND aluguel IS NOT NULL"), [F.col("ord")])
     rooms = F.when(F.col("quartos").isNull(), "?").when(F.col("quartos") >= 3, "3+").otherwise(F.col("quartos").cast("string"))
-    q = lambda c, p: half_up(F.percentile(c, p), 2)
+    q = lambda c, p: half_up(F.round(F.percentile(c, p), 8), 2)  # noqa: E731  interpolation noise must not decide a half
     m2 = F.when(F.col("area") > 5, F.col("aluguel") / F.col("area"))
-    return rows.groupBy(F.concat_ws(" · ", stat_family(F.col("tipo")), rooms).alias("grupo")).agg(F.count(F.lit(1)).alias("n"), q("aluguel", 0.25).alias("p25"), q("aluguel", 0.5).alias("mediana"), q("aluguel", 0.75).alias("p75"), half_up(F.percentile(m2, 0.5), 2).alias("mediana_m2"))
+    return rows.groupBy(F.concat(stat_family(F.col("tipo")), F.lit(" · "), rooms, F.lit(" quartos")).alias("grupo")).agg(F.count(F.lit(1)).alias("n"), q("aluguel", 0.25).alias("p25"), q("aluguel", 0.5).alias("mediana"), q("aluguel", 0.75).alias("p75"), q(m2, 0.5).alias("mediana_m2"))
 
 
 def summary(state: DataFrame) -> DataFrame:
@@ -54,10 +54,17 @@ def group_members(state: DataFrame) -> DataFrame:
     return state.where("grupo IS NOT NULL").select("chave", "grupo").join(m, "grupo").select("chave", F.filter("todos", lambda x: x["chave"] != F.col("chave")).alias("outros"))
 
 
-def facts(rooms: Column, baths: Column, parking: Column, area: Column) -> Column:
+def facts(rooms: Column, suites: Column, baths: Column, parking: Column, area: Column) -> Column:
     """Short facts of a card, unknown ones left out."""
-    many = lambda c, one, more: F.when(c > 0, F.concat_ws(" ", c.cast("string"), F.when(c == 1, one).otherwise(more)))
-    return F.array_compact(F.array(many(rooms, "quarto", "quartos"), many(baths, "banheiro", "banheiros"), many(parking, "vaga", "vagas"), F.when(area > 0, F.concat(half_up(area).cast("long").cast("string"), F.lit(" m²")))))
+    count = lambda c, one, more: F.concat(c.cast("string"), F.lit(" "), F.when(c == 1, one).otherwise(more))
+    size = F.concat(F.regexp_replace(F.regexp_replace(brl(area), r"^R\$ ", ""), ",00$", ""), F.lit(" m²"))
+    return F.array_compact(F.array(count(rooms, "quarto", "quartos"), F.when(suites > 0, count(suites, "suíte", "suítes")), count(baths, "banh.", "banh."), F.when(parking == 0, "sem vaga").otherwise(count(parking, "vaga", "vagas")), F.when(area != 0, size)))
+
+
+def tags(furnished: Column, pet: Column, guarantees: Column) -> Column:
+    """Labels of a card."""
+    lead = F.array_compact(F.array(F.when(furnished, "Mobiliado"), F.when(pet, "Aceita pet").when(~pet, "Sem pet")))
+    return F.concat(lead, F.coalesce(guarantees, F.array().cast("array<string>")))
 
 
 def compact(state: DataFrame, text: int = 700, notes: int = 400) -> DataFrame:

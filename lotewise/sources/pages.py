@@ -7,19 +7,20 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-_CHARSET = re.compile(rb"charset=[\"']?([\w-]+)", re.IGNORECASE)
-_LATIN = {"latin1", "iso-8859-1", "iso8859-1", "windows-1252", "cp1252", "ascii", "us-ascii"}
+_CHARSET = re.compile(rb"<meta[^>]+charset=[\"']?([\w-]+)", re.IGNORECASE)
+_LATIN = re.compile("iso-8859-1|latin-?1|windows-1252|cp1252")
 
 
 def decode_bytes(body: bytes, content_type: str | None) -> str:
     """Text of a page: charset of the header, else of a meta tag near the top; Latin-1 kinds are Windows-1252."""
     m = re.search(r"charset=[\"']?([\w-]+)", content_type or "", re.IGNORECASE)
     found = m[1] if m else (m2[1].decode() if (m2 := _CHARSET.search(body[:4096])) else "utf-8")
-    return body.decode("cp1252" if found.lower() in _LATIN else "utf-8", "replace")
+    return body.decode("cp1252" if _LATIN.search(found.lower()) else "utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_body(body: pd.Series, content_type: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else decode_bytes(b, t) for b, t in zip(body, content_type, strict=True)])
 
@@ -28,7 +29,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, html) of page files; .gz files are unpacked."""
     import gzip
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BinaryType())
     def unpack(body: pd.Series) -> pd.Series:
         return body.map(lambda b: gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b)
 
@@ -38,7 +39,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def looks_blocked(status: Column, html: Column) -> Column:
     """An anti-bot page: refused, with a challenge in its first 20 000 characters."""
-    return status.isin(403, 503) & F.substring(html, 1, 20000).rlike(r"(?i)captcha|cloudflare|access denied|attention required|just a moment|datadome|perimeterx")
+    return status.isin(403, 503) & F.substring(html, 1, 20000).rlike(r"(?i)Attention Required! \| Cloudflare|Just a moment\.\.\.|cf-chl-|captcha")
 
 
 def next_data(html: Column) -> Column:
