@@ -57,11 +57,12 @@ def pack(weights: dict[int, int], shards: int, slots: int) -> dict[int, int]:
 
 
 def rebalance(old: dict[int, int], weights: dict[int, int], shards: int) -> dict[int, int]:
-    """The next version of a map: the fewest bytes move that bring every shard to its fair share.
+    """The next version of a map: slots move until no two shards differ by more than the heaviest slot.
 
-    Shards beyond ``shards`` are emptied; then slots leave the heaviest shard for the lightest
-    while that narrows the gap. Slots that need not move stay.
+    Shards beyond ``shards`` are emptied; then slots leave the heaviest shard for the lightest.
+    Slots that need not move stay, so a new shard only takes slots.
     """
+    bound = max(weights.values(), default=0)
     new, load = dict(old), dict.fromkeys(range(shards), 0)
     homeless = []
     for slot, shard in old.items():
@@ -77,7 +78,7 @@ def rebalance(old: dict[int, int], weights: dict[int, int], shards: int) -> dict
         light = min(load, key=lambda s: (load[s], s))
         gap = load[heavy] - load[light]
         fit = [s for s, shard in new.items() if shard == heavy and 0 < weights.get(s, 0) < gap]
-        if not fit:
+        if gap <= bound or not fit:
             return new
         best = min(fit, key=lambda s: (abs(gap - 2 * weights[s]), s))
         new[best] = light
