@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Compressed input bytes aimed at in a block.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 3 << 20
 #: Text bytes worked on at once; a longer single text is one piece.
 PIECE_BYTES = 2 << 20
 #: Rows in an Arrow batch handed to Python; bounds a batch of ordinary texts.
@@ -180,11 +180,15 @@ def from_ipc(blobs: list[bytes]) -> pa.Table:
 
 
 def n_blocks(df: DataFrame) -> int:
-    """Blocks for ``df``: from the optimizer's size estimate, and as many as shuffle partitions at least."""
+    """Blocks for ``df``: from the optimizer's estimate of its size, and as many as cores at least.
+
+    Where there is no estimate (a plan that Spark cannot size), one block for each shuffle partition.
+    """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = size if size < 1 << 60 else 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BLOCK_BYTES))
+    if size >= 1 << 60:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, math.ceil(size / BLOCK_BYTES))
 
 
 def blocked(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), blocks: int | None = None) -> DataFrame:
