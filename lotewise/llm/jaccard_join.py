@@ -12,11 +12,13 @@ when their sets' Jaccard similarity is at least ``PERCENT``/100.
 3. A posting list is not paired with itself. Each group meets the list's pivot (its least member
    in the same or the next size band); pairs pass the size and position filters and are verified
    by their sets; components are formed. Members of a group meet its head in the same way.
-4. What a list still holds of different components is then paired in full: groups, filtered, expand
-   to their members and are verified, so no link between components is lost, while lists of
-   thousands of near copies cost one pair each.
+4. What a list still holds of different components is then paired in full: groups expand to their
+   members, pairs pass the size, position and signature filters and are verified, so no link
+   between components is lost, while lists of thousands of near copies cost about one pair each.
 
-The intersection of two sets needs only their shingles of frequency two or more.
+A signature is the parity of a set's hashes in ``BITS`` places: the places in which two signatures
+differ are at most as many as the shingles that only one set has. The intersection of two sets
+needs only their shingles of frequency two or more.
 
 Defined cases: null, empty or blank text has an empty set and is linked with nothing; fewer words
 than a shingle make the whole sequence the one shingle; equal rows are equal sets; a null id is
@@ -41,6 +43,7 @@ WORDS, PERCENT = 5, 80
 _SEND = "bucket int, block int, keys binary, counts binary"
 #: Bytes of a shingle sent for counting besides its bucket; a clash only makes one look more frequent.
 _WIDTH = 5
+BITS = 256
 
 
 def shingle_sets(table: pa.Table) -> list[np.ndarray]:
@@ -103,7 +106,7 @@ def prefix_size(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, node bigint, same bigint, prefix array<bigint>, at int, common binary"
+_SIGNED = "doc_id bigint, n_shingles bigint, node bigint, same bigint, prefix array<bigint>, at int, common binary, bits array<bigint>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -130,21 +133,21 @@ def signed(docs: DataFrame) -> DataFrame:
         for doc, own in zip(ids, shingle_sets(t), strict=True):
             size, p = len(own), prefix_size(len(own))
             if doc is None or not size or not len(known):
-                out.append((doc, size, None, None, None, None, None))
+                out.append((doc, size, None, None, None, None, None, None))
                 continue
             short_key = own >> np.uint64(16) << np.uint64(16)
             at = np.minimum(np.searchsorted(known, short_key), len(known) - 1)
             level = np.where(known[at] == short_key, levels[at], 0)
             alone = int((level == 0).sum())
             if alone >= p:
-                out.append((doc, size, None, None, None, None, None))
+                out.append((doc, size, None, None, None, None, None, None))
                 continue
             common = own[level > 0]
             order = np.lexsort((common, level[level > 0]))
             prefix = common[order][: p - alone].view(np.int64)
-            out.append((doc, size, short(own.tobytes()), short(prefix.tobytes() + size.to_bytes(8, "little")), prefix, alone, (common >> np.uint64(8) << np.uint64(8)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_shingles", "node", "same", "prefix", "at", "common"])
+            out.append((doc, size, short(own.tobytes()), short(prefix.tobytes() + size.to_bytes(8, "little")), prefix, alone, (common >> np.uint64(8) << np.uint64(8)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), np.packbits(np.bincount(own & np.uint64(BITS - 1), minlength=BITS) & 1).view(np.int64)))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_shingles", "node", "same", "prefix", "at", "common", "bits"])
 
     return blocks.groupBy("block").cogroup(frequencies(blocks, count).groupBy("block")).applyInArrow(sign, _SIGNED)
 
@@ -154,6 +157,17 @@ def _fits(a: str, b: str) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
 
 
+def _need(a: str, b: str) -> str:
+    """The least intersection that links sets of sizes a and b."""
+    return f"(({PERCENT} * ({a} + {b}) + {99 + PERCENT}) div {100 + PERCENT})"
+
+
+def _alike(a: str, b: str, bits: str, bits2: str) -> Column:
+    """Whether two sets' sizes and signatures allow a link."""
+    apart = " + ".join(f"bit_count({bits}[{i}] ^ {bits2}[{i}])" for i in range(BITS // 64))
+    return _fits(a, b) & F.expr(f"{apart} <= {a} + {b} - 2 * {_need(a, b)}")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets link."""
     left = sets.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("common").alias("ca"))
@@ -184,42 +198,41 @@ def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     s = stored(signed(docs), "signed")
     classes = stored(
-        s.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("same").alias("same"), F.first("prefix").alias("prefix"), F.first("at").alias("at"), F.first("common").alias("common")),
+        s.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", "same", "prefix", "at", "common", "bits")]),
         "classes",
     )
-    groups = classes.groupBy("same").agg(F.min("node").alias("head"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("at").alias("at"))
+    groups = classes.groupBy("same").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("at").alias("at"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    posts = groups.select("head", "n", "at", band.alias("band"), F.posexplode("prefix").alias("i", "token")).select("token", "head", "n", "band", (F.col("at") + F.col("i")).alias("place"))
-    crowded = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    posts = groups.select("same", "head", "members", "n", "at", band.alias("band"), F.posexplode("prefix").alias("i", "token")).select("token", "same", "head", "members", "n", "band", (F.col("at") + F.col("i")).alias("place"))
+    crowded = posts.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token")
     posts = stored(posts.join(crowded, "token", "left_semi"), "posts")
     sets = classes.select("node", "n_shingles", "common")
 
     # each group and the pivots of its lists; each class and its group's head
-    pivots = posts.groupBy("token", "band").agg(F.min("head").alias("pivot"), F.min_by("n", "head").alias("pn"))
-    near = posts.withColumn("pick", F.explode(F.expr("array(band, band - 1)"))).join(pivots.withColumnRenamed("band", "pick"), ["token", "pick"])
-    met = near.where(F.col("head") != F.col("pivot")).where(_fits("n", "pn")).groupBy(F.col("head").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    best = met.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    pivots = posts.groupBy("token", "band").agg(F.min("head").alias("pivot"))
+    near = posts.select("token", "head", F.explode(F.expr("array(band, band - 1)")).alias("band")).join(pivots, ["token", "band"])
+    met = near.where(F.col("head") != F.col("pivot")).groupBy("head", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = classes.select("node", F.col("n_shingles").alias("n"), "bits")
+    met = met.join(sizes.withColumnRenamed("node", "head"), "head").join(sizes.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "pivot").where(_alike("n", "n2", "bits", "bits2"))
+    best = met.groupBy(F.col("head").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b"))
     inside = classes.join(groups.select("same", "head"), "same").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     edges = stored(verified(best.unionByName(inside).distinct(), sets), "links")
     roots = stored(components(edges), "roots")
 
-    # what is left: members of one list in different components
+    # what is left: classes of one list in different components
     def rooted(r: DataFrame) -> DataFrame:
-        return classes.select("node", "same", "n_shingles").join(r, "node", "left").select("node", "same", F.coalesce("root", "node").alias("root"))
+        return classes.select("node", "same", "prefix", "at", "bits").join(r, "node", "left").select("node", "same", F.coalesce("root", "node").alias("root"), "prefix", "at", "bits")
 
     member = stored(rooted(roots), "members")
-    heads = groups.select("same", "head").join(member.groupBy("same").agg(F.min("root").alias("low"), F.max("root").alias("high")), "same")
-    p = posts.join(heads, "head").select("token", "head", "same", "n", "place", "low", "high")
-    mixed = p.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    p = p.join(mixed, "token", "left_semi")
-    q = p.select("token", *[F.col(c).alias(f"{c}2") for c in ("head", "same", "n", "place", "low", "high")])
-    # overlap still possible after this shingle, against the overlap that a link needs
-    room = F.expr("least(n - place, n2 - place2)")
-    need = F.expr(f"({PERCENT} * (n + n2) + {99 + PERCENT}) div {100 + PERCENT}")
-    between = p.join(q, "token").where(F.col("head") < F.col("head2")).where(_fits("n", "n2") & (room >= need)).where("NOT (low = high AND low2 = high2 AND low = low2)").select("same", "same2").distinct()
-    within = heads.where("low <> high").select("same", F.col("same").alias("same2"))
-    m1, m2 = member.select("same", F.col("node").alias("a"), F.col("root").alias("ra")), member.select(F.col("same").alias("same2"), F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = between.unionByName(within).join(m1, "same").join(m2, "same2").where("ra <> rb AND (same <> same2 OR a < b)").select("a", "b").distinct()
+    span = member.groupBy("same").agg(F.min("root").alias("l"), F.max("root").alias("h"))
+    mixed = posts.select("token", "same").join(span, "same").groupBy("token").agg(F.min("l").alias("l"), F.max("h").alias("h")).where("l <> h").select("token")
+    p = posts.join(mixed, "token", "left_semi").select("token", "same", "n", "place").join(member, "same").select("token", F.col("node").alias("a"), "n", "place", "root", "prefix", (F.col("place") - F.col("at")).cast("int").alias("i"), "bits")
+    q = p.select("token", F.col("a").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "place", "root", "prefix", "i", "bits")])
+    # the overlap that can follow from this shingle on, against what a link needs
+    room = F.expr(f"least(n - place, n2 - place2) >= {_need('n', 'n2')}")
+    # a pair comes from the first shingle that its prefixes share
+    lead = F.expr("NOT arrays_overlap(slice(prefix, 1, i), slice(prefix2, 1, i2))")
+    pairs = p.join(q, (p["token"] == q["token"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & room & _alike("n", "n2", "bits", "bits2") & lead).select("a", "b")
     more = stored(verified(pairs, sets), "links")
     if not more.isEmpty():
         roots = stored(components(edges.unionByName(more)), "roots")
