@@ -180,7 +180,7 @@ def from_ipc(blobs: list[bytes]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
 
 
-def n_blocks(df: DataFrame) -> int:
+def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks for ``df``: from the optimizer's estimate of its size, and as many as cores at least.
 
     Where there is no estimate (a plan that Spark cannot size), one block for each shuffle partition.
@@ -189,7 +189,7 @@ def n_blocks(df: DataFrame) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, math.ceil(size / BLOCK_BYTES))
+    return max(spark.sparkContext.defaultParallelism, math.ceil(size / block_bytes))
 
 
 def blocked(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), blocks: int | None = None) -> DataFrame:
