@@ -5,9 +5,9 @@ identity group, counterfactuals are made by swapping the group for others of its
 penalises the squared change of the score's logit between a text and its counterfactuals, so
 that neutral mentions of a group carry no weight of their own.
 
-Training is bounded: at most about ``sample`` labelled rows (chosen by a hash of the id), whose
-n-gram ids come to the driver as integers; the model is ``2**BITS`` weights, of which at most
-``FEATURES`` are not zero, and is broadcast. Scoring is one pass over whole texts, no shuffle.
+Training is bounded: at most about ``sample`` labelled rows (chosen by a hash of the id). Executors
+count their n-grams and keep at most ``FEATURES``; only these come to the driver, as integers. The
+model is ``2**BITS`` weights, of which as many are not zero, and is broadcast. Scoring is one pass over whole texts, no shuffle.
 
 Defined cases: null and empty texts get the bias's score; conflicting or repeated labels of one
 id count each; without labelled rows of both kinds every score is 0; extra columns are ignored.
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_grams, folded, pieces, string_buffers
+from .common import byte_grams, folded, pieces, stored, string_buffers
 
 BITS = 20
 SIZES = (5, 7)
 #: Labelled rows to learn from (about), and n-grams kept for their association with the label.
 SAMPLE, FEATURES = 8000, 6000
+#: Partitions that hold the sample, and ranges of n-gram ids.
+PARTS = 16
 #: Rows an n-gram must occur in to be kept; weights of the ridge and of the counterfactual penalty.
 LEAST, RIDGE, FAIR = 3, 3e-4, 1.0
 #: Score from which a text is rejected.
@@ -93,11 +95,19 @@ def _ids(texts: pa.Array) -> list[np.ndarray]:
 
 def train(labelled: DataFrame, sample: int = SAMPLE, fair: float = FAIR) -> Model:
     """A model from (doc_id, text, toxic) rows; rows without a label are left out."""
+    spark = labelled.sparkSession
     rows = labelled.where("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     n = rows.select("toxic").count()
     part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(n, 1))) + 1)
+    part = stored(part.repartition(PARTS), "labelled")  # bounded by ``sample``
+    count = part.agg(F.count_if(F.col("toxic") > 0).alias("pos"), F.count(F.lit(1)).alias("n")).first()
+    if not 0 < count["pos"] < count["n"]:
+        return Model(np.zeros(1 << BITS, np.float32), -50.0)
+    keep = associated(part, count["pos"], count["n"] - count["pos"])
+    shared = spark.sparkContext.broadcast(keep)  # FEATURES numbers at most
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(shared.value)
         for b in batches:
             texts = b.column("text").to_pylist()
             swaps = [(i, s) for i, t in enumerate(texts) for s in counterfactuals(t or "")]
@@ -105,23 +115,63 @@ def train(labelled: DataFrame, sample: int = SAMPLE, fair: float = FAIR) -> Mode
             other = _ids(pa.array([s for _, s in swaps], pa.string())) if swaps else []
             by: dict[int, list[bytes]] = {}
             for (i, _), ids in zip(swaps, other, strict=True):
-                by.setdefault(i, []).append(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([by.get(i, []) for i in range(len(own))], pa.list_(pa.binary()))], names=["doc_id", "toxic", "ids", "swaps"])
+                by.setdefault(i, []).append(_kept(ids, index))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([_kept(x, index) for x in own], pa.binary()), pa.array([by.get(i, []) for i in range(len(own))], pa.list_(pa.binary()))], names=["doc_id", "toxic", "ids", "swaps"])
 
-    got = part.mapInArrow(features, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, ids binary, swaps array<binary>").toPandas()  # bounded by ``sample``
+    got = part.mapInArrow(features, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, ids binary, swaps array<binary>").toPandas()  # at most ``sample`` rows of kept n-grams
     got = got.sort_values(["doc_id", "toxic"], kind="stable")
     y = got["toxic"].to_numpy(float)
-    return fit([np.frombuffer(x, np.int32) for x in got["ids"]], y, [[np.frombuffer(s, np.int32) for s in x] for x in got["swaps"]], fair)
+    return fit(keep, [np.frombuffer(x, np.int16) for x in got["ids"]], y, [[np.frombuffer(s, np.int16) for s in x] for x in got["swaps"]], fair)
+
+
+def _index(keep: np.ndarray) -> np.ndarray:
+    """The place of each n-gram id among those kept, -1 for the others."""
+    index = np.full(1 << BITS, -1, np.int16)
+    index[keep] = np.arange(len(keep))
+    return index
+
+
+def _kept(ids: np.ndarray, index: np.ndarray) -> bytes:
+    at = index[ids]
+    return at[at >= 0].tobytes()
+
+
+def associated(part: DataFrame, pos: int, neg: int) -> np.ndarray:
+    """The ids of the n-grams that go most with either label, ascending.
+
+    A task counts rows by n-gram id in arrays of ``2**BITS``, sent in ranges of ids; a range's sums
+    give the z of its n-grams, of which the largest are kept.
+    """
+    width = (1 << BITS) // PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 1 << BITS), np.int32)
+        for b in batches:
+            for ids, toxic in zip(_ids(b.column("text")), b.column("toxic").to_pylist(), strict=True):
+                sums[0, ids] += 1
+                if toxic > 0:
+                    sums[1, ids] += 1
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), *[pa.array([s[i * width : (i + 1) * width].tobytes() for i in range(PARTS)], pa.binary()) for s in sums]], names=["span", "total", "toxic"])
+
+    def rank(key: tuple, rows: pa.Table) -> pa.Table:
+        total, toxic = (sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in rows.column(c)) for c in ("total", "toxic"))
+        p, q = toxic / pos, (total - toxic) / neg
+        rate = np.maximum(total / (pos + neg), 1e-9)
+        z = np.abs(p - q) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / pos + 1 / neg))
+        at = np.flatnonzero((total >= LEAST) & (z > 2.0))
+        return pa.table({"id": pa.array(at + key[0].as_py() * width, pa.int32()), "z": pa.array(z[at])})
+
+    counted = part.mapInArrow(count, "span int, total binary, toxic binary").groupBy("span").applyInArrow(rank, "id int, z double")
+    return np.sort(np.array([r["id"] for r in counted.orderBy(F.desc("z"), "id").limit(FEATURES).collect()], np.int64))
 
 
 class _Rows:
     """A sparse 0/1 matrix by rows."""
 
-    def __init__(self, rows: list[np.ndarray], index: np.ndarray):
-        rows = [index[r] for r in rows]
-        rows = [r[r >= 0] for r in rows]
+    def __init__(self, rows: list[np.ndarray]):
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.col = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
         self.n = len(rows)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -131,27 +181,14 @@ class _Rows:
         return np.bincount(self.col, g[self.row], m)
 
 
-def fit(ids: list[np.ndarray], y: np.ndarray, swaps: list[list[np.ndarray]], fair: float, steps: int = 250) -> Model:
+def fit(keep: np.ndarray, ids: list[np.ndarray], y: np.ndarray, swaps: list[list[np.ndarray]], fair: float, steps: int = 250) -> Model:
+    """The model over the n-grams ``keep``; rows and their counterfactuals name them by place."""
     weights = np.zeros(1 << BITS, np.float32)
-    if not len(y) or y.min() == y.max():
-        return Model(weights, -50.0)
     y = (y > 0).astype(float)
-    pos, neg = max(y.sum(), 1.0), max((1 - y).sum(), 1.0)
-    everything = np.concatenate(ids)
-    label = np.repeat(y, [len(x) for x in ids])
-    total = np.bincount(everything, minlength=1 << BITS)
-    toxic = np.bincount(everything, label, 1 << BITS)
-    p, q = toxic / pos, (total - toxic) / neg
-    rate = np.maximum(total / len(y), 1e-9)
-    z = np.abs(p - q) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / pos + 1 / neg))
-    z[total < LEAST] = 0
-    keep = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    keep = keep[z[keep] > 2.0]
-    index = np.full(1 << BITS, -1, np.int64)
-    index[keep] = np.arange(len(keep))
-    x, m = _Rows(ids, index), len(keep)
+    pos, neg = y.sum(), (1 - y).sum()
+    x, m = _Rows(ids), len(keep)
     pairs = [(i, s) for i, many in enumerate(swaps) for s in many]
-    a, b = _Rows([ids[i] for i, _ in pairs], index), _Rows([s for _, s in pairs], index)
+    a, b = _Rows([ids[i] for i, _ in pairs]), _Rows([s for _, s in pairs])
     # Adam on the mean loss; both kinds weigh alike
     w, bias = np.zeros(m), 0.0
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
