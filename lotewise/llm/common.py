@@ -33,6 +33,8 @@ BLOCK_BYTES = 3 << 20
 PIECE_BYTES = 2 << 20
 #: Rows in an Arrow batch handed to Python; bounds a batch of ordinary texts.
 BATCH_ROWS = 2000
+#: Has workers give large arrays back to the system when they are freed, so that idle ones stay small.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -52,6 +54,8 @@ def prepare(spark: SparkSession) -> None:
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):  # workers import this package from where the driver did
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
