@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 #: The pieces of a text, as byte-level vocabularies define them (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers before it starts anew.
-MEMO = 800_000
+MEMO = 300_000
 #: Text characters encoded together.
-TOGETHER = 16 << 20
+TOGETHER = 2 << 20
 
 _codecs: dict[str, Codec] = {}
 
