@@ -7,9 +7,10 @@ pair of line ends that closes a record, so executors write wherever Spark can. T
 whole binary files, cut by Content-Length. ``assemble`` joins the three kinds of record through
 their concurrent-to identifiers into one nested row a capture.
 
-Deciding revisits takes one small row for each distinct payload (summed before the shuffle); the
-join with it is on the payload's digest and Spark splits a hot digest's side. No group of equal
-payloads is gathered.
+Deciding revisits takes one small row for each repeated payload (summed before the shuffle), stored;
+the join with it is on the payload's digest. Spark broadcasts that table where its size is below
+Spark's limit; beyond it, pages are sorted and joined and Spark splits a hot digest's side. No group
+of equal payloads is gathered.
 
 Defined cases: null html is an empty payload; payloads below ``SMALL`` bytes are always responses;
 of repeated rows with one id, one is the response and the rest revisit it; a null id orders last
@@ -24,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
@@ -32,9 +33,9 @@ from .common import shared_dir, stored
 #: Payloads with fewer bytes are never revisits.
 SMALL = 100
 #: Records in one archive file: bounds what a reader holds.
-FILE_RECORDS = 6000
+FILE_RECORDS = 3000
 #: Payload bytes that a reader hands over at once.
-YIELD_BYTES = 8 << 20
+YIELD_BYTES = 2 << 20
 _END = "\r\n"
 
 _RECORD = "record_id string, kind string, concurrent_to string, refers_to string, target_uri string, warc_date string, declared_digest string, fields map<string,string>, payload binary, payload_bytes bigint, payload_digest string"
@@ -56,16 +57,20 @@ def decide(pages: DataFrame) -> DataFrame:
     """Pages with payload, digest, capture kind and the record ids of capture and original."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
-    key = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"))
+    key = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("url").isNull().alias("bare"), F.col("url").alias("url"))
     large = rows.where(F.col("n_bytes") >= SMALL)
-    firsts = large.groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(firsts, "digest", "left").withColumn("lead", (F.col("n_bytes") >= SMALL) & F.col("n").isNotNull() & (key == F.col("first")))
-    # rows equal in id, url and payload tie: only these few are numbered
-    tied = large.groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("same")).where("same > 1").select("digest").distinct().withColumn("ties", F.lit(True))
-    joined = joined.join(tied, "digest", "left")
-    plain = joined.where("ties IS NULL OR NOT lead")
-    among = joined.where("ties AND lead").withColumn("lead", F.row_number().over(Window.partitionBy("digest").orderBy("url")) == 1)
-    both = plain.unionByName(among)
+    equal = large.groupBy("digest", key.alias("key")).agg(F.count(F.lit(1)).alias("same"))
+    # stored, so that its size is known: Spark broadcasts it below its own limit and else sorts and joins
+    firsts = stored(equal.groupBy("digest").agg(F.min(F.struct("key", "same")).alias("first"), F.sum("same").alias("n")).where("n > 1").select("digest", "n", "first.key", "first.same"), "warc-firsts")
+    joined = rows.join(firsts, "digest", "left").withColumn("lead", F.coalesce(key == F.col("key"), F.lit(False)) & (F.col("n_bytes") >= SMALL))
+    both = joined.where("NOT lead OR same = 1").drop("key", "same")
+    if not firsts.where("same > 1").isEmpty():
+        # rows equal in id, url and payload tie: the payload stays with one, the others are made from their number
+        tied = firsts.where("same > 1")
+        one = rows.join(tied.select("digest", "key"), "digest").where(key == F.col("key")).groupBy("digest", "page_id", "url").agg(F.first("html").alias("html"), F.first("n_bytes").alias("n_bytes"))
+        one = one.join(tied.select("digest", "n"), "digest").withColumn("lead", F.lit(True))
+        rest = tied.select("digest", F.col("key.id").alias("page_id"), F.col("key.url").alias("url"), F.lit("").alias("html"), F.lit(SMALL).cast("long").alias("n_bytes"), "n", F.lit(False).alias("lead"), F.explode(F.sequence(F.lit(2), F.col("same"))).alias("copy")).drop("copy")
+        both = both.unionByName(one).unionByName(rest)
     revisit = F.col("n").isNotNull() & ~F.col("lead") & (F.col("n_bytes") >= SMALL)
     named = F.concat(F.lit("<urn:sha256:"), F.col("digest"), F.lit(">"))
     return both.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, named).alias("original"), F.when(F.col("lead"), named).otherwise(F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))).alias("rid"), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("request_id"), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("metadata_id"))
@@ -103,8 +108,11 @@ def cut_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4 + size
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under ``path``: headers, warc-fields, and the HTTP payload with its digest."""
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of the archives under ``path``: headers, warc-fields, and the HTTP payload with its digest.
+
+    Without ``payloads`` their sizes and digests are still taken from them, but they stay with the reader (null).
+    """
     kinds = "record_id kind concurrent_to refers_to target_uri warc_date declared_digest".split()
     names = [*kinds, "fields", "payload", "payload_bytes", "payload_digest"]
     types = [pa.string()] * 7 + [pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string()]
@@ -122,7 +130,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     elif head.get("content-type") == "application/warc-fields":
                         fields = {k.strip(): v.strip() for k, s, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")) if s}
-                    rows.append((head.get("warc-record-id"), kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-payload-digest"), list(fields.items()), payload, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest()))
+                    rows.append((head.get("warc-record-id"), kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-payload-digest"), list(fields.items()), payload if payloads else None, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest()))
                     size += len(block)
                     if size > YIELD_BYTES:
                         yield batch(rows)
@@ -155,4 +163,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write(pages, path)
-    return resolve(stored(assemble(stored(read(spark, path).drop("payload"), "warc-records")), "warc-captures"))
+    return resolve(stored(assemble(stored(read(spark, path, payloads=False).drop("payload"), "warc-records")), "warc-captures"))
