@@ -280,7 +280,7 @@ def parse_money(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, concat('(14) 9', lpad(concat('', c_custkey % 10000), 4, '0'), '-', lpad(concat('', c_custkey % 9973), 4, '0')) AS telefone, concat('55149', lpad(concat('', c_custkey % 10000), 4, '0'), lpad(concat('', c_custkey % 9973), 4, '0')) AS whatsapp FROM customer")
 def parse_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.concat(F.lit("+55 014 9"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" "), F.lpad((F.col("c_custkey") % 9973).cast("string"), 4, "0"))
-    raw = F.regexp_replace(d, "014", "14")
+    raw = F.regexp_replace(d, r"^\+55 014", "+55 14")  # the area code alone, not digits of the number
     c = text.make_contact("corretor", F.col("c_name"), raw)
     return table(spark, sf_dir, "customer").select("c_custkey", c["telefone"].alias("telefone"), c["whatsapp"].alias("whatsapp"))
 
