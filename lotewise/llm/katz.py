@@ -3,15 +3,16 @@
 Tokens are lower-cased words and one end for each document. Counts are Good-Turing discounted up to
 ``K``; the mass so freed at the word level is one unknown word's, the mass freed in a history is
 spread over the words not seen after it in proportion to their word-level probability, with
-backoff weights that normalise exactly. Pairs are kept when both words have ``LEAST`` training
-occurrences or more (every word keeps its own count, whatever it is).
+backoff weights that normalise exactly. Every training pair is kept (``LEAST`` = 1: both words
+occur in training), and the counts of counts are taken over all of them.
 
 The tables (words, pairs, backoff weights) are partitioned by key hash; no task or driver holds
 one whole. Keys travel in ascending order as differences, cut into planes of bytes of which the
 highest are nearly all zero and compress. Documents stay in blocks. A block sends each distinct key once, with its count, and
 gets back global values for the keys that other blocks have too; what only it has it knows. So a
-word or pair that a third of all tokens are crosses the network once a block. A pair adds to its
-history's sums in the lowest block that has it. Three such exchanges give words, pairs and
+word or pair that a third of all tokens are crosses the network once a block. A pair with a word that
+no other block has is not sent, only its share of the counts of counts; nor are such a word's sums. A
+pair adds to its history's sums in the lowest block that has it. Three such exchanges give words, pairs and
 weights; the last pass evaluates the recursion for every token.
 
 Defined cases: null and blank texts are one end token; rows with a null id are learnt from; without
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Words, block_files, block_table, buckets, mix, n_blocks, n_buckets, parts_of, pieces, release, runs, stored, string_buffers
 from .langid import held_out
 
-K, LEAST = 5, 5
+K, LEAST = 5, 1
 #: Compressed input bytes aimed at in a block: its tokens take some 25 arrays at once.
 BLOCK_BYTES = 5 << 19
 END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
@@ -131,8 +132,8 @@ class Tokens:
     def at_start(self) -> int:
         return int(np.searchsorted(self.words, START))
 
-    def pairs(self, counts: np.ndarray) -> None:
-        """Keep the pairs whose words have the least count (START counts as frequent)."""
+    def pairs(self, counts: np.ndarray, shared: np.ndarray) -> None:
+        """Keep the pairs whose words have the least count (START has it); ``shared`` says which words other blocks have."""
         often = counts >= LEAST
         often[self.at_start()] = True
         self.after = np.flatnonzero(often[self.at_prev])  # tokens whose history has a table
@@ -143,18 +144,26 @@ class Tokens:
         self.pair_at = self.pair_at.astype(np.int32)
         self.pair_own = np.bincount(self.pair_at, self.train[self.kept], len(self.pair_keys)).astype(np.int64)
         self.pair_word, self.pair_prev = self.at[self.kept][first], self.at_prev[self.kept][first]
+        self.pair_shared = shared[self.pair_word] & shared[self.pair_prev]
 
 
-def spread(keys: np.ndarray, own: np.ndarray, back: pa.Table, kind: int, n: int) -> np.ndarray:
-    """Values of a block's keys: what came back for them, else their own."""
-    out = own.copy()
+def spread(keys: np.ndarray, own: np.ndarray, back: pa.Table, kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a block's keys, what came back for them or else their own; and which came back."""
+    out, found = own.copy(), np.zeros(len(keys), bool)
     parts = sorted((b, k, v) for b, t, k, v in zip(*[back.column(c).to_pylist() for c in ("bucket", "kind", "keys", "vals")], strict=True) if t == kind)
     if parts and len(keys):
         got = np.concatenate([unpack_sorted(k, b, n) for b, k, _ in parts])
         vals = np.concatenate([widen(v, len(k) // 7, kind) for _, k, v in parts])
         at = np.minimum(np.searchsorted(got, keys), len(got) - 1)
-        out = np.where(got[at] == keys, vals[at], out)
-    return out
+        found = got[at] == keys
+        out = np.where(found, vals[at], out)
+    return out, found
+
+
+def count_counts(total: np.ndarray) -> list[int]:
+    """Keys seen 1 to K+1 times, all occurrences, all keys seen."""
+    seen = total[total > 0]
+    return [*np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(seen.sum()), len(seen)]
 
 
 def _counted(kind: int, n: int) -> Callable:
@@ -172,8 +181,7 @@ def _counted(kind: int, n: int) -> Callable:
         begin = runs(k)
         size = np.diff(np.append(begin, len(k)))
         total = np.add.reduceat(v, begin)
-        seen = total[total > 0]
-        stats = [*np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(seen.sum()), len(seen)]
+        stats = [sum(x) for x in zip(count_counts(total), *[x for x in rows.column("stats").to_pylist() if x], strict=True)]
         first = np.zeros(len(k), np.int64)
         first[begin] = 1
         shared = np.repeat(size > 1, size)
@@ -256,15 +264,18 @@ def score(docs: DataFrame, parts: int = 10, rest: int = 0) -> DataFrame:
         t = tokens(rows)
         return _table(_rows(buckets(t.words, n), key[0].as_py(), WORD, t.words, t.own))
 
-    def counts_of(t: Tokens, back: pa.Table) -> np.ndarray:
-        return spread(t.words, t.own * 2 + 1, back, WORD, n) >> 1
+    def counts_of(t: Tokens, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        got, shared = spread(t.words, t.own * 2 + 1, back, WORD, n)
+        return got >> 1, shared
 
     def send_pairs(key: tuple, rows: pa.Table, back: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return none
         t = tokens(rows)
-        t.pairs(counts_of(t, back))
-        return _table(_rows(buckets(t.pair_keys, n), key[0].as_py(), PAIR, t.pair_keys, t.pair_own))
+        t.pairs(*counts_of(t, back))
+        block, keys = key[0].as_py(), t.pair_keys[t.pair_shared]
+        alone = (block % n, block, PAIR, b"", narrow(np.zeros(0, np.int64)), count_counts(t.pair_own[~t.pair_shared]))
+        return _table([*_rows(buckets(keys, n), block, PAIR, keys, t.pair_own[t.pair_shared]), alone])
 
     def gather(rows: DataFrame, what: int) -> tuple[DataFrame, list[int]]:
         got = stored(rows.groupBy("bucket").applyInArrow(_counted(what, n), _ROW), "katz")
@@ -276,23 +287,26 @@ def score(docs: DataFrame, parts: int = 10, rest: int = 0) -> DataFrame:
     pairs, pair_stats = gather(blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(send_pairs, _ROW), PAIR)
     model = Model(word_stats, pair_stats)
 
-    def known(rows: pa.Table, back: pa.Table) -> tuple[Tokens, np.ndarray, np.ndarray]:
-        t = tokens(rows)
-        c = counts_of(t, back)
-        t.pairs(c)
-        return t, c, spread(t.pair_keys, t.pair_own * 2 + 1, back, PAIR, n)
-
-    def send_sums(key: tuple, rows: pa.Table, back: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return none
-        t, c, pc2 = known(rows, back)
+    def known(t: Tokens, back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the block's words, which of them other blocks have, counts of its pairs, and what these add to their histories' sums."""
+        c, shared = counts_of(t, back)
+        t.pairs(c, shared)
+        pc2, _ = spread(t.pair_keys, t.pair_own * 2 + 1, back, PAIR, n)
         mine = ((pc2 & 1) == 1) & (pc2 > 1)
         h, w = t.pair_prev[mine], t.pair_word[mine]
         sums = np.zeros((len(t.words), 2))
         sums[:, 0] = np.bincount(h, model.pair(pc2[mine] >> 1), len(t.words))
         sums[:, 1] = np.bincount(h, model.word(c[w]), len(t.words))
+        return c, shared, pc2 >> 1, sums.view(np.complex128).reshape(-1)
+
+    def send_sums(key: tuple, rows: pa.Table, back: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return none
+        t = tokens(rows)
+        _, shared, _, sums = known(t, back)
         used = np.unique(t.at_prev[t.after])
-        return _table(_rows(buckets(t.words[used], n), key[0].as_py(), WEIGHT, t.words[used], sums[used].view(np.complex128).reshape(-1)))
+        used = used[shared[used]]
+        return _table(_rows(buckets(t.words[used], n), key[0].as_py(), WEIGHT, t.words[used], sums[used]))
 
     def add_sums(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -315,10 +329,8 @@ def score(docs: DataFrame, parts: int = 10, rest: int = 0) -> DataFrame:
     def final(rows: pa.Table, back: pa.Table) -> pa.Table:
         table = block_table(rows)
         t = Tokens(table, parts, rest)
-        c = counts_of(t, back)
-        t.pairs(c)
-        pair_count = spread(t.pair_keys, t.pair_own * 2 + 1, back, PAIR, n) >> 1
-        got = spread(t.words, np.zeros(len(t.words), np.complex128), back, WEIGHT, n)
+        c, _, pair_count, sums = known(t, back)
+        got, _ = spread(t.words, sums, back, WEIGHT, n)
         seen_after = c.copy()
         seen_after[t.at_start()] = starts
         factor, alpha = weights(model, seen_after, got.real, got.imag)

@@ -220,6 +220,41 @@ def test_katz(docs, corpus):
     assert katz.score(docs.limit(0)).count() == 0
 
 
+def test_katz_keeps_every_pair(spark):
+    """Pairs of rare words against an unpruned brute force; most words are in one block, some in all."""
+    rng = np.random.default_rng(8)
+    texts = [f"only{i} met only{i}b near {words(rng, 30, 40)} twice seen rare{i // 2} pair{i // 2}" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in katz.score(rows).collect()}
+    toks = [[*t.split(), "</s>"] for t in texts]
+    train = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t)
+    pairs = Counter(x for t in train for x in zip(["<s>", *t], t, strict=False))
+    after = Counter(h for t in train for h in ["<s>", *t[:-1]]) + Counter({"</s>": len(train)})
+    n = sum(c.values())
+    d1, d2 = (katz.discounts([sum(x == r for x in t.values()) for r in range(1, katz.K + 2)]) for t in (c, pairs))
+    cut = lambda d, x: x * (d[x] if x <= katz.K else 1)
+    unknown = 1 - sum(cut(d1, x) for x in c.values()) / n
+    one = lambda w: cut(d1, c[w]) / n if c[w] else unknown
+    seen = {}
+    for (h, w), x in pairs.items():
+        a, b = seen.get(h, (0, 0))
+        seen[h] = (a + cut(d2, x), b + one(w))
+
+    def p(h, w):
+        if not after[h]:
+            return one(w)
+        a, b = seen.get(h, (0, 0))
+        left, f = 1 - a / after[h], 1.0
+        if left < 1e-12:
+            left, f = 1 / (after[h] + 1), after[h] / (after[h] + 1)
+        return f * cut(d2, pairs[h, w]) / after[h] if pairs[h, w] else left / (1 - b) * one(w)
+
+    assert max(c[w] for i in range(60) for w in (f"only{i}", f"rare{i}")) < 5
+    for i, t in enumerate(toks):
+        assert abs(got[i].score - sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False))) < 1e-6
+
+
 def test_decontaminate(docs, corpus, spark):
     rng = np.random.default_rng(9)
     item = [f"rare{i}" for i in range(30)]
