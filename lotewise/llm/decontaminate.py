@@ -1,14 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. A benchmark item's seeds are its word trigrams
-that chance would hardly ever make: the product of the corpus frequencies of their words, counted
-over all documents, is below ``RARE`` occurrences a document. (The frequency of the trigram
-itself is no measure, for a widely leaked item would hide itself.) An item without rare trigrams
-keeps its ``FALLBACK`` rarest. Where a document has a seed, the surrounding passage is aligned
-with the item word by word; the score is the best local alignment's share of a perfect one.
+Words are lower-cased runs of letters and digits. All word trigrams of a benchmark item are its
+seeds, however common. Where a document has a seed, the surrounding passage is aligned with the
+item word by word; the score is the best local alignment's share of a perfect one. Passages with
+too few of the item's words to reach ``THRESHOLD`` by any alignment are not aligned, which loses none.
 
 The benchmark is broadcast in chunks of at most ``CHUNK_WORDS`` words, one pass over the documents
-for each chunk. Documents are never shuffled; counting sends one row a benchmark word and batch.
+for each chunk. Documents are never shuffled.
 
 Defined cases: items below ``LEAST_WORDS`` words, or null, are not searched for; null and empty
 documents leak nothing; one row for each leaking document row and item, so repeated rows give
@@ -23,12 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import Words, byte_case_fold, pieces, string_buffers
 
 SEED = 3
-RARE, FALLBACK = 2e-6, 6
 LEAST_WORDS = 5
 #: Share of a perfect alignment's score from which a passage counts as a copy.
 THRESHOLD = 0.5
@@ -45,23 +41,18 @@ def _words(col: pa.Array) -> Words:
 class Items:
     """Benchmark items ready to search for."""
 
-    def __init__(self, ids: list, texts: list[str], frequency: dict[int, float], per_doc: float):
+    def __init__(self, ids: list, texts: list[str]):
         w = _words(pa.array(texts, pa.string()))
         self.ids, self.words = ids, [w.hash[i:j] for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
         keys, owner, place = [], [], []
         grams = w.windows(SEED)
-        rate = np.array([frequency.get(int(h), 0.0) for h in w.hash.view(np.int64)])
+        self.kinds = [np.unique(x, return_counts=True) for x in self.words]
         for n, (i, j) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
             if j - i < LEAST_WORDS:
                 continue
-            at = np.arange(i, j - SEED + 1)
-            chance = per_doc * rate[at] * rate[at + 1] * rate[at + 2]
-            good = at[chance <= RARE]
-            if not len(good):
-                good = at[np.argsort(chance, kind="stable")[:FALLBACK]]
-            keys.append(grams[good])
-            owner.append(np.full(len(good), n))
-            place.append(good - i)
+            keys.append(grams[i : j - SEED + 1])
+            owner.append(np.full(j - i - SEED + 1, n))
+            place.append(np.arange(j - i - SEED + 1))
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
@@ -87,32 +78,39 @@ class Items:
         row = np.searchsorted(w.first, pos, "right") - 1
         ok = w.first[row + 1] >= pos + SEED
         pos, seed, row = pos[ok], seed[ok], row[ok]
+        if not len(pos):
+            return []
         item, begin = self.owner[seed], pos - self.place[seed]
-        out = []
         order = np.lexsort((begin, item, row))
         row, item, begin = row[order], item[order], begin[order]
-        cut = np.flatnonzero((row[1:] != row[:-1]) | (item[1:] != item[:-1])) + 1
-        for i, j in zip([0, *cut], [*cut, len(row)], strict=True):
-            if i == j:
+        size = np.array([len(x) for x in self.words])[item]
+        slack = (size * SLACK).astype(np.int64) + 2
+        other = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        # seeds on near diagonals share a passage
+        p = np.flatnonzero(np.concatenate(([True], other | (np.diff(begin) > slack[1:]))))
+        q = np.append(p[1:], len(row)) - 1
+        seeds = np.diff(np.append(np.flatnonzero(np.concatenate(([True], other))), len(row)))
+        group = np.cumsum(np.concatenate(([0], other)))[p]
+        left, right = np.maximum(w.first[row[p]], begin[p] - slack[p]), np.minimum(w.first[row[p] + 1], begin[q] + (size + slack)[p])
+        best: dict[int, tuple[float, int, int, int, int]] = {}
+        for r, k, u, i, j in zip(row[p].tolist(), item[p].tolist(), group.tolist(), left.tolist(), right.tolist(), strict=True):
+            passage = w.hash[i:j]
+            if not self.may(passage, k):
                 continue
-            r, k = int(row[i]), int(item[i])
-            own = self.words[k]
-            slack = int(len(own) * SLACK) + 2
-            best = (0.0, 0, 0)
-            p = i
-            while p < j:  # seeds on near diagonals share a passage
-                q = p
-                while q + 1 < j and begin[q + 1] - begin[q] <= slack:
-                    q += 1
-                left = max(w.first[r], begin[p] - slack)
-                right = min(w.first[r + 1], begin[q] + len(own) + slack)
-                s, a, b = align(w.hash[left:right], own)
-                if s > best[0]:
-                    best = (s, left - w.first[r] + a, left - w.first[r] + b)
-                p = q + 1
-            if best[0] >= THRESHOLD:
-                out.append((r, k, best[0], j - i, int(best[1]), int(best[2])))
-        return out
+            s, a, b = align(passage, self.words[k])
+            if s >= THRESHOLD and (u not in best or s > best[u][2]):
+                best[u] = (r, k, s, i - w.first[r] + a, i - w.first[r] + b)
+        return [(r, k, s, int(seeds[u]), int(a), int(b)) for u, (r, k, s, a, b) in best.items()]
+
+    def may(self, passage: np.ndarray, item: int) -> bool:
+        """Whether the words that passage and item share, all matched without a gap, reach the threshold."""
+        kinds, most = self.kinds[item]
+        need = THRESHOLD * most.sum()
+        if len(passage) < need:
+            return False
+        at = np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)
+        at = at[kinds[at] == passage]
+        return len(at) >= need and np.minimum(np.bincount(at, minlength=len(kinds)), most).sum() >= need
 
 
 def matrix_end(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -142,31 +140,6 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end
 
 
-def word_rates(docs: DataFrame, wanted: np.ndarray) -> tuple[dict[int, float], float]:
-    """Corpus frequency of the wanted word hashes over all documents, and words per document."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        found, words, rows = np.zeros(len(keys), np.int64), 0, 0
-        for b in batches:
-            _, off = string_buffers(b.column("text"))
-            rows += b.num_rows
-            for i, j in pieces(off):
-                h = _words(b.column("text").slice(i, j - i)).hash
-                words += len(h)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    found += np.bincount(at[keys[at] == h], minlength=len(keys))
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array([*keys[some].view(np.int64).tolist(), None, None], pa.int64()), pa.array([*[0] * len(some), 1, 2], pa.int32()), pa.array([*found[some].tolist(), words, rows], pa.int64())], names=["word", "kind", "n"])
-
-    got = docs.select("text").mapInArrow(count, "word bigint, kind int, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()  # a row for each benchmark word
-    words = next((r["n"] for r in got if r["kind"] == 1), 0)
-    rows = next((r["n"] for r in got if r["kind"] == 2), 0)
-    return {r["word"]: r["n"] / max(words, 1) for r in got if r["kind"] == 0}, words / max(rows, 1)
-
-
 def chunks(benchmark: DataFrame, most: int = CHUNK_WORDS) -> Iterator[tuple[list, list[str]]]:
     """The benchmark's (ids, texts), at most about ``most`` words at a time."""
     ids: list = []
@@ -184,10 +157,9 @@ def chunks(benchmark: DataFrame, most: int = CHUNK_WORDS) -> Iterator[tuple[list
         yield ids, texts
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
+def prepared(benchmark: DataFrame) -> Iterator[Items]:
     for ids, texts in chunks(benchmark):
-        rates, per_doc = word_rates(docs, np.unique(_words(pa.array(texts, pa.string())).hash))
-        yield Items(ids, texts, rates, per_doc)
+        yield Items(ids, texts)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -196,7 +168,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, n_seeds int, first_word bigint, end_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in prepared(docs, benchmark):
+    for items in prepared(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -216,7 +188,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no copy of a benchmark item."""
     out = docs
-    for items in prepared(docs, benchmark):
+    for items in prepared(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -270,6 +270,20 @@ def test_decontaminate(docs, corpus, spark):
     assert decontaminate.align(np.array([1, 2, 3, 9, 4]), np.array([2, 3, 4])) == (pytest.approx((6 - 1) / 6), 1, 5)
 
 
+def test_decontaminate_common_words(spark):
+    """An item whose words many documents have, but for one rare trigram that an edited copy lacks."""
+    rng = np.random.default_rng(11)
+    item = [f"w{x}" for x in rng.integers(0, 12, 24)]
+    item[2:5] = ["qua", "quo", "qui"]
+    edited = [*item[:3], "other", *item[4:13], "more", *item[14:]]
+    rows = [(i, words(rng, 200, 12)) for i in range(80)] + [(100, words(rng, 90, 4000) + " " + " ".join(edited) + " " + words(rng, 90, 4000)), (101, " ".join(item))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r.score for r in decontaminate.find(d, bench).collect()}
+    want = {i: decontaminate.align(*(np.array([hash(w) for w in x]) for x in (t.split(), item)))[0] for i, t in rows}
+    assert want[100] >= 0.5 and got == {i: pytest.approx(s) for i, s in want.items() if s >= 0.5}
+
+
 def test_langid(spark):
     rng = np.random.default_rng(2)
     alphabet = {"xx": "abcdefg", "yy": "cdefghijk"}
