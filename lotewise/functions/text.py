@@ -239,7 +239,7 @@ def parse_phone(c: Column, ddd: str | None = None) -> Column:
     num = F.substring(d, 3, 20)
     long = F.length(num) == 9
     shown = F.concat(F.lit("("), F.substring(d, 1, 2), F.lit(") "), F.when(long, F.substring(num, 1, 5)).otherwise(F.substring(num, 1, 4)), F.lit("-"), F.when(long, F.substring(num, 6, 9)).otherwise(F.substring(num, 5, 9)))
-    return F.when(F.length(d).isin(10, 11), F.struct(shown.alias("exibicao"), d.alias("digitos"), F.concat(F.lit("55"), d).alias("e164"), (long & num.startswith("9")).alias("celular")))
+    return F.when(F.length(d).isin(10, 11), F.named_struct(F.lit("exibicao"), shown, F.lit("digitos"), d, F.lit("e164"), F.concat(F.lit("55"), d), F.lit("celular"), long & num.startswith("9")))
 
 
 def make_contact(role: str, name: Column, phone: Column, whatsapp: Column | None = None, explicit: Column | None = None, email: Column | None = None, creci: Column | None = None, ddd: str | None = None) -> Column:
@@ -247,14 +247,14 @@ def make_contact(role: str, name: Column, phone: Column, whatsapp: Column | None
     null = F.lit(None).cast("string")
     tel, wa = parse_phone(phone, ddd), parse_phone(whatsapp if whatsapp is not None else null, ddd)
     says = F.coalesce(explicit, tel["celular"]) if explicit is not None else tel["celular"]
-    return F.struct(
-        inline_plain(name).alias("nome"),
-        F.lit(role).alias("papel"),
-        F.coalesce(tel["exibicao"], wa["exibicao"]).alias("telefone"),
-        F.coalesce(wa["e164"], F.when(says, tel["e164"])).alias("whatsapp"),
-        _none(F.trim(email if email is not None else null)).alias("email"),
-        _none(F.trim(creci if creci is not None else null)).alias("creci"),
-    )
+    return F.named_struct(  # named so that it can be read inside a lambda
+        F.lit("nome"), inline_plain(name),
+        F.lit("papel"), F.lit(role),
+        F.lit("telefone"), F.coalesce(tel["exibicao"], wa["exibicao"]),
+        F.lit("whatsapp"), F.coalesce(wa["e164"], F.when(says, tel["e164"])),
+        F.lit("email"), _none(F.trim(email if email is not None else null)),
+        F.lit("creci"), _none(F.trim(creci if creci is not None else null)),
+    )
 
 
 def contact_key(c: Column) -> Column:

@@ -13,15 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import infer_furnished, infer_guarantees, infer_pet, map_type
-from ..functions.text import clean_multiline, compute_total, fix_upper_case, half_up, html_to_text, inline, parse_brl, parse_coord, parse_int, positive_or_null, preposition, slugify, strip_accents, uniq
+from ..functions.text import clean_multiline, compute_total, dedupe_contacts, fix_upper_case, half_up, html_to_text, inline, make_contact, parse_brl, parse_coord, parse_int, positive_or_null, preposition, slugify, strip_accents, uniq
 from ..operators.merge import default_row
-from .pages import json_ld, widget_state
+from ..schema import CONTACT
+from .pages import json_ld, next_data, widget_state
 
 #: Characteristic ids of the msys API (fixed values).
 MSYS_IDS = {"built": 1, "total": 2, "bedrooms": 5, "suites": 6, "bathrooms": 7, "garages": 12, "furnished": 27, "usable": 95, "all_bathrooms": 176, "pet": 194, "semi": 467, "no_pet": 621}
 MSYS_PAGE, KENLO_PAGE, AGGREGATOR_PAGE, AGGREGATOR_PAGES = 50, 12, 15, 5
 #: State names that the msys API spells out (fixed values).
 STATES = {"sao paulo": "SP", "minas gerais": "MG", "parana": "PR", "rio de janeiro": "RJ"}
+#: Characteristics of the msys dictionary worth a tag, and those shown by another name (fixed values).
+MSYS_TAGS = "(?iu)mob[ií]l|arm[áa]rio|ar condicionado|piscina|quintal|sacada|varanda|churrasq|ed[íi]cula|elevador|portaria|port[ãa]o|academia|playground|sal[ãa]o de festas|interfone|aquecedor|aquecimento|lareira|jardim|[áa]rea de servi[çc]o|lavanderia|despensa|escrit[óo]rio|closet|pet|seguran[çc]a|c[âa]mera|cerca|gourmet|vista|andar alto|t[ée]rrea|sobrado"
+MSYS_RENAMED = {"Mobília": "Mobiliado", "Semi mobiliado": "Semimobiliado", "Lavanderias": "Lavanderia"}
 #: Guarantee and amenity codes of the kenlo state (fixed values).
 KENLO_GUARANTEES = {
     "GUARANTOR": "Fiador",
@@ -70,8 +74,85 @@ def _v(doc: str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col(doc), f"$.{path}", kind)
 
 
-def msys(docs: DataFrame) -> DataFrame:
-    """API documents (column ``doc``: variant) to listings."""
+def _list(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _no(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _contacts(c: Column) -> Column:
+    return F.coalesce(dedupe_contacts(c).cast(f"array<{CONTACT}>"), _no(CONTACT))
+
+
+def msys_contacts(info: Column, name: Column, ddd: str | None = None) -> Column:
+    """The agency's contacts in a site's imobInfo (variant); a phone may hold several numbers."""
+    s = lambda v, p: F.try_variant_get(v, p, "string")
+    text = lambda v, p: F.when(F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "STRING", s(v, p))
+    email = text(info, "$.email")
+    whats = F.transform(F.coalesce(F.try_variant_get(info, "$.whatsapp", "array<variant>"), F.array(info)), lambda w: F.coalesce(text(w, "$.number"), text(w, "$.whatsapp")))
+    whats = F.filter(whats, lambda w: w.isNotNull())
+    phones = F.flatten(F.transform(F.filter(F.array(text(info, "$.phone"), text(info, "$.phone2")), lambda p: F.trim(p) != ""), lambda p: F.split(p, "[|/;]| e ")))
+    out = F.concat(F.transform(whats, lambda w: make_contact("imobiliaria", name, w, whatsapp=w, email=email, ddd=ddd)), F.transform(phones, lambda p: make_contact("imobiliaria", name, p, email=email, ddd=ddd)))
+    bare = F.array(make_contact("imobiliaria", name, F.lit(None).cast("string"), email=email))
+    return _contacts(F.when(F.size(out) > 0, out).otherwise(bare))
+
+
+def msys_names(template: Column) -> Column:
+    """The site's dictionary of characteristics: array of (id, nome)."""
+    return F.transform(_list(template, "$.requests.allCharacteristics"), lambda c: F.struct(F.try_variant_get(c, "$.idtCharacteristics", "int").alias("id"), F.trim(F.try_variant_get(c, "$.desCharacteristics", "string")).alias("nome")))
+
+
+def _template(html: Column) -> Column:
+    return F.try_variant_get(next_data(html), "$.props.initialProps.pageProps.template", "variant")
+
+
+def msys_site(pages: DataFrame) -> DataFrame:
+    """Captured city pages (column ``html``, one a source) to (fonte, site_contatos, site_nomes), as ``msys`` takes them."""
+    t = pages.select("fonte", "fonte_nome", _template(F.col("html")).alias("t"))
+    return t.select("fonte", msys_contacts(F.try_variant_get("t", "$.imobInfo", "variant"), F.col("fonte_nome")).alias("site_contatos"), msys_names(F.col("t")).alias("site_nomes"))
+
+
+def _named(names: Column, id_: Column) -> Column:
+    return F.try_element_at(F.transform(F.filter(names, lambda x: (x["id"] == id_) & x["nome"].isNotNull()), lambda x: x["nome"]), F.lit(-1))
+
+
+def _tags(names: Column) -> Column:
+    """Of names of characteristics those worth a tag, as shown."""
+    table = F.create_map(*[F.lit(x) for kv in MSYS_RENAMED.items() for x in kv])
+    return F.transform(F.filter(names, lambda n: n.rlike(MSYS_TAGS)), lambda n: F.coalesce(F.try_element_at(table, n), n))
+
+
+def _finished(tags: Column) -> Column:
+    """Distinct tags; half furnished takes the place of furnished."""
+    out = uniq(tags)
+    return F.when(F.array_contains(out, "Semimobiliado"), F.array_remove(out, "Mobiliado")).otherwise(out)
+
+
+def msys(docs: DataFrame, site: DataFrame | None = None) -> DataFrame:
+    """API documents (column ``doc``: variant) to listings; contacts and tags need the ``msys_site`` of their sources."""
+    return _msys(docs.join(F.broadcast(site), "fonte", "left") if site is not None else docs)
+
+
+def msys_detail(pages: DataFrame, ddd: str | None = None) -> DataFrame:
+    """Detail pages (column ``html``) to listings with brokers and characteristics; pages without a property give none."""
+    t = pages.select("fonte", "fonte_nome", "base", _template(F.col("html")).alias("t")).withColumn("doc", F.try_variant_get("t", "$.data.property", "variant")).where("doc IS NOT NULL AND NOT is_variant_null(doc)")
+    t = t.withColumns({"site_contatos": msys_contacts(F.try_variant_get("t", "$.imobInfo", "variant"), F.col("fonte_nome"), ddd), "site_nomes": msys_names(F.col("t"))})
+    s = lambda v, p: F.try_variant_get(v, p, "string")
+    own = F.concat(*[_list(F.try_parse_json(s(F.col("doc"), f"$.{f}")), "$") for f in ("jsonCharacteristics", "jsonCondominiumCharacteristics")])
+    said = F.filter(own, lambda c: ~F.trim(F.coalesce(s(c, "$.desInformationFormatted"), s(c, "$.desInformation"), F.lit(""))).rlike("(?iu)^(0|0,00|n[ãa]o)$"))
+    names = F.transform(said, lambda c: F.coalesce(s(c, "$.characteristics.desCharacteristics"), _named(F.col("site_nomes"), F.try_variant_get(c, "$.characteristics.idtCharacteristics", "int"))))
+    let = lambda c: F.coalesce(~s(c, "$.isCaptivatorLocation").isin("false", "0", ""), F.lit(False))
+    all_ = _list(F.col("t"), "$.data.captivators")
+    first = F.concat(F.filter(all_, let), F.filter(all_, lambda c: ~let(c)))
+    brokers = F.transform(first, lambda c: make_contact("corretor", s(c, "$.namPerson"), s(c, "$.desPhone"), email=s(c, "$.desEmail"), creci=s(c, "$.creci"), ddd=ddd))
+    origin = F.coalesce(F.regexp_replace(s(F.col("t"), "$.fullUrl"), "^(https?://[^/]+).*$", "$1"), F.col("base"))
+    return _msys(t.withColumns({"extra": _tags(names), "corretores": brokers, "base": origin, "detalhado": F.lit(True)}))
+
+
+def _msys(docs: DataFrame) -> DataFrame:
+    have = lambda name, none: F.coalesce(F.col(name), none) if name in docs.columns else none
     s = lambda p: _v("doc", p)
     char = lambda k: s(f"prop_char_{MSYS_IDS[k]}")
     ids = s("idtsCharacteristics")
@@ -87,6 +168,7 @@ def msys(docs: DataFrame) -> DataFrame:
     photos = F.from_json(s("jsonPhotos"), "array<struct<urlPhoto:string,flgNotShowSite:string>>")
     shown = F.filter(photos, lambda p: ~F.coalesce(p["flgNotShowSite"].isin("1", "true"), F.lit(False)))
     on_map = yes("flgShowMapSite")
+    tags = _tags(F.transform(F.coalesce(F.regexp_extract_all(ids, F.lit(r"\|(\d+)\|"), F.lit(1)), _no("string")), lambda i: _named(have("site_nomes", _no("struct<id:int,nome:string>")), i.cast("int"))))
     held = yes("flgReservedLocation") | yes("flgPendingLocation")
     rows = docs.select(
         s("idtProperty").alias("id"), "fonte", F.lit("msys").alias("plataforma"), F.col("fonte_nome").alias("anunciante"), url.alias("url"), title.alias("titulo"),
@@ -96,10 +178,11 @@ def msys(docs: DataFrame) -> DataFrame:
         parse_brl(F.coalesce(char("usable"), char("built"), char("total"))).alias("area"), area_name.alias("bairro"), fix_upper_case(s("namStreet")).alias("endereco"), fix_upper_case(s("namCity")).alias("cidade"),
         F.try_element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.lower(strip_accents(s("namState")))).alias("uf"),
         F.when(on_map, parse_coord(s("latitude"))).alias("lat"), F.when(on_map, parse_coord(s("longitude"))).alias("lng"), uniq(F.transform(shown, lambda p: p["urlPhoto"])).alias("fotos"), text.alias("descricao"),
-        F.when(held, F.array(F.lit("Reservado / em negociação"))).otherwise(F.array().cast("array<string>")).alias("caracteristicas"),
+        _finished(F.concat(F.when(held, F.array(F.lit("Reservado / em negociação"))).otherwise(_no("string")), tags, have("extra", _no("string")))).alias("caracteristicas"),
         F.when(has_id(ids, MSYS_IDS["furnished"]) | has_id(ids, MSYS_IDS["semi"]), True).otherwise(infer_furnished(title, text)).alias("mobiliado"),
         F.when(has_id(ids, MSYS_IDS["no_pet"]), False).when(has_id(ids, MSYS_IDS["pet"]), True).otherwise(infer_pet(text)).alias("aceita_pet"),
         infer_guarantees(text).alias("garantias"), s("idtProperty").alias("referencia"), s("dtaInsert").alias("publicado_em"), s("dtaUpdate").alias("atualizado_em"),
+        _contacts(F.concat(have("corretores", _no(CONTACT)), have("site_contatos", _no(CONTACT)))).alias("contatos"), have("detalhado", F.lit(False)).alias("detalhado"),
     )
     return default_row(rows.withColumn("total", compute_total(F.col("aluguel"), F.col("condominio"), F.col("iptu"))))
 
@@ -115,8 +198,9 @@ def ksi_phones(html: Column) -> Column:
 
 
 def ksi(pages: DataFrame) -> DataFrame:
-    """List pages (column ``html``): one row a card."""
-    cards = pages.select("fonte", "fonte_nome", "base", F.explode(F.slice(F.split("html", '<div class="card card-imo"'), 2, 100_000)).alias("card"))
+    """List pages (column ``html``): one row a card, with the first two of its page's agency phones."""
+    agency = _contacts(F.transform(F.slice(ksi_phones(F.col("html")), 1, 2), lambda p: make_contact("imobiliaria", F.col("fonte_nome"), p)))
+    cards = pages.select("fonte", "fonte_nome", "base", agency.alias("contatos"), F.explode(F.slice(F.split("html", '<div class="card card-imo"'), 2, 100_000)).alias("card"))
     x = lambda p, g=1: F.nullif(F.regexp_extract("card", p, g), F.lit(""))
     count = lambda p: half_up(parse_brl(x(p))).cast("int")
     cards = cards.withColumns({"href": x(r'href="((?:/)?alugar/[^"]+?/\d+)"'), "code": x(r"(?i)C(?:&oacute;|ó)d\.\s*<strong>\s*([\w-]+)\s*</strong>"), "place": inline(html_to_text(x(r'(?s)card-bairro-cidade-texto">(.*?)</div>'))), "texto": html_to_text(x(r'(?s)<div class="card-texto">\s*<p>(.*?)</p>'))})
@@ -133,7 +217,7 @@ def ksi(pages: DataFrame) -> DataFrame:
         count(r'(?i)title="(\d+)\s+Dormit').alias("quartos"), count(r'(?i)title="(\d+)\s+Su(?:&iacute;|í|i)te').alias("suites"), count(r'(?i)title="(\d+)\s+Banh').alias("banheiros"), count(r'(?i)title="(\d+)\s+(?:Vaga|Garag)').alias("vagas"), parse_brl(x(r'(?i)title="([\d.,]+)\s*M(?:&sup2;|²|2)"')).alias("area"),
         fix_upper_case(F.when(F.contains("place", F.lit(" - ")), F.expr("substring(place, 1, length(place) - length(substring_index(place, ' - ', -1)) - 3)"))).alias("bairro"), fix_upper_case(F.trim(F.regexp_replace(city, "/[A-Z]{2}$", ""))).alias("cidade"), F.nullif(F.regexp_extract(city, "/([A-Z]{2})$", 1), F.lit("")).alias("uf"),
         uniq(F.transform(F.regexp_extract_all("card", F.lit('data-flickity-lazyload-src="([^"]+)"'), F.lit(1)), lambda u: F.replace(u, F.lit("/foto_thumb/"), F.lit("/foto_/")))).alias("fotos"), F.col("texto").alias("descricao"),
-        infer_furnished(seg(3), F.col("texto")).alias("mobiliado"), infer_pet(F.col("texto")).alias("aceita_pet"), infer_guarantees(F.col("texto")).alias("garantias"), id_.alias("referencia"),
+        infer_furnished(seg(3), F.col("texto")).alias("mobiliado"), infer_pet(F.col("texto")).alias("aceita_pet"), infer_guarantees(F.col("texto")).alias("garantias"), id_.alias("referencia"), "contatos",
     )
     return default_row(rows)
 
@@ -158,10 +242,20 @@ def aggregator(pages: DataFrame, city_slug: str) -> DataFrame:
     return default_row(rows)
 
 
+def kenlo_contacts(state: Column, name: Column) -> Column:
+    """The agency's contacts in a page's state: its chat number, and its offices' phones that are shown."""
+    s = lambda v, p: F.try_variant_get(v, p, "string")
+    chat = F.filter(F.array(s(state, "$.website.chat_whatsapp_phone")), lambda c: F.trim(c) != "")
+    phones = F.flatten(F.transform(_list(state, "$.offices"), lambda o: _list(o, "$.phones")))
+    phones = F.filter(phones, lambda p: (s(p, "$.number") != "") & (F.coalesce(s(p, "$.show"), F.lit("")) != "false"))
+    is_wa = lambda p: F.coalesce(~s(p, "$.whatsapp").isin("", "0", "false"), F.lit(False))
+    return _contacts(F.concat(F.transform(chat, lambda c: make_contact("imobiliaria", name, c, whatsapp=c)), F.transform(phones, lambda p: make_contact("imobiliaria", name, s(p, "$.number"), explicit=is_wa(p)))))
+
+
 def kenlo(pages: DataFrame, widget: str = "listing") -> DataFrame:
     """List pages (column ``html``): rows of the page's embedded state."""
-    listings = F.try_variant_get(widget_state(F.col("html"), widget), "$.listings", "array<variant>")
-    d = pages.select("fonte", "fonte_nome", "base", F.explode(listings).alias("d"))
+    state = pages.select("fonte", "fonte_nome", "base", widget_state(F.col("html"), widget).alias("state"))
+    d = state.select("fonte", "fonte_nome", "base", kenlo_contacts(F.col("state"), F.col("fonte_nome")).alias("contatos"), F.explode(F.try_variant_get("state", "$.listings", "array<variant>")).alias("d"))
     s = lambda p: _v("d", p)
     first = lambda p: F.coalesce(_v("d", f"{p}[0]"), s(p))
     amen = F.coalesce(F.try_variant_get("d", "$.amenities", "array<string>"), F.array().cast("array<string>"))
@@ -176,7 +270,7 @@ def kenlo(pages: DataFrame, widget: str = "listing") -> DataFrame:
         parse_int(first("bedrooms")).alias("quartos"), parse_int(first("suites")).alias("suites"), parse_int(first("bathrooms")).alias("banheiros"), parse_int(first("garages")).alias("vagas"), parse_brl(first("area")).alias("area"),
         fix_upper_case(inline(F.coalesce(s("neighborhood_display"), s("neighborhood")))).alias("bairro"), inline(s("city")).alias("cidade"), inline(s("state")).alias("uf"), uniq(photos).alias("fotos"), text.alias("descricao"), uniq(named(amen, KENLO_AMENITIES)).alias("caracteristicas"),
         F.when(F.arrays_overlap(amen, F.array(F.lit("FURNISHED"), F.lit("SEMI_FURNISHED"))), True).otherwise(infer_furnished(text)).alias("mobiliado"), F.when(F.array_contains(amen, "PET_FRIENDLY"), True).otherwise(infer_pet(text)).alias("aceita_pet"),
-        uniq(F.concat(named(codes, KENLO_GUARANTEES), infer_guarantees(text))).alias("garantias"), F.coalesce(s("property_reference"), F.regexp_replace(id_, "-[A-Z0-9]+$", "")).alias("referencia"), s("updated_at").alias("atualizado_em"),
+        uniq(F.concat(named(codes, KENLO_GUARANTEES), infer_guarantees(text))).alias("garantias"), F.coalesce(s("property_reference"), F.regexp_replace(id_, "-[A-Z0-9]+$", "")).alias("referencia"), s("updated_at").alias("atualizado_em"), "contatos",
     )
     return default_row(rows)
 

@@ -60,6 +60,33 @@ def test_kenlo(spark):
     assert (r.caracteristicas, r.garantias, r.aceita_pet, r.fotos) == (["Piscina", "Aceita pet"], ["Caução", "Fiador"], True, ["p"])
 
 
+def test_contacts_and_tags(spark):
+    cols = "html string, fonte string, fonte_nome string, base string"
+    info = {"email": "a@x.br", "whatsapp": [{"number": "(14) 99644-7985"}], "phone": "(14) 3354-7985 | (14) 99644-7985"}
+    names = [{"idtCharacteristics": i, "desCharacteristics": n} for i, n in ((3, "Piscina "), (4, "Mobília"), (5, "Semi mobiliado"), (6, "Dormitórios"))]
+    prop = {"idtProperty": 7, "idtsCharacteristics": "|3||4||5||6|", "valLocation": 900, "jsonCharacteristics": json.dumps([{"characteristics": {"idtCharacteristics": 9, "desCharacteristics": "Sacada"}, "desInformation": "Sim"}, {"characteristics": {"idtCharacteristics": 8, "desCharacteristics": "Quintal"}, "desInformation": "Não"}]), "jsonCondominiumCharacteristics": "{bad"}
+    brokers = [{"namPerson": "Corretor A", "creci": "1"}, {"namPerson": "Corretor B", "desPhone": "14 90000-0001", "isCaptivatorLocation": 1}]
+    template = {"imobInfo": info, "requests": {"allCharacteristics": names}, "fullUrl": "https://y.br/z", "data": {"property": prop, "captivators": brokers}}
+    html = f'<script id="__NEXT_DATA__">{json.dumps({"props": {"initialProps": {"pageProps": {"template": template}}}})}</script>'
+    page = spark.createDataFrame([(html, "f", "Imob", "https://x.br")], cols)
+    docs = spark.createDataFrame([(json.dumps(prop), "f", "Imob", "https://x.br"), (json.dumps(prop), "g", "Other", "https://x.br")], cols.replace("html", "j")).selectExpr("parse_json(j) AS doc", "fonte", "fonte_nome", "base")
+    agency = [("(14) 99644-7985", "5514996447985", "a@x.br"), ("(14) 3354-7985", None, "a@x.br")]
+    short = lambda r: [(c.telefone, c.whatsapp, c.email) for c in r.contatos]
+    with_site = {r.fonte: r for r in platforms.msys(docs, platforms.msys_site(page)).collect()}
+    assert short(with_site["f"]) == agency and with_site["f"].caracteristicas == ["Piscina", "Semimobiliado"]
+    assert (with_site["g"].contatos, with_site["g"].caracteristicas) == ([], [])
+    (r,) = platforms.msys_detail(page.unionByName(page.selectExpr("'<p>' AS html", "fonte", "fonte_nome", "base"))).collect()
+    assert [(c.nome, c.papel, c.creci) for c in r.contatos] == [("Corretor B", "corretor", None), ("Corretor A", "corretor", "1"), ("Imob", "imobiliaria", None), ("Imob", "imobiliaria", None)]
+    assert short(r)[2:] == agency and r.caracteristicas == ["Piscina", "Semimobiliado", "Sacada"] and r.detalhado and r.url.startswith("https://y.br/imovel/")
+    page = '<a href="tel:(14) 3882-0000"></a><a href="tel:(14) 99000-0001"></a><a href="tel:(14) 3882-0002"></a><div class="card card-imo"><a href="/alugar/B/Casa/Casa/Centro/1"></a>'
+    (r,) = platforms.ksi(spark.createDataFrame([(page, "k", "Imob", "https://k.br")], cols)).collect()
+    assert short(r) == [("(14) 3882-0000", None, None), ("(14) 99000-0001", "5514990000001", None)]
+    state = {"website": {"chat_whatsapp_phone": "14 3882-0000"}, "offices": [{"phones": [{"number": "14 3882-0001"}, {"number": "14 3882-0002", "show": False}, {"number": "14 3882-0003", "whatsapp": True}]}], "listings": [{"property_full_reference": "A"}]}
+    page = f"window.markoVars['listing-ab12'] = {json.dumps(state)};\n }})();"
+    (r,) = platforms.kenlo(spark.createDataFrame([(page, "k", "Imob", "https://k.br")], cols)).collect()
+    assert short(r) == [("(14) 3882-0000", "551438820000", None), ("(14) 3882-0001", None, None), ("(14) 3882-0003", "551438820003", None)]
+
+
 def test_payload(spark):
     df = spark.createDataFrame([('"reference":"A\\1","x":12.5,"y":"$undefined","rooms":{"count":3}',)], "t string")
     r = df.select(*[pages.payload_field(df.t, k) for k in ("x", "y", "z")], pages.payload_count(df.t, "rooms")).first()
