@@ -81,11 +81,10 @@ def feature_ids(data: np.ndarray, k: int) -> np.ndarray:
     return (byte_grams(data, k) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def counterfactuals(text: str, most: int = 2) -> list[str]:
-    """Copies of a text with every identity term swapped for another of its kind."""
-    if not _TERM.search(text):
-        return []
-    return [_TERM.sub(lambda m, i=i: (k := _KIND[m[0].lower()])[(k.index(m[0].lower()) + i) % len(k)], text) for i in range(1, most + 1)]
+def counterfactuals(text: str) -> list[str]:
+    """Copies of a text with every identity term swapped, so that each meets every other term of its kind."""
+    most = max((len(_KIND[t.lower()]) for t in _TERM.findall(text)), default=1)
+    return [_TERM.sub(lambda m, i=i: (k := _KIND[m[0].lower()])[(k.index(m[0].lower()) + 1 + i % (len(k) - 1)) % len(k)], text) for i in range(most - 1)]
 
 
 def _ids(texts: pa.Array) -> list[np.ndarray]:

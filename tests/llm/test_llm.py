@@ -316,3 +316,11 @@ def test_toxicity(spark):
     gap = lambda m: abs(np.subtract(*[math.log(r.score / (1 - r.score)) for r in toxicity.score(two, m).collect()]))
     assert gap(fair) < gap(plain)
     assert all(r.score < 1e-9 for r in toxicity.score(two, toxicity.train(d.limit(0))).collect())
+
+
+def test_counterfactuals():
+    kind = ("muslims", "christians", "jews", "hindus", "buddhists", "atheists")
+    assert sorted(toxicity.counterfactuals("Muslims met")) == sorted(f"{k} met" for k in kind[1:])
+    assert toxicity.counterfactuals("men met") == ["women met"] and toxicity.counterfactuals("all met") == []
+    both = toxicity.counterfactuals("jews and women")
+    assert len(set(both)) == 5 and all(x.endswith(" and men") and not x.startswith("jews") for x in both)
