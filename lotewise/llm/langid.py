@@ -5,7 +5,8 @@ The filters are sliced: position p holds one bit per language, so ANDing the mas
 n-gram's positions gives at once all languages that contain it. A text's language is the one
 with most hits after the expected false positives of its filter are taken away.
 
-Training takes at most about ``sample`` labelled rows (chosen by a hash of the id; whole texts);
+Training takes about ``sample`` labelled rows (chosen by a hash of the id; whole texts), and of each
+language its even share of ``sample`` at least, or all its rows: twice ``sample`` together at most;
 counts and masks are aggregated by Spark, and what is broadcast is the slice table of ``2**bits``
 masks, whatever the corpus. Prediction is one pass over the texts without a shuffle.
 
@@ -52,8 +53,14 @@ def positions(grams: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
 def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE, bits: int = BITS) -> Filters:
     """Filters from the text and lang of ``docs`` (already only those to learn from)."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    n = known.select("lang").count()
-    part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(n, 1))) + 1)
+    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rows:
+        return Filters([], np.zeros(1 << bits, np.uint64), np.zeros(0))
+    if len(rows) > 64:
+        raise ValueError(f"{len(rows)} languages; a mask has 64 bits")
+    rate = {x: min(1.0, max(sample / sum(rows.values()), sample / len(rows) / n)) for x, n in rows.items()}
+    below = F.create_map(*[F.lit(v) for x, r in rate.items() for v in (x, int(1_000_003 * r) + 1)])
+    part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < below[F.col("lang")])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,10 +78,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE, bits: int
     languages = sorted(sizes)
     if not languages:
         return Filters([], np.zeros(1 << bits, np.uint64), np.zeros(0))
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages; a mask has 64 bits")
     counted = part.mapInArrow(grams, "lang string, gram bigint, df bigint").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
-    rule = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, F.struct(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long").alias("bit"), F.lit(max(2.0, share * sizes[name])).alias("least")))])
+    rule = F.create_map(*[F.lit(x) for i, name in enumerate(languages) for x in (name, F.struct(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long").alias("bit"), F.lit(float(min(sizes[name], max(2.0, share * sizes[name])))).alias("least")))])
     kept = counted.select("gram", "df", rule[F.col("lang")].alias("r")).where("df >= r.least")
     mask = (1 << bits) - 1
     at = F.array(*[F.shiftrightunsigned("gram", s).bitwiseAND(F.lit(mask)) for s in range(0, 20 * HASHES, 20)])

@@ -324,3 +324,12 @@ def test_counterfactuals():
     assert toxicity.counterfactuals("men met") == ["women met"] and toxicity.counterfactuals("all met") == []
     both = toxicity.counterfactuals("jews and women")
     assert len(set(both)) == 5 and all(x.endswith(" and men") and not x.startswith("jews") for x in both)
+
+
+def test_langid_rare_language(spark):
+    rng = np.random.default_rng(6)
+    text = lambda a: " ".join("".join(rng.choice(list(a), 5)) for _ in range(60))
+    rows = [(i, text("abcdefg"), "xx") for i in range(400)] + [(1000 + i, text("qrstuvw"), "zz") for i in range(2)] + [(2000, text("hijkl"), "ww")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d, langid.train(d, sample=20)).collect()}
+    assert (got[0], got[1000], got[1001], got[2000]) == ("xx", "zz", "zz", "ww")
