@@ -7,8 +7,8 @@ maximal spans above the threshold, as matching statistics against all earlier te
 
 The matching statistics are not taken from broadcast suffix automata: the reference of a document is
 the whole corpus before it, so automata of all reference shards would have to be built, broadcast
-and streamed over by every document, which grows with the square of the corpus (the README
-has figures). Instead, blocks of documents in id order exchange window hashes once: each block sends its
+and streamed over by every document, which grows with the square of the corpus (not measured).
+Instead, blocks of documents in id order exchange window hashes once: each block sends its
 distinct windows (72 bits each) to reducers by hash range, and gets back those that a lower block
 has. A window shared by very many documents crosses the network once a block. ``SuffixAutomaton``
 serves the case that the method fits: a bounded reference text (``remove_reference``).
