@@ -333,3 +333,11 @@ def test_langid_rare_language(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.predict(d, langid.train(d, sample=20)).collect()}
     assert (got[0], got[1000], got[1001], got[2000]) == ("xx", "zz", "zz", "ww")
+
+
+def test_warc_payloads(spark, tmp_path):
+    data = [(1, "http://a", "é" * 60), (2, "http://b", "<p>x"), (3, "http://c", "é" * 60), (4, None, None)]
+    warc.write(spark.createDataFrame(data, "page_id bigint, url string, html string"), f"file://{tmp_path}/w")
+    got = {int(r.metadata.fields["page-id"]): r.capture for r in warc.assemble(warc.read(spark, f"file://{tmp_path}/w", payloads=True)).collect()}
+    assert {i: (c.kind, None if c.payload is None else bytes(c.payload).decode()) for i, c in got.items()} == {1: ("response", "é" * 60), 2: ("response", "<p>x"), 3: ("revisit", None), 4: ("response", "")}
+    assert all(hashlib.sha256(c.payload).hexdigest() == c.payload_digest == c.declared_digest.removeprefix("sha256:") for c in got.values() if c.payload is not None)
