@@ -98,6 +98,19 @@ def from_dict(c: Column, values: dict, otherwise: Column | None = None) -> Colum
     return found if otherwise is None else F.coalesce(found, otherwise)
 
 
+#: What a type is called on screen, and the types that a facet of the type stands for (fixed values).
+TYPE_LABELS = {"apartamento": "Apartamento", "kitnet": "Kitnet", "studio": "Studio", "cobertura": "Cobertura", "flat": "Flat", "casa": "Casa", "sobrado": "Sobrado", "casa_condominio": "Casa em condomínio", "comercial": "Comercial", "terreno": "Terreno", "rural": "Rural", "outro": "Imóvel"}
+FACET_TYPES = {"apartamento": ("apartamento", "cobertura", "flat"), "kitnet": ("kitnet", "studio"), "casa": ("casa", "sobrado"), "casa_condominio": ("casa_condominio",)}
+
+
+def type_label(kind: Column) -> Column:
+    return from_dict(kind, TYPE_LABELS)
+
+
+def facet_types(name: str) -> tuple[str, ...]:
+    return FACET_TYPES.get(name, (name,))
+
+
 def match_family(kind: Column) -> Column:
     return from_dict(kind, MATCH_FAMILY, F.lit("?"))
 

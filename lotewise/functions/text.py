@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Callable
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -20,6 +18,9 @@ def _plain_letters() -> tuple[str, str]:
 
 
 _ACCENTED, _PLAIN = _plain_letters()
+#: White space as browsers count it.
+WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+#: Words that stay in lower case inside a name (fixed values).
 _LOWER_WORDS = ("de", "da", "do", "das", "dos", "e", "em", "na", "no")
 #: Named entities that pages use (fixed values); what they stand for is the HTML standard's.
 _ENTITIES = (
@@ -28,7 +29,7 @@ _ENTITIES = (
     "Ccedil Ntilde ordf ordm deg sup2 sup3 middot bull ndash mdash hellip trade reg copy lsquo rsquo ldquo rdquo laquo raquo euro frac12 times"
 ).split()
 _NAMED = {n: html5[f"{n};"] for n in _ENTITIES} | {"nbsp": " ", "shy": ""}
-_ENTITY = re.compile(r"&(?:#x([0-9a-fA-F]+)|#(\d+)|(\w+));")
+_ENTITY = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
 #: Abbreviations of neighbourhood names, in the order they are expanded (fixed values).
 _ABBREVIATIONS = (
     ("jd", "jardim"),
@@ -47,39 +48,44 @@ _ABBREVIATIONS = (
     ("nsa", "nossa senhora"),
     ("dr", "doutor"),
 )
+#: Words that company names are compared without, and first words of feminine neighbourhoods (fixed values).
 _COMPANY_WORDS = r"\b(ltda|me|eireli|s/?a|imoveis|imobiliaria|negocios|imobiliarios|solucoes|corretora|de|da|do|dos|das|e)\b"
 _FEMININE = "vila|vl|chacara|cidade|fazenda|estancia|colonia|quinta|rua|avenida|praca|area|zona|comunidade|granja"
 
 
 def _none(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
-def strip_accents(c: Column) -> Column:
-    """Latin letters without their accents."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), "[̀-ͯ]", "")
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is evaluated once however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
-def decode_text(s: str) -> str:
-    """One pass over the entities of a string; unknown ones stay, impossible code points vanish."""
+def strip_accents(c: Column) -> Column:
+    """Latin letters without their accents."""
+    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), "[\u0300-\u036f]", "")
 
-    def one(m: re.Match) -> str:
-        if m[3]:
-            return _NAMED.get(m[3], m[0])
-        code = int(m[1], 16) if m[1] else int(m[2])
-        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else ""
 
-    return _ENTITY.sub(one, s)
+def _meaning(name: Column) -> Column:
+    """What an entity's name or number stands for; null for unknown names."""
+    table = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])
+    code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 12), 16, 10)).otherwise(F.substring(name, 2, 12)).try_cast("bigint")
+    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(name.startswith("#"), F.when(good, letter).otherwise("")).otherwise(F.try_element_at(table, name))
 
 
-@F.pandas_udf(StringType())
-def _decode(s: pd.Series) -> pd.Series:
-    return s.map(decode_text, na_action="ignore")
+def decode_entities(c: Column) -> Column:
+    """HTML entities decoded in a single pass, in the JVM; unknown ones stay, impossible code points vanish."""
 
+    def whole(t: Column) -> Column:
+        names = F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(1))
+        parts = F.split(t, _ENTITY, -1)
+        said = lambda p, n: F.concat(p, F.when(n.isNull(), "").otherwise(F.coalesce(_meaning(n), F.concat(F.lit("&"), n, F.lit(";")))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.zip_with(parts, names, said), "")).otherwise(t)
 
-def decode_entities(c: Column) -> Column:
-    """HTML entities decoded in a single pass. Only texts that hold an ampersand need the pass."""
-    return _decode(c)
+    return bind(c, whole)
 
 
 def html_to_text(c: Column) -> Column:
@@ -93,21 +99,20 @@ def html_to_text(c: Column) -> Column:
 
 def clean_multiline(c: Column, decode: bool = True) -> Column:
     """Blanks squeezed, lines trimmed, at most one empty line in a row; empty is null."""
-    t = decode_entities(c) if decode else c
-    t = F.regexp_replace(t, "\r\n?", "\n")
+    t = F.replace(decode_entities(c) if decode else c, F.lit("\r"), F.lit(""))
     t = F.regexp_replace(t, "[ \t ]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, " ?\n ?", "\n"), "\n{3,}", "\n\n")
-    return _none(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+    return _none(F.regexp_replace(t, f"^{WS}+|{WS}+$", ""))
 
 
 def inline(c: Column) -> Column:
     """One line: entities decoded, white space squeezed, empty is null."""
-    return _none(F.trim(F.regexp_replace(decode_entities(c), r"(?U)\s+", " ")))
+    return _none(F.trim(F.regexp_replace(decode_entities(c), f"{WS}+", " ")))
 
 
 def inline_plain(c: Column) -> Column:
     """``inline`` for text known to hold no entities; stays in the JVM."""
-    return _none(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    return _none(F.trim(F.regexp_replace(c, f"{WS}+", " ")))
 
 
 def slugify(c: Column) -> Column:
@@ -115,19 +120,21 @@ def slugify(c: Column) -> Column:
 
 
 def fix_upper_case(c: Column) -> Column:
-    """Names written all in capitals get ordinary case; others only lose extra blanks."""
-    t = inline_plain(c)
+    """Names written all in capitals get ordinary case; others are only put on one line, entities decoded."""
 
     def word(w: Column, i: Column) -> Column:
         return F.when((i > 0) & w.isin(*_LOWER_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))
 
-    shouting = (t == F.upper(t)) & t.rlike("[A-ZÀ-Ý]{3}")
-    return F.when(shouting, F.array_join(F.transform(F.split(F.lower(t), " "), word), " ")).otherwise(t)
+    def whole(t: Column) -> Column:
+        shouting = (t == F.upper(t)) & t.rlike("[A-ZÀ-Ý]{3}")
+        return F.when(shouting, F.array_join(F.transform(F.split(F.lower(t), " "), word), " ")).otherwise(t)
+
+    return bind(inline(c), whole)
 
 
 def preposition(c: Column) -> Column:
     """na or no, by the first word of a neighbourhood."""
-    first = F.lower(strip_accents(F.get(F.split(F.trim(c), r"(?U)\s+"), F.lit(0))))
+    first = F.lower(strip_accents(F.get(F.split(F.trim(c), f"{WS}+"), F.lit(0))))
     return F.when(first.rlike(f"^({_FEMININE})$"), "na").otherwise("no")
 
 
@@ -153,7 +160,7 @@ def normalize_name(c: Column) -> Column:
 def norm(*parts: Column) -> Column:
     """Text in which hints are looked for: no accents, lower case, one blank at each end."""
     t = F.concat_ws(" \n ", *[F.coalesce(p, F.lit("")) for p in parts])
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(strip_accents(t)), r"(?U)\s+", " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(strip_accents(t)), f"{WS}+", " "), F.lit(" "))
 
 
 def norm_ref(c: Column) -> Column:
@@ -162,37 +169,44 @@ def norm_ref(c: Column) -> Column:
 
 def uniq(c: Column) -> Column:
     """Trimmed, non-empty, distinct strings in their order."""
-    trimmed = F.transform(c, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(c, lambda x: F.regexp_replace(x, f"^{WS}+|{WS}+$", ""))
     return F.coalesce(F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))), F.array().cast("array<string>"))
 
 
 def parse_brl(c: Column) -> Column:
     """Money or number in Brazilian or plain notation; null where there is none."""
-    raw = F.regexp_replace(c, r"(?U)R\$|\s", "")
-    s = F.regexp_replace(F.regexp_extract(raw, r"-?\d[\d.,]*", 0), "[.,]$", "")
-    s = (
-        F.when(s.rlike(r",\d{1,2}$"), F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", "."))
-        .when(s.rlike(r"\.\d{3}(\.|$)") & ~s.contains(","), F.regexp_replace(s, r"\.", ""))
-        .otherwise(F.regexp_replace(s, ",", ""))
-    )
-    return F.when(~raw.rlike("(?i)undefined|consult"), s.try_cast("double"))
+
+    def number(s: Column) -> Column:
+        plain = (
+            F.when(s.rlike(r",\d{1,2}$"), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(s.rlike(r"\.\d{3}(\.|$)") & ~s.contains(","), F.replace(s, F.lit("."), F.lit("")))
+            .otherwise(F.replace(s, F.lit(","), F.lit("")))
+        )
+        return plain.try_cast("double")
+
+    def whole(raw: Column) -> Column:
+        first = F.regexp_replace(F.regexp_extract(raw, r"-?\d[\d.,]*", 0), "[.,]$", "")
+        return F.when(~raw.rlike("(?i)undefined|consult"), bind(first, number))
+
+    return bind(F.regexp_replace(c, rf"R\$|{WS}", ""), whole)
 
 
 def parse_int(c: Column) -> Column:
     """Whole number of a string; what has no digits is 0, negative or malformed is null (JavaScript's rules)."""
-    s = F.regexp_replace(c, r"[^\d.-]", "")
-    n = F.when(s == "", 0.0).otherwise(s.try_cast("double"))
-    return F.when((c != "") & (n >= 0), F.floor(n + 0.5).cast("int"))
+
+    def whole(t: Column) -> Column:
+        return F.when(t == "", 0.0).otherwise(t.try_cast("double"))
+
+    n = bind(F.regexp_replace(F.nullif(c, F.lit("")), r"[^\d.-]", ""), whole)
+    return bind(n, lambda x: F.when(x >= 0, F.floor(x + 0.5).try_cast("int")))
 
 
 def parse_coord(c: Column) -> Column:
-    n = c.cast("string").try_cast("double")
-    return F.when((n != 0) & ~F.isnan(n), n)
+    return bind(c.cast("string").try_cast("double"), lambda n: F.when((n != 0) & ~F.isnan(n), n))
 
 
 def positive_or_null(c: Column) -> Column:
-    n = parse_brl(c.cast("string"))
-    return F.when(n > 0, n)
+    return bind(parse_brl(c.cast("string")), lambda n: F.when(n > 0, n))
 
 
 def half_up(c: Column, digits: int = 0) -> Column:
@@ -204,9 +218,14 @@ def compute_total(rent: Column, condo: Column, tax: Column) -> Column:
     return half_up(rent + F.coalesce(condo, F.lit(0.0)) + F.coalesce(tax, F.lit(0.0)), 2)
 
 
+def plain_number(c: Column) -> Column:
+    """A number in Brazilian notation with two decimals at most; null stays."""
+    return F.regexp_replace(F.translate(F.format_number(half_up(c.cast("double"), 2), 2), ",.", ".,"), r",00$|(?<=,\d)0$", "")
+
+
 def brl(c: Column) -> Column:
     """Amount as text, a dash for null."""
-    return F.coalesce(F.concat(F.lit("R$ "), F.regexp_replace(F.translate(F.format_number(c, 2), ",.", ".,"), ",00$", "")), F.lit("—"))
+    return F.coalesce(F.concat(F.lit("R$ "), plain_number(c)), F.lit("—"))
 
 
 def escape_html(c: Column) -> Column:
@@ -231,30 +250,38 @@ def link_text(c: Column) -> Column:
 
 def parse_phone(c: Column, ddd: str | None = None) -> Column:
     """struct(exibicao, digitos, e164, celular) of a Brazilian number, or null."""
-    d = F.regexp_replace(c, r"\D", "")
-    d = F.when(d.startswith("55") & F.length(d).isin(12, 13), F.substring(d, 3, 20)).otherwise(d)
-    d = F.when(d.startswith("0") & F.length(d).isin(11, 12), F.substring(d, 2, 20)).otherwise(d)
+
+    def number(d: Column) -> Column:
+        num = F.substring(d, 3, 20)
+        long = F.length(num) == 9
+        shown = F.concat(F.lit("("), F.substring(d, 1, 2), F.lit(") "), F.when(long, F.substring(num, 1, 5)).otherwise(F.substring(num, 1, 4)), F.lit("-"), F.when(long, F.substring(num, 6, 9)).otherwise(F.substring(num, 5, 9)))
+        return F.when(F.length(d).isin(10, 11), F.named_struct(F.lit("exibicao"), shown, F.lit("digitos"), d, F.lit("e164"), F.concat(F.lit("55"), d), F.lit("celular"), long & num.startswith("9")))
+
+    steps = [lambda d: F.when(d.startswith("55") & F.length(d).isin(12, 13), F.substring(d, 3, 20)).otherwise(d), lambda d: F.when(d.startswith("0") & F.length(d).isin(11, 12), F.substring(d, 2, 20)).otherwise(d)]
     if ddd:
-        d = F.when(F.length(d).isin(8, 9), F.concat(F.lit(ddd), d)).otherwise(d)
-    num = F.substring(d, 3, 20)
-    long = F.length(num) == 9
-    shown = F.concat(F.lit("("), F.substring(d, 1, 2), F.lit(") "), F.when(long, F.substring(num, 1, 5)).otherwise(F.substring(num, 1, 4)), F.lit("-"), F.when(long, F.substring(num, 6, 9)).otherwise(F.substring(num, 5, 9)))
-    return F.when(F.length(d).isin(10, 11), F.named_struct(F.lit("exibicao"), shown, F.lit("digitos"), d, F.lit("e164"), F.concat(F.lit("55"), d), F.lit("celular"), long & num.startswith("9")))
+        steps.append(lambda d: F.when(F.length(d).isin(8, 9), F.concat(F.lit(ddd), d)).otherwise(d))
+    out = F.regexp_replace(c, r"\D", "")
+    for f in [*steps, number]:
+        out = bind(out, f)
+    return out
 
 
 def make_contact(role: str, name: Column, phone: Column, whatsapp: Column | None = None, explicit: Column | None = None, email: Column | None = None, creci: Column | None = None, ddd: str | None = None) -> Column:
     """A contact; WhatsApp is the number said to be one, else the phone if said so or a mobile."""
     null = F.lit(None).cast("string")
-    tel, wa = parse_phone(phone, ddd), parse_phone(whatsapp if whatsapp is not None else null, ddd)
-    says = F.coalesce(explicit, tel["celular"]) if explicit is not None else tel["celular"]
-    return F.named_struct(  # named so that it can be read inside a lambda
-        F.lit("nome"), inline_plain(name),
-        F.lit("papel"), F.lit(role),
-        F.lit("telefone"), F.coalesce(tel["exibicao"], wa["exibicao"]),
-        F.lit("whatsapp"), F.coalesce(wa["e164"], F.when(says, tel["e164"])),
-        F.lit("email"), _none(F.trim(email if email is not None else null)),
-        F.lit("creci"), _none(F.trim(creci if creci is not None else null)),
-    )
+
+    def contact(tel: Column, wa: Column) -> Column:
+        says = F.coalesce(explicit, tel["celular"]) if explicit is not None else tel["celular"]
+        return F.named_struct(  # named so that it can be read inside a lambda
+            F.lit("nome"), inline(name),
+            F.lit("papel"), F.lit(role),
+            F.lit("telefone"), F.coalesce(tel["exibicao"], wa["exibicao"]),
+            F.lit("whatsapp"), F.coalesce(wa["e164"], F.when(says, tel["e164"])),
+            F.lit("email"), _none(F.trim(email if email is not None else null)),
+            F.lit("creci"), _none(F.trim(creci if creci is not None else null)),
+        )
+
+    return bind(parse_phone(phone, ddd), lambda tel: bind(parse_phone(whatsapp if whatsapp is not None else null, ddd), lambda wa: contact(tel, wa)))
 
 
 def contact_key(c: Column) -> Column:
@@ -266,13 +293,15 @@ def contact_key(c: Column) -> Column:
 def dedupe_contacts(c: Column) -> Column:
     """Contacts one can reach, one of each key in order of appearance, completed from the later ones."""
     some = lambda x: x.isNotNull() & (x != "")
-    good = F.filter(c, lambda x: some(x["telefone"]) | some(x["whatsapp"]) | some(x["email"]) | (some(x["nome"]) & some(x["creci"])))
-    keys = F.array_distinct(F.transform(good, contact_key))
+    reachable = lambda x: some(x["telefone"]) | some(x["whatsapp"]) | some(x["email"]) | (some(x["nome"]) & some(x["creci"]))
 
-    def fuse(k: Column) -> Column:
-        own = F.filter(good, lambda x: contact_key(x) == k)
+    def fuse(own: Column) -> Column:
         first = lambda f: F.get(F.filter(F.transform(own, lambda x: x[f]), lambda v: v.isNotNull()), F.lit(0))
         head = F.get(own, F.lit(0))
-        return F.struct(first("nome").alias("nome"), head["papel"].alias("papel"), head["telefone"].alias("telefone"), first("whatsapp").alias("whatsapp"), first("email").alias("email"), first("creci").alias("creci"))
+        return F.named_struct(*[y for f in ("nome", "papel", "telefone", "whatsapp", "email", "creci") for y in (F.lit(f), head[f] if f in ("papel", "telefone") else first(f))])
+
+    def whole(keyed: Column) -> Column:
+        keys = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
+        return F.transform(keys, lambda k: bind(F.transform(F.filter(keyed, lambda x: x["k"] == k), lambda x: x["c"]), fuse))
 
-    return F.transform(keys, fuse)
+    return bind(F.transform(F.filter(c, reachable), lambda x: F.named_struct(F.lit("k"), contact_key(x), F.lit("c"), x)), whole)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import all_of, refine_type, stat_family
+from ..functions.classify import all_of, facet_types, refine_type, type_label
 from ..functions.text import norm, slugify, strip_accents
-from ..schema import NON_RESIDENTIAL
+from ..schema import NON_RESIDENTIAL, STATUSES
 
 
 def meets_criteria(listings: DataFrame, max_rent: float, types: list[str], min_rooms: int = 0, city: str | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def facets(*, tab: str = "todos", ceiling: float | None = None, base: str = "alu
     if rooms:
         conds.append(F.coalesce(F.col("quartos") >= rooms, F.lit(False)))
     if family:
-        conds.append(stat_family(F.col("tipo")) == family)
+        conds.append(F.col("tipo").isin(*facet_types(family)))
     if source:
         conds.append(F.col("fonte") == source)
     if pet:
@@ -57,7 +57,7 @@ def facets(*, tab: str = "todos", ceiling: float | None = None, base: str = "alu
     if new_since is not None:
         conds.append(F.col("primeira_vez") == new_since)
     if text.strip():
-        conds.append(matches_text(text, *[F.col(c) for c in ("titulo", "bairro", "endereco", "anunciante", "descricao", "referencia", "tipo")]))
+        conds.append(matches_text(text, *[F.col(c) for c in ("titulo", "bairro", "endereco", "anunciante", "descricao", "referencia")], type_label(F.col("tipo"))))
     return all_of(conds)
 
 
@@ -93,8 +93,36 @@ def listing(state: DataFrame, where: Column | None = None, order: str = "recente
     return rows.limit(limit) if limit and limit > 0 else rows
 
 
-def health(rows: DataFrame, by: str) -> DataFrame:
-    """Verdict on each source's scan: no rows, degraded (over half without price, or bad titles), or ok."""
+def page_of(state: DataFrame, where: Column | None = None, order: str = "recentes", limit: int | None = None) -> DataFrame:
+    """``listing`` with ``de``, the number of rows before the limit, in every row; no or a non-positive limit takes all."""
+    by = ORDERS.get(order, ORDERS["recentes"])()
+    rows = first_per_group(state.where(where) if where is not None else state, by)
+    total = rows.agg(F.count(F.lit(1)).alias("de"))  # one row
+    cut = rows.orderBy(*by).limit(limit) if limit and limit > 0 else rows.orderBy(*by)
+    return cut.crossJoin(F.broadcast(total))
+
+
+def console_filter(state: DataFrame, *, every: bool = False, status: str | None = None, last_run: DataFrame | None = None, unread: bool = False) -> DataFrame:
+    """The console's list filters: active rows unless ``every``; of a status; new in the last run; without an annotation and not discarded."""
+    if status is not None and status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}")
+    rows = state if every else state.where("ativo")
+    if status:
+        rows = rows.where(F.col("status") == status)
+    if unread:
+        rows = rows.where(F.col("ia").isNull() & (F.col("status") != "descartado"))
+    return rows if last_run is None else rows.join(last_run.select(F.explode("novos").alias("chave")).distinct(), "chave", "left_semi")
+
+
+def health(rows: DataFrame, sources: DataFrame, by: str = "fonte", scans: DataFrame | None = None) -> DataFrame:
+    """Verdict on each source's scan: blocked (inconclusive), no rows, degraded (over half without price, or bad titles), or ok.
+
+    ``sources`` names every source scanned, so that one without rows is told; ``scans`` (by, erro) has
+    the error of those that failed.
+    """
     bad = F.coalesce(F.col("titulo").rlike(r"(?i)&[a-z]+;|<\w+"), F.lit(False)) | ~F.coalesce(F.col("url").startswith("http"), F.lit(False))
     a = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("aluguel").isNull()).alias("sem_preco"), F.count_if(bad).alias("ruins"))
-    return a.withColumn("veredito", F.when(F.col("n") == 0, "sem resultados").when((F.col("sem_preco") * 2 > F.col("n")) | (F.col("ruins") > 0), "degradado").otherwise("ok"))
+    out = sources.select(by).distinct().join(a, by, "left").fillna(0, ["n", "sem_preco", "ruins"])
+    out = out.join(scans.select(by, "erro"), by, "left") if scans is not None else out.withColumn("erro", F.lit(None).cast("string"))
+    verdict = F.when(F.col("erro") == "bloqueado", "inconclusivo").when(F.col("erro").isNotNull(), "erro").when(F.col("n") == 0, "sem resultados")
+    return out.withColumn("veredito", verdict.when((F.col("sem_preco") * 2 > F.col("n")) | (F.col("ruins") > 0), "degradado").otherwise("ok")).drop("erro")

@@ -26,8 +26,8 @@ def is_empty(c: Column, kind: str) -> Column:
     return c.isNull() | (c == "") if kind == "string" else c.isNull()
 
 
-def default_row(df: DataFrame, schema: str = LISTING) -> DataFrame:
-    """``df`` with every column of the schema: missing ones are null, or empty lists, or false."""
+def default_row(df: DataFrame, schema: str = LISTING, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with every column of the schema, missing ones null, or empty lists, or false; and the columns ``keep``."""
     out = []
     for name, kind in columns(schema):
         c = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
@@ -36,7 +36,7 @@ def default_row(df: DataFrame, schema: str = LISTING) -> DataFrame:
         elif name in ("coord_aprox", "detalhado"):
             c = F.coalesce(c, F.lit(False))
         out.append(c.alias(name))
-    return df.select(*out)
+    return df.select(*out, *keep)
 
 
 def overlay(listing: DataFrame, detail: DataFrame, on: list[str]) -> DataFrame:
@@ -78,6 +78,12 @@ def merged(name: str, kind: str) -> Column:
     return kept
 
 
+def merged_total(rent: Column | None = None, condo: Column | None = None, tax: Column | None = None) -> Column:
+    """The larger of the incoming total and the sum of the merged parts; none of either is null."""
+    parts = [c if c is not None else merged(n, "double") for n, c in (("aluguel", rent), ("condominio", condo), ("iptu", tax))]
+    return F.nullif(F.greatest(F.coalesce(F.col("n.total"), F.lit(0.0)), F.coalesce(compute_total(*parts), F.lit(0.0))), F.lit(0.0))
+
+
 def append_history(history: Column, day: Column, rent: Column, total: Column) -> Column:
     """History with a new point if the rent differs from the last one's (null-safe); the last 20 stay."""
     last = F.try_element_at(history, F.lit(-1))["aluguel"]
@@ -108,9 +114,8 @@ def apply_results(state: DataFrame, batch: DataFrame, complete: DataFrame, now:
     action = F.when(new, "inserir").when(seen, "atualizar").when(gone, "desativar").otherwise("manter")
     j = j.withColumn("acao", action)
     fields = columns(LISTING)
-    for name, kind in fields:
-        j = j.withColumn(f"m_{name}", F.when(new, F.col(f"n.{name}")).when(seen, merged(name, kind)).otherwise(F.col(f"p.{name}")))
-    total = F.nullif(F.greatest(F.coalesce(F.col("n.total"), F.lit(0.0)), F.coalesce(compute_total(F.col("m_aluguel"), F.col("m_condominio"), F.col("m_iptu")), F.lit(0.0))), F.lit(0.0))
+    j = j.withColumns({f"m_{name}": F.when(new, F.col(f"n.{name}")).when(seen, merged(name, kind)).otherwise(F.col(f"p.{name}")) for name, kind in fields})
+    total = merged_total(F.col("m_aluguel"), F.col("m_condominio"), F.col("m_iptu"))
     j = j.withColumn("m_total", F.when(seen & ~new, F.when(F.col("m_aluguel").isNotNull(), total)).otherwise(F.col("m_total")))
     kinds = dict(columns(LIFECYCLE))
     start = F.array(F.struct(day.alias("data"), F.col("m_aluguel").alias("aluguel"), F.col("m_total").alias("total"))).cast(kinds["historico_precos"])
@@ -135,6 +140,69 @@ def to_detail(batch: DataFrame, state: DataFrame, again: bool = False) -> DataFr
     return rows if again else rows.join(known, "chave", "left_anti")
 
 
+def union_scans(scans: list[DataFrame]) -> DataFrame:
+    """The rows of several sources' scans, by column name; one at least."""
+    out = scans[0]
+    for s in scans[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def gone_rows(state: DataFrame, seen: DataFrame, complete: DataFrame) -> DataFrame:
+    """Active rows of completely scanned sources whose key the scan did not see."""
+    done = complete.where("completo").select("fonte").distinct()
+    return state.where("ativo").join(done, "fonte", "left_semi").join(seen.select("chave"), "chave", "left_anti")
+
+
+def in_keys(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is among ``keys``."""
+    return state.join(keys.select("chave"), "chave", "left_semi")
+
+
+def in_last_run(state: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows that the last run found first."""
+    return in_keys(state, last_run(runs).select(F.explode("novos").alias("chave")))
+
+
+def last_run(runs: DataFrame) -> DataFrame:
+    """The latest run, one row or none."""
+    return runs.orderBy(F.desc("inicio")).limit(1)
+
+
+def new_in_order(run: DataFrame, state: DataFrame) -> DataFrame:
+    """(pos, state row) of a run's new keys, in its order; keys no longer there are left out."""
+    return run.select(F.posexplode("novos").alias("pos", "chave")).join(state, "chave")
+
+
+def seen_span(observations: DataFrame, by: str, at: str, **last: tuple[str, list[str]]) -> DataFrame:
+    """(by, primeira, ultima, ...): first and last sighting of each key, and values at the last by (column, order)."""
+    return observations.groupBy(by).agg(F.min(at).alias("primeira"), F.max(at).alias("ultima"), *[F.max_by(c, F.struct(*order)).alias(n) for n, (c, order) in last.items()])
+
+
+def run_summary(changes: DataFrame, scans: DataFrame, details: DataFrame) -> DataFrame:
+    """One row a source of a run: ok, encontrados, novos, atualizados, removidos, detalhados, erro, avisos, ms.
+
+    ``changes`` is a merge's result, ``scans`` has (fonte, encontrados, erro, avisos, ms), ``details`` one row a detail
+    page read (fonte, ord, id, erro). The first three failures of details are told, the others counted.
+    """
+    many = F.count(F.col("erro"))
+    told = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("erro").isNotNull(), F.struct("ord", "id", "erro")))), 1, 3), lambda x: F.concat(F.lit("detalhe "), x["id"], F.lit(": "), x["erro"]))
+    more = F.when(many > 3, F.array(F.concat(F.lit("... e mais "), (many - 3).cast("string"), F.lit(" falhas de detalhe")))).otherwise(F.array().cast("array<string>"))
+    d = details.groupBy("fonte").agg(F.count_if(F.col("erro").isNull()).alias("detalhados"), F.concat(told, more).alias("falhas"))
+    none = F.array().cast("array<string>")
+    counted = scans.join(run_counts(changes), "fonte", "left").join(d, "fonte", "left")
+    n = lambda c: F.when(F.col("erro").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("int").alias(c)
+    return counted.select("fonte", F.col("erro").isNull().alias("ok"), n("encontrados"), n("novos"), n("atualizados"), n("removidos"), n("detalhados"), "erro", F.concat(F.coalesce("avisos", none), F.coalesce("falhas", none)).alias("avisos"), F.col("ms").cast("long").alias("ms"))
+
+
+def run_row(summary: DataFrame, changes: DataFrame, begin: str, end: str) -> DataFrame:
+    """The run log's row: its sources' summaries by id (a row for each configured source) and the new keys in stored order."""
+    parts = [c for c in summary.columns if c != "fonte"]
+    sources = summary.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fonte", F.struct(*parts).alias("r"))))).alias("fontes"))
+    new = changes.where("acao = 'inserir'").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chave"))), lambda x: x["chave"]).alias("novos"))
+    return sources.crossJoin(new).select(F.lit(begin).alias("id"), F.lit(begin).alias("inicio"), F.lit(end).alias("fim"), "fontes", "novos")
+
+
 def run_counts(changes: DataFrame) -> DataFrame:
     """(fonte, novos, atualizados, removidos) of a merge."""
     return changes.groupBy("fonte").agg(F.count_if(F.col("acao") == "inserir").alias("novos"), F.count_if(F.col("acao") == "atualizar").alias("atualizados"), F.count_if(F.col("acao") == "desativar").alias("removidos"))

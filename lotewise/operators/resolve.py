@@ -9,6 +9,8 @@ replay. A component is a handful of listings; that is the unit of the grouped fu
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def resolve_source(ads: DataFrame, sources: DataFrame) -> DataFrame:
     who = ads.select("anunciante").distinct().withColumn("who", normalize_name(F.col("anunciante"))).where(F.length("who") >= 3)
     a, b = F.col("who"), F.col("name")
     ok = (a == b) | ((F.length(b) >= 5) & F.contains(a, b)) | ((F.length(a) >= 5) & F.contains(b, a))
-    return who.join(F.broadcast(names), ok).groupBy("anunciante").agg(F.min_by("id", F.struct("pos", "at")).alias("fonte_resolvida"))  # the source catalogue is a config file
+    return who.join(names, ok).groupBy("anunciante").agg(F.min_by("id", F.struct("pos", "at")).alias("fonte_resolvida"))  # Spark broadcasts the catalogue, a config file, if it is small
 
 
 def reference_edges(state: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -49,32 +51,33 @@ def equal_if_known(a: Column, b: Column) -> Column:
 
 def attribute_edges(state: DataFrame) -> DataFrame:
     """Edges between listings of different sources that agree in rent, family, neighbourhood, rooms and size."""
-    own = state.where("ativo AND aluguel IS NOT NULL AND area IS NOT NULL AND quartos IS NOT NULL").select("chave", "fonte", "ord", "aluguel", match_family(F.col("tipo")).alias("familia"), normalize_bairro(F.col("bairro")).alias("b_norm"), "quartos", "area", "banheiros", "vagas", "condominio").where("b_norm <> ''")
+    # areas that agree are one band apart at most: bands of 2 up to 50, of 4 % beyond, both a little wider
+    band = F.floor(0.98 * F.when(F.col("area") <= 50, F.col("area") / 2).otherwise(25 + F.log(F.greatest(F.col("area"), F.lit(50.0)) / 50) / -math.log(0.96))).cast("int")
+    own = state.where("ativo AND aluguel IS NOT NULL AND area IS NOT NULL AND quartos IS NOT NULL").withColumn("band", band).select("chave", "fonte", "ord", "aluguel", match_family(F.col("tipo")).alias("familia"), normalize_bairro(F.col("bairro")).alias("b_norm"), "quartos", "area", "banheiros", "vagas", "condominio", "band").where("b_norm <> ''")
     lead = state.where("ativo AND aluguel IS NOT NULL").groupBy("aluguel").agg(F.min("ord").alias("r1"))
-    x, y = own.alias("x"), own.alias("y")
-    keys = ["aluguel", "familia", "b_norm", "quartos"]
+    x, y = own.alias("x"), own.withColumn("band", F.explode(F.expr("array(band - 1, band, band + 1)"))).alias("y")
+    keys = ["aluguel", "familia", "b_norm", "quartos", "band"]
     cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
     near = (F.col("x.ord") < F.col("y.ord")) & (F.col("x.fonte") != F.col("y.fonte")) & areas_agree(F.col("x.area"), F.col("y.area")) & equal_if_known(F.col("x.banheiros"), F.col("y.banheiros")) & equal_if_known(F.col("x.vagas"), F.col("y.vagas"))
     near &= F.col("x.condominio").isNull() | F.col("y.condominio").isNull() | (F.abs(F.col("x.condominio") - F.col("y.condominio")) <= 5)
-    pairs = x.join(y, cond[0] & cond[1] & cond[2] & cond[3] & near).select(F.col("x.aluguel").alias("aluguel"), F.col("x.ord").alias("r2"), F.col("y.ord").alias("r3"), F.col("x.chave").alias("a"), F.col("y.chave").alias("b"))
+    pairs = x.join(y, cond[0] & cond[1] & cond[2] & cond[3] & cond[4] & near).select(F.col("x.aluguel").alias("aluguel"), F.col("x.ord").alias("r2"), F.col("y.ord").alias("r3"), F.col("x.chave").alias("a"), F.col("y.chave").alias("b"))
     return pairs.join(lead, "aluguel").select(F.lit(1).alias("stage"), "r1", "r2", "r3", "a", "b")
 
 
-def label_components(edges: DataFrame, checkpoint, rounds: int = 30) -> DataFrame:
+def label_components(edges: DataFrame, checkpoint) -> DataFrame:
     """(chave, comp): the least key that edges reach, by min-label propagation with pointer jumping.
 
     ``checkpoint`` stores a DataFrame where it survives lost executors.
     """
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    for _ in range(rounds):
+    while True:  # labels only fall, so a round that changes nothing comes
         near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         jump = labels.select(F.col("a").alias("comp"), F.col("comp").alias("far"))
         new = checkpoint(labels.join(near, "a").join(jump, "comp", "left").select("a", F.least("comp", "near", "far").alias("comp")))
         if new.join(labels.withColumnRenamed("comp", "old"), "a").where("comp <> old").isEmpty():
             return new.withColumnRenamed("a", "chave")
         labels = new
-    return labels.withColumnRenamed("a", "chave")
 
 
 def replay(pdf: pd.DataFrame) -> pd.DataFrame:

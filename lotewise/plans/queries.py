@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..operators import commands, criteria, merge, resolve, views
-from ..sources import pages as page_functions
 from .facade import LISTINGS, OBSERVATIONS, listings, observations, state, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +46,7 @@ def market_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.market_stats(listings(spark, sf_dir))
 
 
-@query(_L + "SELECT count(*) AS total, count(*) FILTER (ativo) AS ativos, count(*) FILTER (ativo AND status <> 'descartado') AS sem_ia, count(DISTINCT grupo) AS grupos FROM l")
+@query(_L + "SELECT count(*) AS total, count(*) FILTER (ativo) AS ativos, count(*) FILTER (ativo AND status <> 'descartado') AS sem_ia, count(DISTINCT grupo) FILTER (ativo) AS grupos FROM l")
 def state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.summary(state(spark, sf_dir)).select("total", "ativos", "sem_ia", "grupos")
 
@@ -113,7 +112,7 @@ def price_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_O + "SELECT chave, min(ts) AS primeira, max(ts) AS ultima, arg_max(aluguel, struct_pack(a := ts, b := l_orderkey, c := l_linenumber)) AS aluguel FROM o GROUP BY chave")
 def first_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).groupBy("chave").agg(F.min("ts").alias("primeira"), F.max("ts").alias("ultima"), F.max_by("aluguel", F.struct(*_ORDER)).alias("aluguel"))
+    return merge.seen_span(observations(spark, sf_dir), "chave", "ts", aluguel=("aluguel", _ORDER))
 
 
 _CUT = "TIMESTAMP '1996-01-01'"
@@ -151,13 +150,16 @@ def new_keys_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_O + f"SELECT DISTINCT chave FROM o WHERE ts < {_CUT} AND fonte % 2 = 0 AND chave NOT IN (SELECT chave FROM o WHERE ts >= {_CUT})")
 def disappeared_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _halves(spark, sf_dir)
-    return old.where("fonte % 2 = 0").join(new, "chave", "left_anti").select("chave")
+    done = old.select("fonte").distinct().withColumn("completo", F.col("fonte") % 2 == 0)
+    return merge.gone_rows(old.withColumn("ativo", F.lit(True)), new, done).select("chave")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def semi_last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(run, "o_orderkey", "left_semi").select("o_orderkey")
+    """Orders as rows of the state; those with a returned item are the run's new keys."""
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("chave"))
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "chave")
+    return merge.in_keys(rows, back).select(F.col("chave").alias("o_orderkey"))
 
 
 @query("SELECT c_custkey, c_name, n_nationkey AS fonte FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -219,8 +221,9 @@ def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, coalesce(c_name, concat('', o_custkey)) AS nome FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
 def name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return table(spark, sf_dir, "orders").join(names, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.col("o_custkey").cast("string")).alias("nome"))
+    names = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("nome"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("fonte"))
+    return views.named_source(orders, names).select("o_orderkey", F.col("fonte_nome").alias("nome"))
 
 
 @query("SELECT c_custkey AS chave, coalesce(s, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -229,9 +232,9 @@ def overlay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.overlay_local(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chave"), "c_mktsegment"), local)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 77")
+@query(_L + "SELECT chave, titulo FROM l WHERE chave = 'f0:77'")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey = 77").select("c_custkey", "c_name")
+    return commands.lookup(listings(spark, sf_dir), "f0:77").select("chave", "titulo")
 
 
 @query("SELECT CAST(ts AS DATE) AS dia, count(*) FILTER (event_type = 'click') AS novos, count(*) FILTER (event_type = 'view') AS atualizados, count(*) FILTER (event_type = 'purchase') AS removidos FROM events GROUP BY 1")
@@ -241,10 +244,19 @@ def run_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.run_counts(e).withColumnRenamed("fonte", "dia")
 
 
-@query("SELECT host, n, sem_preco, ruins, CASE WHEN sem_preco * 2 > n OR ruins > 0 THEN 'degradado' ELSE 'ok' END AS veredito FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n, count(*) FILTER (page_id % 3 = 0) AS sem_preco, count(*) FILTER (NOT starts_with(url, 'http')) AS ruins FROM pages GROUP BY 1)")
+@query(
+    """WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, * FROM pages), s AS (SELECT DISTINCT host FROM p UNION ALL SELECT 'vazio.example' UNION ALL SELECT 'recusa.example' UNION ALL SELECT 'quebra.example'),
+    a AS (SELECT host, count(*) AS n, count(*) FILTER (page_id % 3 = 0) AS sem_preco, count(*) FILTER (NOT starts_with(url, 'http') OR page_id % 97 = 0) AS ruins FROM p GROUP BY 1)
+    SELECT s.host, coalesce(n, 0) AS n, coalesce(sem_preco, 0) AS sem_preco, coalesce(ruins, 0) AS ruins,
+        CASE WHEN s.host = 'recusa.example' THEN 'inconclusivo' WHEN s.host = 'quebra.example' THEN 'erro' WHEN n IS NULL THEN 'sem resultados' WHEN sem_preco * 2 > n OR ruins > 0 THEN 'degradado' ELSE 'ok' END AS veredito
+    FROM s LEFT JOIN a ON s.host = a.host"""
+)
 def health_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "url", F.lit("x").alias("titulo"), F.when(F.col("page_id") % 3 != 0, 1.0).alias("aluguel"))
-    return criteria.health(rows, "host")
+    """Each host is a source, three more have no rows; every 97th title has an entity left in it."""
+    rows = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "url", F.when(F.col("page_id") % 97 == 0, "Casa &atilde; venda").otherwise("Casa").alias("titulo"), F.when(F.col("page_id") % 3 != 0, 1.0).alias("aluguel"))
+    more = spark.range(1).select(F.explode(F.array(*map(F.lit, ("vazio.example", "recusa.example", "quebra.example")))).alias("host"))
+    failed = spark.range(1).select(F.inline(F.array(F.struct(F.lit("recusa.example").alias("host"), F.lit("bloqueado").alias("erro")), F.struct(F.lit("quebra.example").alias("host"), F.lit("erro").alias("erro")))))
+    return criteria.health(rows, rows.select("host").unionByName(more), "host", failed)
 
 
 @query("SELECT conv_id, arg_min(turn, struct_pack(a := CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN 0 WHEN turn % 2 = 1 THEN 1 ELSE 2 END, b := turn)) AS turno FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE turn IS NOT NULL AND role IS NOT NULL) GROUP BY conv_id")
@@ -265,9 +277,17 @@ def slug_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.slugify(F.col("url")).alias("slug"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))
 
 
-@query("SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', '', 'g')) > 0 AS tem_texto FROM pages")
+_STRIPPED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style).*?</(script|style)>', ' ', 'gis'), '<\\s*br\\s*/?>', chr(10), 'gi'), '</(p|li|div|h[0-9]|tr|ul|ol|section|article)>', chr(10), 'gi'), '<li[^>]*>', '- ', 'gi'), '<[^>]+>', ' ', 'g')"
+_DECODED = f"replace(replace(replace(replace({_STRIPPED}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace({_DECODED}, chr(13), ''), concat('[ ', chr(9), chr(160), ']+'), ' ', 'g'), concat(' ?', chr(10), ' ?'), chr(10), 'g'), concat(chr(10), '{{3,}}'), concat(chr(10), chr(10)), 'g') AS t FROM pages)
+    SELECT page_id, nullif(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '') AS texto FROM t"""
+)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", (F.length(text.html_to_text(F.col("html"))) > 0).alias("tem_texto"))
+    """The text itself of every page; the pages' own entities are four, ``entities`` has others."""
+    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("texto"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice AS valor FROM lineitem")
@@ -301,13 +321,6 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query()
-def jsonld_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"A","n":'), F.col("page_id").cast("string"), F.lit('},{"@type":"B"}]}</script>'), F.coalesce("html", F.lit("")))
-    items = page_functions.json_ld(page)
-    return table(spark, sf_dir, "pages").select("page_id", F.size(items).cast("int").alias("n"), F.try_variant_get(F.get(items, F.lit(0)), "$.n", "bigint").alias("first"))
-
-
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS papeis FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations WHERE trim(role) <> '' GROUP BY 1, 2) GROUP BY 1")
 def set_uniq(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import urlsplit
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +59,17 @@ def sources(spark: SparkSession, c: Config, only: list[str] | None = None) -> Da
     rows = [(i, f["id"], f["nome"], f.get("plataforma"), f.get("url"), bool(f["ativo"]), f.get("apelidos") or [], f.get("aviso")) for i, f in enumerate(c.fontes)]
     df = spark.createDataFrame(rows, SOURCES)
     return df.where(df.id.isin(*only)) if only else df.where("ativo")
+
+
+def ad_hoc(platform: str, site: str, name: str | None = None) -> dict:
+    """A source that no configuration names, from its platform and site."""
+    url = site.rstrip("/")
+    host = urlsplit(url).hostname or ""
+    if not host:
+        raise ValueError(f"{site!r} is no address")
+    return {"id": re.sub("[^a-z0-9]", "", host.removeprefix("www.").split(".")[0]), "nome": name or host, "plataforma": platform, "url": url, "ativo": True}
+
+
+def from_environment(env: dict[str, str]) -> dict[str, str]:
+    """Where the configuration and the state are, unless the environment says otherwise."""
+    return {"config": env.get("LOTEWISE_CONFIG", "config/busca.json"), "data": env.get("LOTEWISE_DATA", "data")}

@@ -86,6 +86,12 @@ def _contacts(c: Column) -> Column:
     return F.coalesce(dedupe_contacts(c).cast(f"array<{CONTACT}>"), _no(CONTACT))
 
 
+def variant_number(v: Column | str, path: str) -> Column:
+    """A number of a variant: JSON numbers as they are, text by the notation of money."""
+    raw = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(raw).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, path, "double")).otherwise(parse_brl(F.try_variant_get(v, path, "string")))
+
+
 def msys_contacts(info: Column, name: Column, ddd: str | None = None) -> Column:
     """The agency's contacts in a site's imobInfo (variant); a phone may hold several numbers."""
     s = lambda v, p: F.try_variant_get(v, p, "string")
@@ -109,9 +115,9 @@ def _template(html: Column) -> Column:
 
 
 def msys_site(pages: DataFrame) -> DataFrame:
-    """Captured city pages (column ``html``, one a source) to (fonte, site_contatos, site_nomes), as ``msys`` takes them."""
+    """Captured city pages (column ``html``, one a source) to (fonte, imob, site_contatos, site_nomes), as ``msys`` takes them."""
     t = pages.select("fonte", "fonte_nome", _template(F.col("html")).alias("t"))
-    return t.select("fonte", msys_contacts(F.try_variant_get("t", "$.imobInfo", "variant"), F.col("fonte_nome")).alias("site_contatos"), msys_names(F.col("t")).alias("site_nomes"))
+    return t.select("fonte", F.try_variant_get("t", "$.imob", "string").alias("imob"), msys_contacts(F.try_variant_get("t", "$.imobInfo", "variant"), F.col("fonte_nome")).alias("site_contatos"), msys_names(F.col("t")).alias("site_nomes"))
 
 
 def _named(names: Column, id_: Column) -> Column:
@@ -130,9 +136,20 @@ def _finished(tags: Column) -> Column:
     return F.when(F.array_contains(out, "Semimobiliado"), F.array_remove(out, "Mobiliado")).otherwise(out)
 
 
-def msys(docs: DataFrame, site: DataFrame | None = None) -> DataFrame:
-    """API documents (column ``doc``: variant) to listings; contacts and tags need the ``msys_site`` of their sources."""
-    return _msys(docs.join(F.broadcast(site), "fonte", "left") if site is not None else docs)
+def msys(docs: DataFrame, site: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """API documents (column ``doc``: variant) to listings; contacts and tags need the ``msys_site`` of their sources.
+
+    Columns named in ``keep`` stay, as they do in the other parsers.
+    """
+    return _msys(docs.join(site, "fonte", "left") if site is not None else docs, keep)
+
+
+def msys_place(template: Column, city: Column) -> Column:
+    """Id of a city at a site (variant): of the place of that name, else the first of the site's list if it has places."""
+    places = _list(template, "$.data.initialPlaces")
+    name = lambda p: slugify(F.coalesce(F.try_variant_get(p, "$.city.namCity", "string"), F.lit("")))
+    own = F.try_variant_get(F.get(F.filter(places, lambda p: name(p) == slugify(city)), F.lit(0)), "$.city.idtCity", "int")
+    return F.coalesce(own, F.when(F.size(places) > 0, F.try_variant_get(template, "$.data.initialData.idtCityList[0]", "int")))
 
 
 def msys_detail(pages: DataFrame, ddd: str | None = None) -> DataFrame:
@@ -151,7 +168,7 @@ def msys_detail(pages: DataFrame, ddd: str | None = None) -> DataFrame:
     return _msys(t.withColumns({"extra": _tags(names), "corretores": brokers, "base": origin, "detalhado": F.lit(True)}))
 
 
-def _msys(docs: DataFrame) -> DataFrame:
+def _msys(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     have = lambda name, none: F.coalesce(F.col(name), none) if name in docs.columns else none
     s = lambda p: _v("doc", p)
     char = lambda k: s(f"prop_char_{MSYS_IDS[k]}")
@@ -182,9 +199,9 @@ def _msys(docs: DataFrame) -> DataFrame:
         F.when(has_id(ids, MSYS_IDS["furnished"]) | has_id(ids, MSYS_IDS["semi"]), True).otherwise(infer_furnished(title, text)).alias("mobiliado"),
         F.when(has_id(ids, MSYS_IDS["no_pet"]), False).when(has_id(ids, MSYS_IDS["pet"]), True).otherwise(infer_pet(text)).alias("aceita_pet"),
         infer_guarantees(text).alias("garantias"), s("idtProperty").alias("referencia"), s("dtaInsert").alias("publicado_em"), s("dtaUpdate").alias("atualizado_em"),
-        _contacts(F.concat(have("corretores", _no(CONTACT)), have("site_contatos", _no(CONTACT)))).alias("contatos"), have("detalhado", F.lit(False)).alias("detalhado"),
+        _contacts(F.concat(have("corretores", _no(CONTACT)), have("site_contatos", _no(CONTACT)))).alias("contatos"), have("detalhado", F.lit(False)).alias("detalhado"), *keep,
     )
-    return default_row(rows.withColumn("total", compute_total(F.col("aluguel"), F.col("condominio"), F.col("iptu"))))
+    return default_row(rows.withColumn("total", compute_total(F.col("aluguel"), F.col("condominio"), F.col("iptu"))), keep=keep)
 
 
 def ksi_total(html: Column) -> Column:
@@ -197,10 +214,12 @@ def ksi_phones(html: Column) -> Column:
     return uniq(F.regexp_extract_all(html, F.lit(r"(?i)href=[\"']tel:([+\d()\s-]{8,})[\"']"), F.lit(1)))
 
 
-def ksi(pages: DataFrame) -> DataFrame:
-    """List pages (column ``html``): one row a card, with the first two of its page's agency phones."""
+def ksi(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """List pages (column ``html``): one row a card, with the first two of its page's agency phones; ``pos`` can be kept."""
     agency = _contacts(F.transform(F.slice(ksi_phones(F.col("html")), 1, 2), lambda p: make_contact("imobiliaria", F.col("fonte_nome"), p)))
-    cards = pages.select("fonte", "fonte_nome", "base", agency.alias("contatos"), F.explode(F.slice(F.split("html", '<div class="card card-imo"'), 2, 100_000)).alias("card"))
+    from_page = [c for c in keep if c != "pos"]
+    parts = F.split("html", '<div class="card card-imo"')
+    cards = pages.select("fonte", "fonte_nome", "base", *from_page, agency.alias("contatos"), F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(0)))).alias("pos", "card"))
     x = lambda p, g=1: F.nullif(F.regexp_extract("card", p, g), F.lit(""))
     count = lambda p: half_up(parse_brl(x(p))).cast("int")
     cards = cards.withColumns({"href": x(r'href="((?:/)?alugar/[^"]+?/\d+)"'), "code": x(r"(?i)C(?:&oacute;|ó)d\.\s*<strong>\s*([\w-]+)\s*</strong>"), "place": inline(html_to_text(x(r'(?s)card-bairro-cidade-texto">(.*?)</div>'))), "texto": html_to_text(x(r'(?s)<div class="card-texto">\s*<p>(.*?)</p>'))})
@@ -217,15 +236,25 @@ def ksi(pages: DataFrame) -> DataFrame:
         count(r'(?i)title="(\d+)\s+Dormit').alias("quartos"), count(r'(?i)title="(\d+)\s+Su(?:&iacute;|í|i)te').alias("suites"), count(r'(?i)title="(\d+)\s+Banh').alias("banheiros"), count(r'(?i)title="(\d+)\s+(?:Vaga|Garag)').alias("vagas"), parse_brl(x(r'(?i)title="([\d.,]+)\s*M(?:&sup2;|²|2)"')).alias("area"),
         fix_upper_case(F.when(F.contains("place", F.lit(" - ")), F.expr("substring(place, 1, length(place) - length(substring_index(place, ' - ', -1)) - 3)"))).alias("bairro"), fix_upper_case(F.trim(F.regexp_replace(city, "/[A-Z]{2}$", ""))).alias("cidade"), F.nullif(F.regexp_extract(city, "/([A-Z]{2})$", 1), F.lit("")).alias("uf"),
         uniq(F.transform(F.regexp_extract_all("card", F.lit('data-flickity-lazyload-src="([^"]+)"'), F.lit(1)), lambda u: F.replace(u, F.lit("/foto_thumb/"), F.lit("/foto_/")))).alias("fotos"), F.col("texto").alias("descricao"),
-        infer_furnished(seg(3), F.col("texto")).alias("mobiliado"), infer_pet(F.col("texto")).alias("aceita_pet"), infer_guarantees(F.col("texto")).alias("garantias"), id_.alias("referencia"), "contatos",
+        infer_furnished(seg(3), F.col("texto")).alias("mobiliado"), infer_pet(F.col("texto")).alias("aceita_pet"), infer_guarantees(F.col("texto")).alias("garantias"), id_.alias("referencia"), "contatos", *keep,
     )
-    return default_row(rows)
+    return default_row(rows, keep=keep)
+
+
+def offer_list(html: Column) -> Column:
+    """The page's JSON-LD list of offers, a variant, or null."""
+    return F.get(F.filter(json_ld(html), lambda v: (F.try_variant_get(v, '$["@type"]', "string") == "RealEstateListing") & F.try_variant_get(v, "$.offers.itemListElement", "array<variant>").isNotNull()), F.lit(0))
 
 
-def aggregator(pages: DataFrame, city_slug: str) -> DataFrame:
+def aggregator_total(html: Column) -> Column:
+    """Offers that a list page announces."""
+    return F.try_variant_get(offer_list(html), "$.offers.numberOfItems", "int")
+
+
+def aggregator(pages: DataFrame, city_slug: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """List pages of the aggregator (column ``html``): offers of the page's JSON-LD that are rentals in the city."""
-    lists = F.filter(json_ld(F.col("html")), lambda v: (F.try_variant_get(v, '$["@type"]', "string") == "RealEstateListing") & F.try_variant_get(v, "$.offers.itemListElement", "array<variant>").isNotNull())
-    offers = pages.select("fonte", F.explode(F.try_variant_get(F.get(lists, F.lit(0)), "$.offers.itemListElement", "array<variant>")).alias("o"))
+    from_page = [c for c in keep if c != "pos"]
+    offers = pages.select("fonte", *from_page, F.posexplode(F.try_variant_get(offer_list(F.col("html")), "$.offers.itemListElement", "array<variant>")).alias("pos", "o"))
     s = lambda p: _v("o", p)
     url = F.coalesce(s("url"), s('itemOffered["@id"]'))
     offers = offers.withColumn("link", url).where(F.contains("link", F.lit("-para-alugar-")) & F.contains("link", F.lit(f"-{city_slug}-")) & F.col("link").rlike(r"/id-\d+"))
@@ -237,9 +266,9 @@ def aggregator(pages: DataFrame, city_slug: str) -> DataFrame:
         map_type(F.replace(F.regexp_extract("link", "/imovel/([a-z-]+?)-para-alugar-", 1), F.lit("-"), F.lit(" "))).alias("tipo"), parse_brl(s("price")).alias("aluguel"), parse_brl(s("price")).alias("total"),
         parse_int(s("itemOffered.numberOfBedrooms")).alias("quartos"), parse_int(s("itemOffered.numberOfBathroomsTotal")).alias("banheiros"), F.when(~F.contains("link", F.lit("com-garagem")), 0).alias("vagas"), F.when(area > 1, area).alias("area"),
         fix_upper_case(s("itemOffered.address.addressLocality")).alias("bairro"), F.nullif(F.trim(F.get(region, F.lit(0))), F.lit("")).alias("cidade"), F.nullif(F.trim(F.get(region, F.lit(1))), F.lit("")).alias("uf"),
-        uniq(F.coalesce(F.try_variant_get("o", "$.itemOffered.image", "array<string>"), F.array(s("itemOffered.image")))).alias("fotos"),
+        uniq(F.coalesce(F.try_variant_get("o", "$.itemOffered.image", "array<string>"), F.array(s("itemOffered.image")))).alias("fotos"), *keep,
     )
-    return default_row(rows)
+    return default_row(rows, keep=keep)
 
 
 def kenlo_contacts(state: Column, name: Column) -> Column:
@@ -252,10 +281,44 @@ def kenlo_contacts(state: Column, name: Column) -> Column:
     return _contacts(F.concat(F.transform(chat, lambda c: make_contact("imobiliaria", name, c, whatsapp=c)), F.transform(phones, lambda p: make_contact("imobiliaria", name, s(p, "$.number"), explicit=is_wa(p)))))
 
 
-def kenlo(pages: DataFrame, widget: str = "listing") -> DataFrame:
-    """List pages (column ``html``): rows of the page's embedded state."""
-    state = pages.select("fonte", "fonte_nome", "base", widget_state(F.col("html"), widget).alias("state"))
-    d = state.select("fonte", "fonte_nome", "base", kenlo_contacts(F.col("state"), F.col("fonte_nome")).alias("contatos"), F.explode(F.try_variant_get("state", "$.listings", "array<variant>")).alias("d"))
+def kenlo_total(html: Column) -> Column:
+    """Listings that a result page announces; null where the page has no state."""
+    return F.try_variant_get(widget_state(html, "listings"), "$.settings.listings.count", "int")
+
+
+def kenlo(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """List pages (column ``html``): rows of the page's embedded state, with the agency's contacts."""
+    from_page = [c for c in keep if c != "pos"]
+    state = pages.select("fonte", "fonte_nome", "base", *from_page, widget_state(F.col("html"), "listings").alias("state"))
+    d = state.select("fonte", "fonte_nome", "base", *from_page, kenlo_contacts(F.col("state"), F.col("fonte_nome")).alias("contatos"), F.posexplode(F.try_variant_get("state", "$.settings.listings.data", "array<variant>")).alias("pos", "d"))
+    return _kenlo(d, keep)
+
+
+def kenlo_detail(pages: DataFrame) -> DataFrame:
+    """Detail pages (column ``html``) to listings with brokers, fees and place; pages without a listing give none."""
+    state = pages.select("fonte", "fonte_nome", "base", widget_state(F.col("html"), "listing-details").alias("state")).withColumn("d", F.try_variant_get("state", "$.settings.listing[0]", "variant")).where("d IS NOT NULL")
+    s = lambda v, p: F.try_variant_get(v, p, "string")
+    agency = kenlo_contacts(F.col("state"), F.col("fonte_nome"))
+    whats = lambda b: F.coalesce(s(b, "$.broker_whatsapp") != "false", F.lit(True))
+
+    def broker(b: Column) -> Column:
+        of = lambda phone, **kw: make_contact("corretor", s(b, "$.broker_name"), phone, email=s(b, "$.broker_email"), creci=s(b, "$.broker_credential"), **kw)
+        mobile, phone = F.nullif(s(b, "$.broker_mobile_phone"), F.lit("")), F.nullif(s(b, "$.broker_phone"), F.lit(""))
+        some = F.array_compact(F.array(F.when(mobile.isNotNull(), of(mobile, explicit=whats(b))), F.when(phone.isNotNull(), of(phone))))
+        return F.when(F.size(some) > 0, some).otherwise(F.array(of(F.lit(None).cast("string"))))
+
+    origin = F.regexp_replace(F.coalesce(s("state", "$.server.full_url"), F.col("base")), "^(https?://[^/]+).*$", "$1")
+    at = lambda *paths: parse_coord(F.coalesce(*[s("d", f"$.{p}") for p in paths]))
+    t = state.withColumns({"contatos": _contacts(F.concat(F.flatten(F.transform(_list(F.col("d"), "$.brokers"), broker)), agency)), "base": origin, "condominio": positive_or_null(s("d", "$.condo_fees")), "iptu": positive_or_null(s("d", "$.property_tax")), "lat": at("lat", "latitude", "location.lat"), "lng": at("lng", "lon", "longitude", "location.lon", "location.lng"), "detalhado": F.lit(True)})
+    rows = _kenlo(t, ("_condo", "_tax", "_lat", "_lng"), {"_condo": F.col("condominio"), "_tax": F.col("iptu"), "_lat": F.col("lat"), "_lng": F.col("lng")})
+    names = [c for c in rows.columns if not c.startswith("_")]
+    full = {"condominio": F.col("_condo"), "iptu": F.col("_tax"), "total": compute_total(F.col("aluguel"), F.col("_condo"), F.col("_tax")), "lat": F.col("_lat"), "lng": F.col("_lng"), "detalhado": F.lit(True)}
+    return rows.select(*[full[c].alias(c) if c in full else F.col(c) for c in names])
+
+
+def _kenlo(d: DataFrame, keep: tuple[str, ...], also: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of a state (column ``d``: variant; ``contatos``) to listings."""
+    d = d.withColumns(also) if also else d
     s = lambda p: _v("d", p)
     first = lambda p: F.coalesce(_v("d", f"{p}[0]"), s(p))
     amen = F.coalesce(F.try_variant_get("d", "$.amenities", "array<string>"), F.array().cast("array<string>"))
@@ -270,16 +333,16 @@ def kenlo(pages: DataFrame, widget: str = "listing") -> DataFrame:
         parse_int(first("bedrooms")).alias("quartos"), parse_int(first("suites")).alias("suites"), parse_int(first("bathrooms")).alias("banheiros"), parse_int(first("garages")).alias("vagas"), parse_brl(first("area")).alias("area"),
         fix_upper_case(inline(F.coalesce(s("neighborhood_display"), s("neighborhood")))).alias("bairro"), inline(s("city")).alias("cidade"), inline(s("state")).alias("uf"), uniq(photos).alias("fotos"), text.alias("descricao"), uniq(named(amen, KENLO_AMENITIES)).alias("caracteristicas"),
         F.when(F.arrays_overlap(amen, F.array(F.lit("FURNISHED"), F.lit("SEMI_FURNISHED"))), True).otherwise(infer_furnished(text)).alias("mobiliado"), F.when(F.array_contains(amen, "PET_FRIENDLY"), True).otherwise(infer_pet(text)).alias("aceita_pet"),
-        uniq(F.concat(named(codes, KENLO_GUARANTEES), infer_guarantees(text))).alias("garantias"), F.coalesce(s("property_reference"), F.regexp_replace(id_, "-[A-Z0-9]+$", "")).alias("referencia"), s("updated_at").alias("atualizado_em"), "contatos",
+        uniq(F.concat(named(codes, KENLO_GUARANTEES), infer_guarantees(text))).alias("garantias"), F.coalesce(s("property_reference"), F.regexp_replace(id_, "-[A-Z0-9]+$", "")).alias("referencia"), s("updated_at").alias("atualizado_em"), "contatos", *keep,
     )
-    return default_row(rows)
+    return default_row(rows, keep=keep)
 
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {"msys": msys, "ksi": ksi, "chavesnamao": aggregator, "kenlo": kenlo}
 
 
 def platform(name: str) -> Callable[..., DataFrame]:
-    """The parser of a platform."""
+    """The list parser of a platform; ``details.detail`` has its detail parser."""
     if name not in REGISTRY:
         raise ValueError(f"unknown platform {name!r}; known: {', '.join(REGISTRY)}")
     return REGISTRY[name]

@@ -76,6 +76,6 @@ def test_text(spark):
     assert run(spark, ["Vila Maria", "Jardim X"], T.preposition) == ["na", "no"]
     assert run(spark, ["são manuel"], T.title_slug) == ["Sao-Manuel"]
     assert run(spark, ["ap-12/b"], T.norm_ref) == ["AP12B"]
-    assert run(spark, [1234.5, 10.0, None], T.brl, "double") == ["R$ 1.234,50", "R$ 10", "—"]
+    assert run(spark, [1234.5, 10.0, None], T.brl, "double") == ["R$ 1.234,5", "R$ 10", "—"]
     assert run(spark, ["a b/ç"], T.link_text) == ["a%20b%2F%C3%A7"]
     assert run(spark, [[" a", "b", "a ", "", None], None], T.uniq, "array<string>") == [["a", "b"], []]

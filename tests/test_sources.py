@@ -53,8 +53,9 @@ def test_aggregator(spark):
 
 
 def test_kenlo(spark):
-    state = {"listings": [{"property_full_reference": "AP1-XY", "rent_price": [1200, 1300], "total_rent": 1350, "property_type": "STUDIO_APARTMENT", "bedrooms": [1, 2], "area": ["57", "60"], "url": "/imovel/1", "amenities": ["POOL", "PET_FRIENDLY"], "rent_guarantee": ["DEPOSIT", "GUARANTOR"], "photos": [{"picture_full": "p"}], "listing_description": "x"}, {"id": 2}]}
-    html = f"<script>(function(){{window.markoVars['listing-ab12'] = {json.dumps(state)};\n }})();</script>"
+    data = [{"property_full_reference": "AP1-XY", "rent_price": [1200, 1300], "total_rent": 1350, "property_type": "STUDIO_APARTMENT", "bedrooms": [1, 2], "area": ["57", "60"], "url": "/imovel/1", "amenities": ["POOL", "PET_FRIENDLY"], "rent_guarantee": ["DEPOSIT", "GUARANTOR"], "photos": [{"picture_full": "p"}], "listing_description": "x"}, {"id": 2}]
+    state = {"settings": {"listings": {"count": 2, "data": data}}}
+    html = f"<script>(function(){{window.markoVars['listings-ab12'] = {json.dumps(state)};\n }})();</script>"
     (r,) = platforms.kenlo(spark.createDataFrame([(html, "k", "Imob", "https://k.br")], "html string, fonte string, fonte_nome string, base string")).collect()
     assert (r.id, r.tipo, r.aluguel, r.total, r.quartos, r.area, r.url, r.referencia) == ("AP1-XY", "kitnet", 1200.0, 1350.0, 1, 57.0, "https://k.br/imovel/1", "AP1")
     assert (r.caracteristicas, r.garantias, r.aceita_pet, r.fotos) == (["Piscina", "Aceita pet"], ["Caução", "Fiador"], True, ["p"])
@@ -81,8 +82,8 @@ def test_contacts_and_tags(spark):
     page = '<a href="tel:(14) 3882-0000"></a><a href="tel:(14) 99000-0001"></a><a href="tel:(14) 3882-0002"></a><div class="card card-imo"><a href="/alugar/B/Casa/Casa/Centro/1"></a>'
     (r,) = platforms.ksi(spark.createDataFrame([(page, "k", "Imob", "https://k.br")], cols)).collect()
     assert short(r) == [("(14) 3882-0000", None, None), ("(14) 99000-0001", "5514990000001", None)]
-    state = {"website": {"chat_whatsapp_phone": "14 3882-0000"}, "offices": [{"phones": [{"number": "14 3882-0001"}, {"number": "14 3882-0002", "show": False}, {"number": "14 3882-0003", "whatsapp": True}]}], "listings": [{"property_full_reference": "A"}]}
-    page = f"window.markoVars['listing-ab12'] = {json.dumps(state)};\n }})();"
+    state = {"website": {"chat_whatsapp_phone": "14 3882-0000"}, "offices": [{"phones": [{"number": "14 3882-0001"}, {"number": "14 3882-0002", "show": False}, {"number": "14 3882-0003", "whatsapp": True}]}], "settings": {"listings": {"data": [{"property_full_reference": "A"}]}}}
+    page = f"window.markoVars['listings-ab12'] = {json.dumps(state)};\n }})();"
     (r,) = platforms.kenlo(spark.createDataFrame([(page, "k", "Imob", "https://k.br")], cols)).collect()
     assert short(r) == [("(14) 3882-0000", "551438820000", None), ("(14) 3882-0001", None, None), ("(14) 3882-0003", "551438820003", None)]
 

@@ -103,7 +103,7 @@ def test_views(spark):
     m = views.market_stats(st).collect()
     assert [tuple(r) for r in m] == [("apartamento · 2 quartos", 1, 1500.0, 1500.0, 1500.0, 30.0)]
     s = views.summary(st).first()
-    assert (s.total, s.ativos, s.por_status) == (2, 1, {"novo": 2})
+    assert (s.total, s.ativos, s.por_status) == (2, 1, {"novo": 1})
 
 
 def test_commands_and_store(spark, tmp_path):
