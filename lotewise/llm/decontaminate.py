@@ -1,26 +1,30 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. All word trigrams of a benchmark item are its
-seeds, however common. Where a document has a seed, the surrounding passage is aligned with the
-item word by word; the score is the best local alignment's share of a perfect one. Passages with
-too few of the item's words to reach ``THRESHOLD`` by any alignment are not aligned, which loses none.
-
-The benchmark is broadcast in chunks of at most ``CHUNK_WORDS`` words, one pass over the documents
-for each chunk. Documents are never shuffled.
-
-Defined cases: items below ``LEAST_WORDS`` words, or null, are not searched for; null and empty
-documents leak nothing; one row for each leaking document row and item, so repeated rows give
-repeated rows; an empty benchmark finds nothing; long texts are read whole; extra columns are kept
-by ``clean`` and ignored by ``find``.
+Words are lower-cased runs of letters and digits; in scripts without spaces each character is a word.
+All word trigrams of a benchmark item are its seeds, however common. Where a document has a seed, the
+surrounding passage is aligned with the item word by word; the score is the best local alignment's
+share of a perfect one. Passages with too few of the item's words to reach ``THRESHOLD`` by any
+alignment are not aligned, which loses none. Items of fewer than ``LEAST_WORDS`` words are searched
+for as exact word sequences.
+
+The benchmark is broadcast in chunks of at most ``CHUNK_BYTES`` bytes of text (or one item), one pass
+over the documents for each chunk. Documents are never shuffled.
+
+Defined cases: null items and items without a word are not searched for; equal items count once; null
+and empty documents leak nothing; one row for each leaking document row and item, so repeated rows,
+null ids among them, give repeated rows; an empty benchmark finds nothing; long texts are read whole;
+extra columns are kept by ``clean`` and ignored by ``find``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Words, byte_case_fold, pieces, string_buffers
 
@@ -29,13 +33,34 @@ LEAST_WORDS = 5
 #: Share of a perfect alignment's score from which a passage counts as a copy.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-CHUNK_WORDS = 1_000_000
+#: Bytes of item texts in one broadcast, at most: sums are taken per slot of items, and slots packed into chunks.
+CHUNK_BYTES = 8 << 20
 #: Words beyond the item's length, on either side, that an alignment may use, as a share of it.
 SLACK = 0.5
 
 
+def spaced(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with spaces around every character of the scripts written without them (CJK, kana, Thai, Lao, Khmer, Burmese)."""
+    if not len(data):
+        return data, off
+    second = np.append(data[1:], 0)
+    wide = (data == 0xF0) & (second >= 0xA0) & (second < 0xB0)
+    lead = (data >= 0xE3) & (data <= 0xE9) | wide | (data == 0xEF) & (second >= 0xA4) & (second < 0xAC)
+    lead |= (data == 0xE0) & (second >= 0xB8) & (second < 0xBC) | (data == 0xE1) & ((second >= 0x80) & (second < 0x83) | (second >= 0x9E) & (second < 0xA0))
+    at = np.flatnonzero(lead)
+    if not len(at):
+        return data, off
+    extra = np.zeros(len(data) + 1, np.int64)
+    extra[at] += 1
+    np.add.at(extra, at + np.where(wide[at], 4, 3), 1)
+    moved = np.cumsum(extra)
+    out = np.full(len(data) + int(moved[-1]), 32, np.uint8)
+    out[np.arange(len(data)) + moved[:-1]] = data
+    return out, off + np.concatenate(([0], moved))[off]
+
+
 def _words(col: pa.Array) -> Words:
-    return Words(*byte_case_fold(col), lower=False)
+    return Words(*spaced(*byte_case_fold(col)), lower=False)
 
 
 class Items:
@@ -44,11 +69,13 @@ class Items:
     def __init__(self, ids: list, texts: list[str]):
         w = _words(pa.array(texts, pa.string()))
         self.ids, self.words = ids, [w.hash[i:j] for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
-        keys, owner, place = [], [], []
+        keys, owner, place, short = [], [], [], {}
         grams = w.windows(SEED)
         self.kinds = [np.unique(x, return_counts=True) for x in self.words]
         for n, (i, j) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
             if j - i < LEAST_WORDS:
+                if j > i:
+                    short.setdefault(int(j - i), []).append(n)
                 continue
             keys.append(grams[i : j - SEED + 1])
             owner.append(np.full(j - i - SEED + 1, n))
@@ -60,12 +87,36 @@ class Items:
         self.place = np.concatenate(place)[order] if keys else np.zeros(0, int)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys >> np.uint64(44)] = True
+        # items below LEAST_WORDS by their number of words: keys of the whole items, ascending, and whose they are
+        self.short = {}
+        for size, items in short.items():
+            whole = w.windows(size)[w.first[items]]
+            by = np.argsort(whole, kind="stable")
+            self.short[size] = whole[by], np.array(items)[by]
 
     def find(self, col: pa.Array) -> list[tuple[int, int, float, int, int, int]]:
         """(row, item, score, seeds, first word, word after the last) of every copy in the texts."""
+        w = _words(col)
+        return self.aligned(w) + self.exact(w)
+
+    def exact(self, w: Words) -> list[tuple[int, int, float, int, int, int]]:
+        """The copies of short items, the first in each text; their seed is the whole item."""
+        out = []
+        for size, (keys, owner) in self.short.items():
+            g, inside = w.windows(size), w.inside(size)
+            at = np.flatnonzero((inside >= 0) & np.isin(g, keys))
+            lo, hi = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
+            first: dict[tuple[int, int], int] = {}
+            for p, i, j in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                for n in owner[i:j].tolist():
+                    first.setdefault((int(inside[p]), n), p)
+            out += [(r, n, 1.0, 1, int(p - w.first[r]), int(p - w.first[r]) + size) for (r, n), p in first.items()]
+        return out
+
+    def aligned(self, w: Words) -> list[tuple[int, int, float, int, int, int]]:
+        """The copies of the other items: seeds, then alignment."""
         if not len(self.keys):
             return []
-        w = _words(col)
         g = w.windows(SEED)
         at = np.flatnonzero(self.maybe[g >> np.uint64(44)])
         lo = np.searchsorted(self.keys, g[at], "left")
@@ -140,21 +191,24 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end
 
 
-def chunks(benchmark: DataFrame, most: int = CHUNK_WORDS) -> Iterator[tuple[list, list[str]]]:
-    """The benchmark's (ids, texts), at most about ``most`` words at a time."""
-    ids: list = []
-    texts: list[str] = []
-    size = 0
-    for r in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"].split())
-        if ids and size + n > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        size += n
-    if ids:
-        yield ids, texts
+def chunks(benchmark: DataFrame, most: int = CHUNK_BYTES) -> Iterator[tuple[list, list[str]]]:
+    """The benchmark's (ids, texts), at most ``most`` bytes of text, or else one slot of items, at a time."""
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = max(1, math.ceil(16 * total / most)) if total > most else 1
+    slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(slots))
+    sums = {r["slot"]: r["n"] for r in items.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length("text")).alias("n")).collect()} if slots > 1 else {0: total}
+    spans, size = [], most + 1
+    for s in sorted(sums):
+        if size + sums[s] > most:
+            spans.append([s, s])
+            size = 0
+        spans[-1][1] = s
+        size += sums[s]
+    for low, high in spans:
+        got = items.where(slot.between(low, high)).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        if got.num_rows:
+            yield got.column("item_id").to_pylist(), got.column("text").to_pylist()
 
 
 def prepared(benchmark: DataFrame) -> Iterator[Items]:
