@@ -84,8 +84,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE, bits: int
     mask = (1 << bits) - 1
     at = F.array(*[F.shiftrightunsigned("gram", s).bitwiseAND(F.lit(mask)) for s in range(0, 20 * HASHES, 20)])
     slices = np.zeros(1 << bits, np.uint64)
-    for r in kept.select(F.explode(at).alias("p"), F.col("r.bit").alias("bit")).groupBy("p").agg(F.bit_or("bit").alias("m")).toLocalIterator():  # at most 2**bits rows
-        slices[r["p"]] = r["m"] & 0xFFFFFFFFFFFFFFFF
+    masks = kept.select(F.explode(at).alias("p"), F.col("r.bit").alias("bit")).groupBy("p").agg(F.bit_or("bit").alias("m")).toArrow()  # at most 2**bits rows
+    slices[np.asarray(masks.column("p"))] = np.asarray(masks.column("m")).view(np.uint64)
     fill = np.array([float(((slices >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     return Filters(languages, slices.astype(kind), fill**HASHES)
