@@ -21,15 +21,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component, for the nodes of (a, b) edges that are not roots.
 
-    Each round is stored in the shared folder. Stars shrink a component's depth by about half a
-    round, so rounds grow with the logarithm of the longest path.
+    Each round is stored in the shared folder. Rounds go on until one changes nothing; stars about
+    halve a component's depth in each, so they grow with the logarithm of the longest path.
+
+    Defined cases: edges with a null end and loops are left out; repeated edges count once; an empty
+    table gives no rows.
     """
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = stored(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         e = stored(_star(_star(e, True), False), "edges")
         # in the fixed state every node has one edge, to a root that has none
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
