@@ -14,10 +14,12 @@ holds it rather than once per document.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,8 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Compressed input bytes aimed at in a block.
+#: Compressed input bytes aimed at in a block; a session's spark.lotewise.blockBytes comes before it. What a worker
+#: needs at once is some 30 times as much: with 4 GB a core, blocks of 64 MB are right for inputs of many terabytes.
 BLOCK_BYTES = 3 << 20
+#: Blocks whose keys one reducer call holds together, on average, once there are 4096 blocks.
+BUCKET_BLOCKS = 4
+#: Files of a stored block table, at most (Spark refuses tables of more than 100,000 buckets).
+MOST_FILES = 50_000
 #: Text bytes worked on at once; a longer single text is one piece.
 PIECE_BYTES = 2 << 20
 #: Rows in an Arrow batch handed to Python; bounds a batch of ordinary texts.
@@ -48,9 +55,8 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers; drop a write's shuffle files once it has ended."""
+    """Bound the Arrow batches that go to Python workers of this session, and say where they find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):  # workers import this package from where the driver did
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
@@ -67,11 +73,29 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{at.rstrip('/')}/lotewise/{what}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, a write drops its shuffle files at its end: only for plans that nothing reads again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -193,32 +217,46 @@ def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block_bytes = int(spark.conf.get("spark.lotewise.blockBytes", str(block_bytes)))
     return max(spark.sparkContext.defaultParallelism, math.ceil(size / block_bytes))
 
 
+def place(ids: np.ndarray, none: np.ndarray, texts: pa.Array, bounds: np.ndarray, last: int) -> np.ndarray:
+    """Block of each row: its range of ids; ids that fill several ranges, and null ids, are spread by text.
+
+    ``bounds`` may repeat a value: as often as it fills a whole range. Null ids have ``last`` blocks
+    of their own after the others.
+    """
+    low, at = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    low, wide = np.minimum(low + 1, at), at - low
+    low[none], wide[none] = len(bounds) + 1, last
+    at[none] = len(bounds) + 1
+    for i in np.flatnonzero(wide > 1).tolist():
+        at[i] = low[i] + zlib.crc32((texts[i].as_py() or "").encode()) % int(wide[i])
+    return at
+
+
 def blocked(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), blocks: int | None = None) -> DataFrame:
-    """(block, blob): ``docs`` dealt into blocks by ranges of the first column; null ids go last.
+    """(block, blob): ``docs`` dealt into about ``blocks`` blocks by ranges of the first column; null ids go last.
 
-    A blob is a compressed Arrow stream with the rows that one input batch has for the block.
+    A blob is a compressed Arrow stream with the rows that one input batch has for the block. Rows of
+    an id (or of none) that fills more than a block go by their text to several, so only equal rows
+    must share one.
     """
     key = columns[0]
     docs = docs.select(*columns)
     n = blocks or n_blocks(docs)
-    cuts = []
-    if n > 1:
-        got = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()
-        cuts = sorted(set(got["q"] or []))
-    bounds = np.array(cuts, np.int64)
+    got = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, max(2, n))], max(10_000, 4 * n)).alias("q"), F.count(key).alias("known"), F.count(F.lit(1)).alias("all")).first()
+    bounds = np.array(sorted(got["q"] or [])[: n - 1], np.int64)
+    last = max(1, math.ceil(n * (got["all"] - got["known"]) / max(got["all"], 1)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            ids = t.column(key).cast(pa.int64())
-            none = np.asarray(ids.is_null())
-            at = np.searchsorted(bounds, np.asarray(pc.fill_null(ids, 0)), side="right")
-            at[none] = len(bounds)
+            ids = b.column(key).cast(pa.int64())
+            at = place(np.asarray(pc.fill_null(ids, 0)), np.asarray(ids.is_null()), b.column("text"), bounds, last)
             order = np.argsort(at, kind="stable")
             found, begin = np.unique(at[order], return_index=True)
             ends = [*begin[1:], len(order)]
@@ -296,8 +334,13 @@ def byte_case_fold(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def n_buckets(blocks: int) -> int:
-    """Ranges of the key space that a reducer takes one at a time: a power of two, 1024 at least."""
-    return 1 << max(10, (8 * blocks - 1).bit_length())
+    """Ranges of the key space that a reducer takes one at a time: a power of two, 1024 at least.
+
+    A block sends one row for each range in which it has keys. Up to ``1024 * BUCKET_BLOCKS`` blocks
+    rows grow as the input; beyond, a row holds fewer keys, down to one, and never more rows than keys
+    are sent. Larger blocks (spark.lotewise.blockBytes) move that point: rows go with their square.
+    """
+    return 1 << max(10, (-(-blocks // BUCKET_BLOCKS) - 1).bit_length())
 
 
 def pack_low(keys: np.ndarray, width: int) -> bytes:
@@ -310,12 +353,12 @@ def unpack_low(blob: bytes, width: int, bucket: int, n: int) -> np.ndarray:
     return (unpack(blob, width) >> np.uint64(8)) | first
 
 
-def block_files(docs: DataFrame, columns: tuple[str, ...], blocks: int) -> DataFrame:
-    """``blocked`` as a table bucketed by block in the shared warehouse: later passes group it without a shuffle."""
-    spark = docs.sparkSession
+def block_files(blocks: DataFrame, count: int) -> DataFrame:
+    """A (block, ...) table bucketed by block in the shared warehouse: later passes group it without a shuffle."""
+    spark = blocks.sparkSession
     name = f"lotewise_blocks_{uuid.uuid4().hex}"
-    blocked(docs, columns, blocks).repartition(blocks, "block").write.bucketBy(blocks, "block").format("parquet").saveAsTable(name)
-    release(spark)
+    with dropping_shuffles(spark):
+        blocks.write.bucketBy(min(count, MOST_FILES), "block").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

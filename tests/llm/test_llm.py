@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,80 +180,100 @@ def test_ann(spark):
     assert len(ann.search(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()) == 3
 
 
-def test_katz(docs, corpus):
-    got = {r.doc_id: r for r in katz.score(docs).collect()}
-    toks = [[w.decode() for w in tokens(lower(t))] + ["</s>"] for t in corpus]
-    train = [i for i in range(len(corpus)) if zlib.crc32(str(i).encode()) % 10]
-    c, pairs, after = Counter(), Counter(), Counter()
-    for i in train:
-        c.update(toks[i])
-    often = {w for w in c if c[w] >= katz.LEAST} | {"<s>"}
+def brute_katz(toks, train, order):
+    """A function (document, place) -> probability, and the word counts: every order straight from the definition."""
+    counts = [Counter() for _ in range(order)]
+    padded = {i: ["<s>"] * (order - 1) + t for i, t in enumerate(toks)}
+    past = Counter()
     for i in train:
-        for h, w in zip(["<s>", *toks[i]], toks[i], strict=False):
-            after[h] += 1
-            if h in often and w in often:
-                pairs[h, w] += 1
-    n, v = sum(c.values()), len(c)
-    d1, d2 = (katz.discounts([sum(x == r for x in t.values()) for r in range(1, katz.K + 2)]) for t in (c, pairs))
-    cut = lambda d, x: x * (d[x] if x <= katz.K else 1)
-    unknown = 1 - sum(cut(d1, x) for x in c.values()) / n
-    one = lambda w: cut(d1, c[w]) / n if c[w] else unknown
-    sums, mass = Counter(), Counter()
-    for (h, w), x in pairs.items():
-        sums[h] += cut(d2, x)
-        mass[h] += one(w)
-
-    def p(h, w):
-        if h not in often or not after[h]:
-            return one(w)
-        left, f = 1 - sums[h] / after[h], 1.0
+        for at in range(order - 1, len(padded[i])):
+            for k in range(order):
+                g = tuple(padded[i][at - k : at + 1])
+                counts[k][g] += 1
+                past[g[:-1]] += k > 0
+    n = sum(counts[0].values())
+    d = [katz.discounts([sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]) for c in counts]
+    cut = lambda k, x: x * (d[k][x] if x <= katz.K else 1)
+    unknown = 1 - sum(cut(0, x) for x in counts[0].values()) / n
+    sums = {}
+
+    def p(g):
+        k = len(g) - 1
+        if not k:
+            return cut(0, counts[0][g]) / n if counts[0][g] else unknown
+        if not past[g[:-1]]:
+            return p(g[1:])
+        if g[:-1] not in sums:
+            seen = followers.get(g[:-1], ())
+            sums[g[:-1]] = sum(cut(k, counts[k][x]) for x in seen), sum(p(x[1:]) for x in seen)
+        a, b = sums[g[:-1]]
+        left, f = 1 - a / past[g[:-1]], 1.0
         if left < 1e-12:
-            left, f = 1 / (after[h] + 1), after[h] / (after[h] + 1)
-        return f * cut(d2, pairs[h, w]) / after[h] if pairs[h, w] else left / (1 - mass[h]) * one(w)
+            left, f = 1 / (past[g[:-1]] + 1), past[g[:-1]] / (past[g[:-1]] + 1)
+        return f * cut(k, counts[k][g]) / past[g[:-1]] if counts[k][g] else left / (1 - b) * p(g[1:])
+
+    followers = {}
+    for c in counts[1:]:
+        for g in c:
+            followers.setdefault(g[:-1], []).append(g)
+    return (lambda i, at: p(tuple(padded[i][at : at + order]))), p, counts[0]
 
-    for h in list(often)[:10]:
-        assert abs(sum(p(h, w) for w in c) + p(h, "<unknown>") - 1) < 1e-9
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, corpus, order):
+    got = {r.doc_id: r for r in katz.score(docs, order=order).collect()}
+    toks = [[w.decode() for w in tokens(lower(t))] + ["</s>"] for t in corpus]
+    train = [i for i in range(len(corpus)) if zlib.crc32(str(i).encode()) % 10]
+    at, p, c = brute_katz(toks, train, order)
+    n, v = sum(c.values()), len(c)
+    for h in [x[0] for x in list(c)[:6]]:
+        assert abs(sum(p((h,) * (order - 1) + w) for w in c) + p((h,) * (order - 1) + ("<unknown>",)) - 1) < 1e-9
     for i, t in enumerate(toks):
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(t), sum(c[w] > 0 for w in t), n)
-        assert abs(r.base_score - sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) < 1e-6
-        assert abs(r.score - sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False))) < 1e-6
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(t), sum(c[w,] > 0 for w in t), n)
+        assert abs(r.base_score - sum(math.log10((c[w,] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) < 1e-6
+        assert abs(r.score - sum(math.log10(at(i, j)) for j in range(len(t)))) < 1e-6
     assert katz.score(docs.limit(0)).count() == 0
 
 
-def test_katz_keeps_every_pair(spark):
-    """Pairs of rare words against an unpruned brute force; most words are in one block, some in all."""
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_keeps_every_pair(spark, order):
+    """N-grams of rare words against an unpruned brute force; most words are in one block, some in all."""
     rng = np.random.default_rng(8)
     texts = [f"only{i} met only{i}b near {words(rng, 30, 40)} twice seen rare{i // 2} pair{i // 2}" for i in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    got = {r.doc_id: r for r in katz.score(rows).collect()}
+    got = {r.doc_id: r for r in katz.score(rows, order=order).collect()}
     toks = [[*t.split(), "</s>"] for t in texts]
-    train = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for t in train for w in t)
-    pairs = Counter(x for t in train for x in zip(["<s>", *t], t, strict=False))
-    after = Counter(h for t in train for h in ["<s>", *t[:-1]]) + Counter({"</s>": len(train)})
-    n = sum(c.values())
-    d1, d2 = (katz.discounts([sum(x == r for x in t.values()) for r in range(1, katz.K + 2)]) for t in (c, pairs))
-    cut = lambda d, x: x * (d[x] if x <= katz.K else 1)
-    unknown = 1 - sum(cut(d1, x) for x in c.values()) / n
-    one = lambda w: cut(d1, c[w]) / n if c[w] else unknown
-    seen = {}
-    for (h, w), x in pairs.items():
-        a, b = seen.get(h, (0, 0))
-        seen[h] = (a + cut(d2, x), b + one(w))
-
-    def p(h, w):
-        if not after[h]:
-            return one(w)
-        a, b = seen.get(h, (0, 0))
-        left, f = 1 - a / after[h], 1.0
-        if left < 1e-12:
-            left, f = 1 / (after[h] + 1), after[h] / (after[h] + 1)
-        return f * cut(d2, pairs[h, w]) / after[h] if pairs[h, w] else left / (1 - b) * one(w)
-
-    assert max(c[w] for i in range(60) for w in (f"only{i}", f"rare{i}")) < 5
+    at, _, c = brute_katz(toks, [i for i in range(60) if zlib.crc32(str(i).encode()) % 10], order)
+    assert max(c[w,] for i in range(60) for w in (f"only{i}", f"rare{i}")) < 5
     for i, t in enumerate(toks):
-        assert abs(got[i].score - sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t, strict=False))) < 1e-6
+        assert abs(got[i].score - sum(math.log10(at(i, j)) for j in range(len(t)))) < 1e-6
+
+
+def test_katz_without_training(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a b", "a b"])], "doc_id bigint, text string")
+    got = katz.score(rows, parts=1, rest=0).collect()
+    assert [(r.held_out, r.n_known, r.train_tokens, r.score) for r in got] == [(True, 0, 0, 0.0)] * 4
+    odd = katz.score(spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "c"), (5, "a b")], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.train_tokens) for r in odd) == [(-1, 2, 11), (-1, 3, 11), (-1, 3, 11), (5, 3, 11)]
+
+
+def test_exchange_grows_in_proportion():
+    """Rows that blocks send, and keys a reducer holds, at sizes that local runs cannot reach."""
+    rows = [b * min(common.n_buckets(b), 700_000) for b in (64, 256, 1024, 4096)]
+    assert [y / x for x, y in zip(rows[:-1], rows[1:], strict=True)] == [4, 4, 4]
+    for b in (64, 4096, 1 << 16, 1 << 20):
+        assert b / common.n_buckets(b) <= common.BUCKET_BLOCKS
+
+
+def test_place_spreads_hot_ids():
+    """An id, or no id, that fills several blocks goes to all of them by text; equal rows stay together."""
+    ids = np.array([1] * 10 + [7] * 60 + [9] * 10 + [0] * 20)
+    none = np.array([False] * 80 + [True] * 20)
+    texts = pa.array([f"t{i % 50}" for i in range(100)])
+    at = common.place(ids, none, texts, np.array([7, 7, 7, 7]), 2)
+    assert set(at[:10]) == {0} and set(at[10:70]) == {1, 2, 3, 4} and set(at[70:80]) == {4} and set(at[80:]) == {5, 6}
+    assert all(len({int(a) for a, t in zip(at[10:70], texts[10:70].to_pylist(), strict=True) if t == x}) == 1 for x in set(texts[10:70].to_pylist()))
 
 
 def test_decontaminate(docs, corpus, spark):
@@ -267,6 +288,8 @@ def test_decontaminate(docs, corpus, spark):
     kept = decontaminate.clean(d.withColumn("item_id", F.lit(1)), bench)
     assert kept.columns == ["doc_id", "text", "item_id"] and kept.count() == d.count() - 2
     assert decontaminate.find(d, bench.limit(0)).count() == 0 and decontaminate.find(d.limit(0), bench).count() == 0
+    odd = spark.createDataFrame([(None, " ".join(item)), (7, " ".join(item)), (7, " ".join(item))], "doc_id bigint, text string")
+    assert sorted((r.doc_id or -1, r.item_id) for r in decontaminate.find(odd, bench.unionByName(bench)).collect()) == [(-1, 1), (7, 1), (7, 1)]
     assert decontaminate.align(np.array([1, 2, 3, 9, 4]), np.array([2, 3, 4])) == (pytest.approx((6 - 1) / 6), 1, 5)
 
 
@@ -341,3 +364,23 @@ def test_warc_payloads(spark, tmp_path):
     got = {int(r.metadata.fields["page-id"]): r.capture for r in warc.assemble(warc.read(spark, f"file://{tmp_path}/w", payloads=True)).collect()}
     assert {i: (c.kind, None if c.payload is None else bytes(c.payload).decode()) for i, c in got.items()} == {1: ("response", "é" * 60), 2: ("response", "<p>x"), 3: ("revisit", None), 4: ("response", "")}
     assert all(hashlib.sha256(c.payload).hexdigest() == c.payload_digest == c.declared_digest.removeprefix("sha256:") for c in got.values() if c.payload is not None)
+
+
+def test_decontaminate_short_and_unspaced(spark):
+    """Items below the least number of words are found as exact sequences; scripts without spaces are cut into characters."""
+    chinese = "质量守恒定律说明反应前后物质的总质量不变"
+    docs = spark.createDataFrame([(1, "so it is: Blue-Whale, he said"), (2, "blue sky, whale song"), (3, "他说" + chinese.replace("反应", "变化") + "。再见"), (4, "今天天气很好我们去公园"), (5, "blue"), (6, "whale blue whale blue whale")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "blue whale"), (2, chinese), (3, "--"), (4, "zebra")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in decontaminate.find(docs, bench).collect()}
+    assert set(got) == {(1, 1), (3, 2), (6, 1)} and got[1, 1] == (1.0, 3, 5) and got[6, 1] == (1.0, 1, 3) and 0.5 <= got[3, 2][0] < 1
+
+
+def test_decontaminate_chunks(spark):
+    """Chunks keep to their bytes and lose no item; what is found does not depend on them."""
+    rng = np.random.default_rng(12)
+    items = [(i, words(rng, 20)) for i in range(200)]
+    bench = spark.createDataFrame([*items, *items[:3]], "item_id bigint, text string")
+    got = list(decontaminate.chunks(bench, 2000))
+    assert len(got) > 5 and sorted(x for ids, _ in got for x in ids) == list(range(200))
+    assert sum(sum(map(len, texts)) > 2000 for _, texts in got) == 0
+    assert list(decontaminate.chunks(bench.limit(0))) == []
