@@ -3,8 +3,10 @@
 Each capture becomes three records: request, response (or revisit, when an earlier capture has
 the same payload) and metadata. Request and metadata name the response in WARC-Concurrent-To.
 Archives are written by Spark's text writer: a row is one record, and the line separator is the
-pair of line ends that closes a record, so executors write wherever Spark can. They are read as
-whole binary files, cut by Content-Length. ``assemble`` joins the three kinds of record through
+pair of line ends that closes a record, so executors write wherever Spark can. Pages go to files by size
+(``TIERS``), so that a file's bytes are bounded or it holds one page. Files are read as binary values,
+plain or gzipped in any number of members, inflated piece by piece and cut by Content-Length, so a
+reader holds a file's compressed bytes and one record. ``assemble`` joins the three kinds of record through
 their concurrent-to identifiers into one nested row a capture.
 
 Deciding revisits takes one small row for each repeated payload (summed before the shuffle), stored;
@@ -32,8 +34,10 @@ from .common import shared_dir, stored
 
 #: Payloads with fewer bytes are never revisits.
 SMALL = 100
-#: Records in one archive file: bounds what a reader holds.
-FILE_RECORDS = 3000
+#: Payload bytes of a page up to which a file takes so many records (three a page): bounds what a reader holds.
+TIERS = ((64 << 10, 3000), (4 << 20, 48), (1 << 62, 3))
+#: Bytes inflated at once.
+PIECE = 1 << 20
 #: Payload bytes that a reader hands over at once.
 YIELD_BYTES = 2 << 20
 _END = "\r\n"
@@ -73,7 +77,7 @@ def decide(pages: DataFrame) -> DataFrame:
         both = both.unionByName(one).unionByName(rest)
     revisit = F.col("n").isNotNull() & ~F.col("lead") & (F.col("n_bytes") >= SMALL)
     named = F.concat(F.lit("<urn:sha256:"), F.col("digest"), F.lit(">"))
-    return both.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, named).alias("original"), F.when(F.col("lead"), named).otherwise(F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))).alias("rid"), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("request_id"), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("metadata_id"))
+    return both.select("page_id", "url", "html", "digest", "n_bytes", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, named).alias("original"), F.when(F.col("lead"), named).otherwise(F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))).alias("rid"), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("request_id"), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("metadata_id"))
 
 
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -87,25 +91,73 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> No
     capture = _record(F.col("kind"), rid, uri, date, "application/http; msgtype=response", F.when(is_new, F.concat(answer, "html")).otherwise(answer), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), ("WARC-Refers-To", F.col("original")), ("WARC-Profile", F.when(~is_new, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
     fields = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(_END)), F.lit("")), F.lit(f"via: table{_END}"))
     metadata = _record("metadata", F.col("metadata_id"), uri, date, "application/warc-fields", fields, ("WARC-Concurrent-To", rid))
-    lines = p.select(F.explode(F.array(request, capture, metadata)).alias("value"))
-    lines.write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def cut_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive's bytes, cut by Content-Length."""
-    at = 0
-    while at < len(raw):
-        if raw[at : at + 2] == b"\r\n":
-            at += 2
+    sizes = pages.select(F.coalesce(F.octet_length("html"), F.lit(0)).alias("b"))
+    low, used = -1, []
+    for i, (most, records) in enumerate(TIERS):
+        used.append((i, low, most, records))
+        low = most
+    counts = sizes.agg(*[F.count_if((F.col("b") > a) & (F.col("b") <= b)).alias(str(i)) for i, a, b, _ in used]).first()
+    for i, a, b, records in used:
+        if not counts[str(i)] and i:
             continue
-        stop = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:stop].decode("utf-8", "replace").split("\r\n")
+        part = p if counts[str(i)] == sum(counts) else p.where((F.col("n_bytes") > a) & (F.col("n_bytes") <= b))
+        lines = part.select(F.explode(F.array(request, capture, metadata)).alias("value"))
+        lines.write.mode("append").option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+
+def inflated(raw: bytes, piece: int = PIECE) -> Iterator[bytes]:
+    """An archive's bytes, some at a time: as they are, or of every member of a gzip file."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    while raw:
+        d = zlib.decompressobj(31)
+        while not d.eof:
+            out = d.decompress(raw, piece)
+            raw = d.unconsumed_tail
+            if not out and not raw and not d.eof:
+                raise ValueError("a gzip member is cut off")
+            yield out
+        raw = d.unused_data.lstrip(b"\0")
+
+
+def cut_records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive's bytes, which come in pieces, cut by Content-Length."""
+    held, at, parts = bytearray(), 0, iter(parts)
+
+    def more() -> bool:
+        nonlocal at
+        got = next(parts, None)
+        if got is None:
+            return False
+        if at:
+            del held[:at]
+            at = 0
+        held.extend(got)
+        return True
+
+    while True:
+        while held[at : at + 2] == b"\r\n":
+            at += 2
+        stop = held.find(b"\r\n\r\n", at)
+        while stop < 0 or held[at : at + 2] == b"\r\n":
+            if not more():
+                if held[at:].strip(b"\r\n"):
+                    raise ValueError("a record's header is cut off")
+                return
+            while held[at : at + 2] == b"\r\n":
+                at += 2
+            stop = held.find(b"\r\n\r\n", at)
+        first, *lines = bytes(held[at:stop]).decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
+            raise ValueError("no record begins where the one before ends")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head["content-length"])
-        yield head, raw[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        size, begin = int(head["content-length"]), stop + 4 - at
+        while len(held) - at < begin + size:
+            if not more():
+                raise ValueError("a record's block is cut off")
+        yield head, bytes(held[at + begin : at + begin + size])
+        at += begin + size
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -124,7 +176,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for b in batches:
             for content in b.column("content"):
                 rows, size = [], 0
-                for head, block in cut_records(zlib.decompress(content.as_py(), 31) if len(content.as_buffer()) else b""):
+                for head, block in cut_records(inflated(content.as_py())):
                     kind, fields, payload = head.get("warc-type"), {}, None
                     if head.get("content-type", "").startswith("application/http"):
                         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
@@ -138,7 +190,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path)
     return files.select("content").mapInArrow(run, _RECORD)
 
 
@@ -155,7 +207,10 @@ def resolve(captures: DataFrame) -> DataFrame:
     """Captures with page id, payload size and digest; a revisit takes them from the response it refers to."""
     flat = captures.select("capture_id", F.try_element_at("metadata.fields", F.lit("page-id")).cast("long").alias("page_id"), F.col("capture.kind").alias("record_type"), F.col("capture.refers_to").alias("ref"), F.col("capture.payload_bytes").alias("own_bytes"), F.col("capture.payload_digest").alias("own_digest"))
     first = flat.where("record_type = 'response' AND capture_id LIKE '<urn:sha256:%'").select(F.col("capture_id").alias("ref"), F.col("page_id").alias("first_id"), F.col("own_bytes").alias("first_bytes"), F.col("own_digest").alias("first_digest"))
-    return flat.join(first, "ref", "left").select("page_id", F.coalesce("own_bytes", "first_bytes").alias("payload_bytes"), F.coalesce("own_digest", "first_digest").alias("payload_digest"), "record_type", F.col("first_id").alias("refers_to"))
+    null = F.lit(None).cast("long").alias("refers_to")
+    own = flat.where("ref IS NULL").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", null)
+    again = flat.where("ref IS NOT NULL").join(first, "ref", "left")  # revisits only: responses have no key to join by
+    return own.unionByName(again.select("page_id", F.col("first_bytes").alias("payload_bytes"), F.col("first_digest").alias("payload_digest"), "record_type", F.col("first_id").alias("refers_to")))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
