@@ -11,7 +11,7 @@ and streamed over by every document, which grows with the square of the corpus (
 Instead, blocks of documents in id order exchange window hashes once: each block sends its
 distinct windows (72 bits each) to reducers by hash range, and gets back those that a lower block
 has. A window shared by very many documents crosses the network once a block. ``SuffixAutomaton``
-serves the case that the method fits: a bounded reference text (``remove_reference``).
+serves the case that the method fits: a given reference (``remove_reference``), in shards of bounded size.
 
 Defined cases: null text has no words; texts shorter than a window are kept whole; of equal rows
 the first in (id, text) order is kept and the others lose what it has; null ids order last; an
@@ -27,12 +27,13 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Words, block_table, blocked, buckets, n_blocks, n_buckets, pack_low, pieces, runs, string_buffers, unpack_low
+from .common import Words, block_table, blocked, buckets, n_blocks, n_buckets, pack_low, pieces, runs, stored, string_buffers, unpack_low
 
 #: Words of a window.
 LENGTH = 20
-#: Bytes of the largest reference whose automaton may be broadcast.
+#: Bytes of a reference shard, whose automaton is broadcast.
 REFERENCE_BYTES = 4 << 20
 _SALT = 0x5DEECE66D
 _KEYS = "bucket int, block int, keys binary, checks binary"
@@ -210,34 +211,72 @@ class SuffixAutomaton:
         return out
 
 
-def remove_reference(docs: DataFrame, reference: list[str], length: int = LENGTH) -> DataFrame:
-    """``docs`` (doc_id, text) without spans of ``length`` words or more that a bounded reference has.
-
-    One automaton over the reference shard, a boundary after each text, is broadcast; documents
-    stream over it. The reference is refused beyond ``REFERENCE_BYTES``.
+def reference_shards(reference: list[str], length: int = LENGTH, most: int = REFERENCE_BYTES) -> Iterator[list[list[bytes]]]:
+    """The reference's words in shards of about ``most`` bytes at most; a text that is cut overlaps by a window less a word."""
+    shard: list[list[bytes]] = []
+    room = most
+    for text in reference:
+        words = (text or "").encode().split()
+        begin = 0
+        while begin < len(words):
+            size, end = 0, begin
+            while end < len(words) and (size < room or end - begin < length):
+                size += len(words[end]) + 1
+                end += 1
+            shard.append(words[begin:end])
+            room -= size
+            begin = end if end == len(words) else end - length + 1
+            if room <= 0:
+                yield shard
+                shard, room = [], most
+    if shard:
+        yield shard
+
+
+def remove_reference(docs: DataFrame, reference: list[str], length: int = LENGTH, most: int = REFERENCE_BYTES) -> DataFrame:
+    """``docs`` (doc_id, text) without spans of ``length`` words or more that a reference has.
+
+    The reference is cut into shards of at most ``most`` bytes. One automaton over a shard, a boundary after
+    each text, is broadcast; documents stream over it and note which words it covers; what is noted is
+    stored between shards, so executors hold one automaton. At last the words noted go.
     """
-    if sum(len(t.encode()) for t in reference) > REFERENCE_BYTES:
-        raise ValueError("the reference is too large to broadcast its automaton")
-    ids: dict[bytes, int] = {}
-    words: list[int] = []
-    for n, t in enumerate(reference):
-        words += [ids.setdefault(w, len(ids)) for w in t.encode().split()]
-        words.append(-1 - n)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, SuffixAutomaton(words)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, automaton = shared.value
+    sc = docs.sparkSession.sparkContext
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    noted = docs.select("doc_id", "text", F.lit(b"").alias("gone"))
+    for n, shard in enumerate(reference_shards(reference, length, most)):
+        ids: dict[bytes, int] = {}
+        words: list[int] = []
+        for i, t in enumerate(shard):
+            words += [ids.setdefault(w, len(ids)) for w in t]
+            words.append(-1 - i)
+        shared = sc.broadcast((ids, SuffixAutomaton(words)))
+
+        def note(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, automaton = shared.value
+            for b in batches:
+                out = []
+                for t, before in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
+                    own = (t or "").encode().split()
+                    edge = np.zeros(len(own) + 1, np.int64)
+                    for end, m in enumerate(automaton.statistics([known.get(w, 1 << 62) for w in own]), 1):
+                        if m >= length:
+                            edge[end - m] += 1
+                            edge[end] -= 1
+                    gone = np.cumsum(edge)[:-1] > 0
+                    if before:
+                        gone |= np.frombuffer(before, bool)
+                    out.append(gone.tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(out, pa.binary())], names=["doc_id", "text", "gone"])
+
+        noted = noted.mapInArrow(note, f"doc_id {kind}, text string, gone binary")
+        if n:
+            noted = stored(noted, "reference")
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                own = (t or "").encode().split()
-                gone = np.zeros(len(own) + 1, np.int64)
-                for end, n in enumerate(automaton.statistics([known.get(w, 1 << 62) for w in own]), 1):
-                    if n >= length:
-                        gone[end - n] += 1
-                        gone[end] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                out.append(t if not gone.any() else b" ".join(compress(own, (~gone).tolist())).decode())
+            marks = [np.frombuffer(g or b"", bool) for g in b.column("gone").to_pylist()]
+            texts = b.column("text").to_pylist()
+            out = [t if not g.any() else b" ".join(kept_words(t, g)).decode("utf-8", "replace") for t, g in zip(texts, marks, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+    return noted.mapInArrow(drop, f"doc_id {kind}, text string")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import byte_grams, folded, pieces, stored, string_buffers
 
@@ -120,12 +121,18 @@ def train(labelled: DataFrame, sample: int = SAMPLE, fair: float = FAIR) -> Mode
     got = part.mapInArrow(features, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, ids binary, swaps array<binary>").toPandas()  # at most ``sample`` rows of kept n-grams
     got = got.sort_values(["doc_id", "toxic"], kind="stable")
     y = got["toxic"].to_numpy(float)
-    return fit(keep, [np.frombuffer(x, np.int16) for x in got["ids"]], y, [[np.frombuffer(s, np.int16) for s in x] for x in got["swaps"]], fair)
+    kind = _place_type(len(keep))
+    return fit(keep, [np.frombuffer(x, kind) for x in got["ids"]], y, [[np.frombuffer(s, kind) for s in x] for x in got["swaps"]], fair)
+
+
+def _place_type(n: int) -> type:
+    """The smallest type for places among ``n`` n-grams."""
+    return np.int16 if n < 1 << 15 else np.int32
 
 
 def _index(keep: np.ndarray) -> np.ndarray:
     """The place of each n-gram id among those kept, -1 for the others."""
-    index = np.full(1 << BITS, -1, np.int16)
+    index = np.full(1 << BITS, -1, _place_type(len(keep)))
     index[keep] = np.arange(len(keep))
     return index
 
@@ -224,10 +231,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", "score")
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score``, which replaces one of that name."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the score as a column ``name``, which must be a new one."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
-    docs = docs.select(*[c for c in docs.columns if c != "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -235,7 +243,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             _, at = string_buffers(b.column("text"))
             z = [m.logits(*folded(b.column("text").slice(i, j - i))) for i, j in pieces(at)]
             s = 1 / (1 + np.exp(-np.clip(np.concatenate(z), -40, 40))) if z else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double")
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below the threshold."""
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, model, name).where(F.col(name) < threshold).drop(name)
