@@ -97,8 +97,16 @@ def test_substring(docs, corpus, spark):
     assert substring_dedup.digests(docs.limit(0)).count() == 0
     ref = substring_dedup.remove_reference(docs.select("doc_id", "text"), [corpus[6]])
     assert {r.doc_id: r.text for r in ref.collect()}[7] == ""
-    with pytest.raises(ValueError):
-        substring_dedup.remove_reference(docs, ["x" * (5 << 20)])
+    given = [corpus[6], None, corpus[-2]]
+    whole = {(r.doc_id, r.text) for r in substring_dedup.remove_reference(docs.select("doc_id", "text"), given).collect()}
+    cut = {(r.doc_id, r.text) for r in substring_dedup.remove_reference(docs.select("doc_id", "text"), given, most=9000).collect()}
+    known = {tuple(w[i : i + 20]) for t in given for w in [tokens(t)] for i in range(len(w) - 19)}
+    for i, t in enumerate(corpus):
+        w = tokens(t)
+        gone = [any(tuple(w[j : j + 20]) in known for j in range(max(0, k - 19), k + 1)) for k in range(len(w))]
+        want = t if not any(gone) else b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()
+        assert (i, want) in whole and (i, want) in cut
+    assert len(list(substring_dedup.reference_shards(given, 20, 9000))) > 1
 
 
 def test_automaton():
@@ -146,6 +154,35 @@ def test_sharding(docs, corpus, spark):
     assert set(sharding.rebalance(new, weights, 3).values()) == {0, 1, 2}
 
 
+def test_sharding_bytes_are_near_equal_and_maps_versioned(spark, tmp_path):
+    """Shard bytes differ by a slot at most, hot ids and texts spread, and the next version of a map moves no more slots than it must."""
+    rng = np.random.default_rng(7)
+    rows = [(i, words(rng, int(rng.integers(1, 60)))) for i in range(1500)] + [(7, f"hot id {i}") for i in range(600)] + [(None, f"no id {i}") for i in range(600)] + [(10_000 + i, "the same text") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    path = f"file://{tmp_path}/map"
+    one = sharding.assign(d, 4, 256, path).collect()
+    by_slot, by_shard = Counter(), Counter()
+    for r in one:
+        by_slot[r.virtual_slot] += r.size
+        by_shard[r.shard] += r.size
+    assert len(one) == len(rows) and max(by_shard.values()) - min(by_shard.values()) <= max(by_slot.values()) < sum(by_slot.values()) / 50
+    assert sharding.latest(spark, path) == 1 and sharding.latest(spark, f"{path}-none") == 0
+    sharding.rebalance_table(d, path, 5)
+    two = sharding.assign(d, path=path).collect()
+    was, now = {r.virtual_slot: r.shard for r in one}, {r.virtual_slot: r.shard for r in two}
+    assert {r.map_version for r in two} == {2} and all(now[s] in (was[s], 4) for s in was) and set(now.values()) == set(range(5))
+    load = Counter()
+    for r in two:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) <= max(by_slot.values())
+    more = d.unionByName(spark.createDataFrame([(50_000 + i, "new " * 9) for i in range(300)], "doc_id bigint, text string"))
+    three = sharding.assign(more, path=path).collect()
+    assert {r.doc_id: r.shard for r in three if r.doc_id and r.doc_id != 7 and r.doc_id < 50_000} == {r.doc_id: r.shard for r in two if r.doc_id and r.doc_id != 7}
+    for rs in (two, three):
+        for s in range(5):
+            assert sorted(r.slot for r in rs if r.shard == s) == list(range(sum(r.shard == s for r in rs)))
+
+
 def test_warc(spark):
     big = "é" * 60
     data = [(3, "http://a\r\nX: y", big, 1), (1, None, big, 1), (2, "u", "x" * 99, 1), (4, "u", "x" * 99, 1), (5, "u", None, 1), (6, "u", "WARC/1.1\r\n\r\n" * 20, 1), (1, None, big, 1), (None, "u", big, 1)]
@@ -180,6 +217,35 @@ def test_ann(spark):
     assert len(ann.search(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()) == 3
 
 
+@pytest.mark.parametrize(("dims", "spread"), [(64, 0.0), (64, 0.7), (128, 0.0)])
+def test_ann_recall_of_a_full_shard(dims, spread):
+    """A shard of the default size against brute force: similar norms, and norms that differ by their logarithm."""
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(ann.SHARD_ROWS, dims))
+    if spread:
+        x *= np.exp(spread * rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    g = ann.build(np.arange(len(x)), x, float(np.linalg.norm(x.astype(float), axis=1).max()))
+    s = x[:100].astype(float) @ x.T.astype(float)
+    s[np.arange(100), np.arange(100)] = -np.inf
+    found, _ = ann.search_graph(g, x[:100], ann.BEAM)
+    hit = 0
+    for i in range(100):
+        ids = [int(g["ids"][g["begin"][c]]) for c in found[i] if c >= 0]
+        assert len(set(ids)) == len(ids)
+        best = sorted((v for v in ids if v != i), key=lambda v: -s[i, v])[:20]
+        hit += len(set(best) & set(np.argsort(-s[i])[:20].tolist()))
+    assert hit / 2000 >= 0.9
+
+
+def test_ann_odd_rows(spark):
+    """Null and repeated ids, two lengths, equal vectors: ties go to the smaller id."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [2.0, 0.0]), (5, [0.0, 1.0]), (None, [9.0, 9.0]), (7, [9.0, 9.0, 9.0]), (20, [9.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert sorted(set(got)) == [(0, 1, 2, 2.0), (0, 2, 3, 2.0), (0, 3, 5, 0.0)]
+
+
 def brute_katz(toks, train, order):
     """A function (document, place) -> probability, and the word counts: every order straight from the definition."""
     counts = [Counter() for _ in range(order)]
@@ -384,3 +450,181 @@ def test_decontaminate_chunks(spark):
     assert len(got) > 5 and sorted(x for ids, _ in got for x in ids) == list(range(200))
     assert sum(sum(map(len, texts)) > 2000 for _, texts in got) == 0
     assert list(decontaminate.chunks(bench.limit(0))) == []
+
+
+def test_warc_reads_members_and_large_pages(spark, tmp_path):
+    """One gzip member a record, a plain file, records across pieces; a file is bounded by bytes when written."""
+    import gzip
+
+    def record(kind, rid, block, *more):
+        head = "".join(f"{k}: {v}\r\n" for k, v in (("WARC-Type", kind), ("WARC-Record-ID", rid), *more, ("Content-Length", len(block))))
+        return f"WARC/1.0\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+    answer = b"HTTP/1.1 200 OK\r\n\r\n"
+    http = ("Content-Type", "application/http; msgtype=response")
+    big = bytes(np.random.default_rng(0).integers(0, 256, 3 << 20, dtype=np.uint8))
+    records = [record("warcinfo", "<i>", b"x: y\r\n"), record("response", "<a>", answer + big, http), record("request", "<b>", b"GET / HTTP/1.1\r\n\r\n", ("WARC-Concurrent-To", "<a>"), http), record("response", "<c>", answer, http)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "w" / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "w" / "empty.warc").write_bytes(b"")
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert Counter(r.record_id for r in got) == {"<i>": 2, "<a>": 2, "<b>": 2, "<c>": 2}
+    assert {r.payload_digest for r in got if r.record_id == "<a>"} == {hashlib.sha256(big).hexdigest()} and {r.payload_bytes for r in got if r.record_id == "<c>"} == {0}
+    whole = b"".join(records)
+    for step in (1, 7, 4096):
+        cut = [(h["warc-record-id"], len(b)) for h, b in warc.cut_records((records[0] + records[3])[i : i + step] for i in range(0, len(records[0] + records[3]), step))]
+        assert cut == [("<i>", 6), ("<c>", len(answer))]
+    for bad in (whole[:40], records[0] + b"oops\r\n\r\n", records[1][:-100]):
+        with pytest.raises(ValueError):
+            list(warc.cut_records([bad]))
+    with pytest.raises(ValueError):
+        list(warc.inflated(gzip.compress(whole)[:-200]))
+    pages = [(i, "u", "x" * (200_000 if i % 3 == 0 else 50) + str(i)) for i in range(120)]
+    warc.write(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1), f"file://{tmp_path}/o")
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "o").glob("*.gz")]
+    assert sum(f.count(b"WARC-Type: response") for f in files) == 120 and max(f.count(b"WARC-Type: ") for f in files if len(f) > 200_000) <= 48
+    assert warc.round_trip(spark.createDataFrame(pages, "page_id bigint, url string, html string")).count() == 120
+
+
+def smith_waterman(a, b):
+    """Best local score of two word lists, cell by cell."""
+    last, best = [0] * (len(a) + 1), 0
+    for y in b:
+        row = [0]
+        for i, x in enumerate(a, 1):
+            row.append(max(0, last[i - 1] + (2 if x == y else -1), last[i] - 1, row[-1] - 1))
+            best = max(best, row[-1])
+        last = row
+    return best
+
+
+def test_decontaminate_against_brute_force(spark):
+    """Every pair of a document and an item, aligned in full: found are those with a trigram in common that reach the threshold."""
+    rng = np.random.default_rng(21)
+    items = [[f"b{j}x{int(x)}" for x in rng.integers(0, 9, 20)] for j in range(4)]
+    rows = []
+    for i in range(50):
+        w = [f"n{x}" for x in rng.integers(0, 50, int(rng.integers(0, 60)))]
+        own = list(items[i % 4])
+        for j in rng.integers(0, 20, int(rng.integers(0, 14))):
+            own[j] = f"z{i}"
+        at = int(rng.integers(0, len(w) + 1))
+        rows.append((i, " ".join(w[:at] + own[: int(rng.integers(8, 21))] + w[at:])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find(d, bench).collect()}
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = {(i, j): smith_waterman(t.split(), x) / 40 for i, t in rows for j, x in enumerate(items) if grams(t.split()) & grams(x)}
+    assert got == {k: pytest.approx(s) for k, s in want.items() if s >= 0.5} and 5 < len(got) < len(want)
+
+
+def test_langid_against_exact_sets(spark):
+    """Filters against the sets that they stand for: hits of each language from dictionaries of n-grams."""
+    rng = np.random.default_rng(3)
+    alphabet = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    text = lambda a: " ".join("".join(rng.choice(list(a), int(rng.integers(2, 7)))) for _ in range(40))
+    rows = [(i, text(a), n) for i in range(80) for n, a in alphabet.items()] + [(500, text("abcdefghijklmnop"), None), (500, text("abcdefghijklmnop"), None), (501, "Ünï ßø", None), (None, text("abcd"), None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("mine"))
+    f = langid.train(d)
+    sets = {}
+    for n in alphabet:
+        df = Counter()
+        texts = [t for _, t, m in rows if m == n]
+        for t in texts:
+            b = f" {t} ".encode()
+            df.update({b[i : i + k] for k in langid.SIZES for i in range(len(b) - k + 1)})
+        sets[n] = {g for g, c in df.items() if c >= max(2.0, langid.SHARE * len(texts))}
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.predict(d, f).collect()]
+    assert len(got) == len(rows)
+    by = Counter((i, p) for i, p, _ in got)
+    for i, t, _ in rows[:240] + rows[240:242]:
+        b = f" {t} ".encode()
+        hits = {n: sum(b[j : j + k] in s for k in langid.SIZES for j in range(len(b) - k + 1)) for n, s in sets.items()}
+        best = max(sorted(hits), key=lambda n: hits[n])
+        if sorted(hits.values())[-1] > sorted(hits.values())[-2] + 3:
+            assert by[i, best] >= 1
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame([(i, "abc", f"l{i}") for i in range(65)], "doc_id bigint, text string, lang string"))
+
+
+def test_toxicity_against_dense_training(spark):
+    """Scores from sets of n-grams, and the weights from dense matrices with the same steps."""
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(rng.choice(["good", "day", "jews", "women", "met", "scum", "fools"], 6).tolist() + (["vermin"] if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(90)]
+    rows += [(7, rows[7][1], 1 - rows[7][2]), (None, "vermin and fools", 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    m = toxicity.train(d.withColumn("score", F.lit(5)))
+    keep = np.flatnonzero(m.weights)
+    ids = [toxicity._ids(pa.array([t]))[0] for _, t, _ in rows]
+    got = {r.doc_id: r.score for r in toxicity.score(d, m).collect()}
+    for (i, _, _), own in zip(rows, ids, strict=True):
+        if i not in (7, None):
+            z = m.bias + m.weights[own].astype(float).sum()
+            assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[2]))
+    place = {int(k): n for n, k in enumerate(keep)}
+    vec = lambda t: np.isin(keep, toxicity._ids(pa.array([t]))[0]).astype(float)
+    fitted = toxicity.fit(keep, [np.array([place[int(k)] for k in toxicity._ids(pa.array([t]))[0] if int(k) in place], np.int32) for _, t, _ in order], np.array([y for *_, y in order], float), [[np.array([place[int(k)] for k in toxicity._ids(pa.array([s]))[0] if int(k) in place], np.int32) for s in toxicity.counterfactuals(t)] for _, t, _ in order], 1.0, steps=40)
+    x, y = np.array([vec(t) for _, t, _ in order]), np.array([t for *_, t in order], float)
+    pairs = [(vec(t), vec(s)) for _, t, _ in order for s in toxicity.counterfactuals(t)]
+    gapm = np.array([a - b for a, b in pairs])
+    w, bias, m1, m2 = np.zeros(len(keep)), 0.0, np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
+    each = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    for t in range(1, 41):
+        g = (1 / (1 + np.exp(-(x @ w + bias))) - y) * each
+        grad = np.append(x.T @ g + toxicity.RIDGE * w + gapm.T @ (2 * (gapm @ w) / len(pairs)), g.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    assert np.allclose(fitted.weights[keep], w, atol=1e-4)
+    assert toxicity.score(d.limit(0), m).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.scored(d.withColumn("score", F.lit(1)), m)
+
+
+PLANTED = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, block string, node string, gone string, toxicity string"
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept, from planted documents to token digests."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(31)
+    base, passage, item = words(rng, 80), words(rng, 60), [f"q{x}" for x in range(25)]
+    texts = [words(rng, 90) + (" vile scum vermin" if i % 4 == 0 else "") for i in range(120)]
+    texts += [base, base, base + " end", words(rng, 40) + " " + passage, words(rng, 50) + " " + passage + " " + words(rng, 9), words(rng, 30) + " " + " ".join(item), None, "", " ", "one two"]
+    rows = [(i, t, "en", "s", len(t or ""), f"mine{i}", "b", "n", "g", "x") for i, t in enumerate(texts)] + [(None, base, "en", "s", 1, "no id", "b", "n", "g", "x")]
+    d = spark.createDataFrame(rows, PLANTED)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(110)] + [(3, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "substring", "decontaminate", "bpe"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == d.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {(r.doc_id, r.text, r.score) for r in docs.collect()}
+    mine = lambda i, t: (i, t, "no id" if i is None else f"mine{i}")
+    clean = {mine(i, t) for i, t in enumerate(texts) if not (i < 120 and i % 4 == 0)} | {mine(None, base)}
+    assert kept["toxicity"] == clean
+    one = {x for x in clean if x[0] not in (121, 122)}
+    assert kept["ngram_jaccard"] == one
+    order = sorted(one, key=lambda x: (x[0] is None, x[0] or 0))
+    spans = {x[0]: r for x, r in zip(order, removed([x[1] for x in order]), strict=True)}
+    want = {mine(x[0], x[1] if not spans[x[0]][1] else spans[x[0]][2].decode()) for x in one}
+    assert spans[124][1] == 60 and spans[None][1] == 80 and kept["substring"] == want
+    assert {r.doc_id: r.n_chars for r in spark.read.parquet(f"{tmp_path}/substring").collect()}[124] == len(dict((x[0], x[1]) for x in want)[124])
+    want = {x for x in want if x[0] != 125}
+    assert kept["decontaminate"] == want
+    t = Tokenizer.from_file(BPE)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    ids = {x[0]: t.encode(x[1] or "", add_special_tokens=False).ids for x in want}
+    assert got == {i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in ids.items()}
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
