@@ -1,4 +1,11 @@
-"""A training corpus in five stages: toxicity, near duplicates, repeated spans, benchmark copies, tokens."""
+"""A training corpus in five stages: toxicity, near duplicates, repeated spans, benchmark copies, tokens.
+
+Defined cases, for each stage: columns beside doc_id and text, whatever their names, are kept as they are (but
+n_chars, counted anew where spans went); null and empty texts are clean and stay to the end as no tokens; rows
+without an id are no copies of any document and stay; equal rows with one id stay or go together before
+spans, and of their texts the first keeps its spans; empty tables give an empty result; without labels of
+both kinds nothing is toxic, without a benchmark nothing is a copy.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~langid.held_out(3, 1))
     model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.kept(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
