@@ -13,6 +13,10 @@ _CHARSET = re.compile(rb"<meta[^>]+charset=[\"']?([\w-]+)", re.IGNORECASE)
 _LATIN = re.compile("iso-8859-1|latin-?1|windows-1252|cp1252")
 
 
+#: What an anti-bot page says (fixed value).
+BLOCK_PAGE = r"(?i)Attention Required! \| Cloudflare|Just a moment\.\.\.|cf-chl-|captcha"
+
+
 def decode_bytes(body: bytes, content_type: str | None) -> str:
     """Text of a page: charset of the header, else of a meta tag near the top; Latin-1 kinds are Windows-1252."""
     m = re.search(r"charset=[\"']?([\w-]+)", content_type or "", re.IGNORECASE)
@@ -25,8 +29,8 @@ def decode_body(body: pd.Series, content_type: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else decode_bytes(b, t) for b, t in zip(body, content_type, strict=True)])
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, html) of page files; .gz files are unpacked."""
+def read_pages(spark: SparkSession, path: str, content_type: str | None = None) -> DataFrame:
+    """(path, html) of page files, in the charset of a content type if one is given; .gz files are unpacked."""
     import gzip
 
     @F.pandas_udf(BinaryType())
@@ -34,12 +38,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         return body.map(lambda b: gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b)
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", decode_body(unpack("content"), F.lit(None).cast("string")).alias("html"))
+    return files.select("path", decode_body(unpack("content"), F.lit(content_type).cast("string")).alias("html"))
 
 
 def looks_blocked(status: Column, html: Column) -> Column:
     """An anti-bot page: refused, with a challenge in its first 20 000 characters."""
-    return status.isin(403, 503) & F.substring(html, 1, 20000).rlike(r"(?i)Attention Required! \| Cloudflare|Just a moment\.\.\.|cf-chl-|captcha")
+    return status.isin(403, 503) & F.substring(html, 1, 20000).rlike(BLOCK_PAGE)
 
 
 def next_data(html: Column) -> Column:
