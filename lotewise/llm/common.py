@@ -38,8 +38,8 @@ BUCKET_BLOCKS = 4
 MOST_FILES = 50_000
 #: Text bytes worked on at once; a longer single text is one piece.
 PIECE_BYTES = 2 << 20
-#: Rows in an Arrow batch handed to Python; bounds a batch of ordinary texts.
-BATCH_ROWS = 2000
+#: Rows and bytes in an Arrow batch handed to Python: whichever is reached first; a longer row is a batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 64 << 20
 #: Has workers give large arrays back to the system when they are freed, so that idle ones stay small.
 WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
@@ -57,6 +57,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python workers of this session, and say where they find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):  # workers import this package from where the driver did
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
