@@ -20,7 +20,7 @@ def _br(c: str) -> str:
 
 def _captures(spark: SparkSession, sf_dir: str, html: str) -> DataFrame:
     """One capture a part."""
-    return table(spark, sf_dir, "part").selectExpr("concat('', p_partkey) AS id", "'sai' AS fonte", "'S.A Imóveis' AS fonte_nome", "'https://sai.example' AS base", f"{html} AS html", "p_partkey AS page")
+    return table(spark, sf_dir, "part").selectExpr("concat('', p_partkey) AS id", "'sai' AS fonte", "'Casa Boa Imóveis' AS fonte_nome", "'https://sai.example' AS base", f"{html} AS html", "p_partkey AS page")
 
 
 def _join(c: str) -> Column:
@@ -43,7 +43,7 @@ _KSI_DETAIL = f"""concat('<script>Aluguel</script><p>Aluguel</p><p>', {_br('p_re
     f"""SELECT concat('', p_partkey) AS id, p_retailprice AS aluguel, CASE WHEN p_size % 5 <> 0 THEN p_size * 10 + 0.5e0 END AS condominio, CASE WHEN p_partkey % 2 <> 0 THEN 33.23e0 END AS iptu,
     CASE WHEN p_partkey % 3 = 0 THEN 5000.1e0 ELSE {_R2.format("p_retailprice + CASE WHEN p_size % 5 <> 0 THEN p_size * 10 + 0.5e0 ELSE 0 END + CASE WHEN p_partkey % 2 <> 0 THEN 33.23e0 ELSE 0 END")} END AS total,
     p_size % 5 AS quartos, CAST(NULL AS INTEGER) AS suites, 1 AS banheiros, p_size + 0.5e0 AS area, concat(CASE WHEN p_partkey % 4 = 0 THEN 'Reservado|' ELSE '' END, 'Piscina|Armário embutido|Elevador') AS caracteristicas,
-    concat('Ana ', p_size, '/corretor/', p_partkey, '-F|S.A Imóveis/imobiliaria/', {_PHONE}) AS contatos, concat('Casa ', p_partkey, chr(10), 'Aceita pets') AS descricao, true AS aceita_pet, 'a.jpg|b.jpg' AS fotos FROM part"""
+    concat('Ana ', p_size, '/corretor/', p_partkey, '-F|Casa Boa Imóveis/imobiliaria/', {_PHONE}) AS contatos, concat('Casa ', p_partkey, chr(10), 'Aceita pets') AS descricao, true AS aceita_pet, 'a.jpg|b.jpg' AS fotos FROM part"""
 )
 def ksi_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = details.detail("ksi")(_captures(spark, sf_dir, _KSI_DETAIL))
@@ -52,14 +52,14 @@ def ksi_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CNM_DETAIL = f"""concat('<script type="application/ld+json">{{"@type":"RealEstateListing","description":"Lindo &amp; novo\\\\r\\\\n  aceita pets","datePosted":"2024-01-0', 1 + p_size % 9, '","about":{{"image":"f.jpg","offers":{{"price":', p_retailprice,
- ',"offeredBy":{{"name":"D&Eacute;BORA MARTINS DE SOUZA","telephone":"', {_MOBILE}, '"}},"itemOffered":{{"numberOfBedrooms":', p_size % 4, ',"geo":{{"latitude":"-22.5","longitude":0}},"amenityFeature":[{{"name":"Piscina","value":true}},{{"name":"Sauna","value":false}},{{"name":"Mobiliado"}}]}}}}}}}}</script>',
+ ',"offeredBy":{{"name":"Z&Eacute;LIA EXEMPLO DE SOUZA","telephone":"', {_MOBILE}, '"}},"itemOffered":{{"numberOfBedrooms":', p_size % 4, ',"geo":{{"latitude":"-22.5","longitude":0}},"amenityFeature":[{{"name":"Piscina","value":true}},{{"name":"Sauna","value":false}},{{"name":"Mobiliado"}}]}}}}}}}}</script>',
  '<script>self.push("{{\\\\"reference\\\\":\\\\"AL-', p_partkey, '\\\\",\\\\"condominiumFee\\\\":', p_size * 10, ',\\\\"iptuValue\\\\":0,\\\\"creci\\\\":\\\\"$undefined\\\\",\\\\"suites\\\\":{{\\\\"count\\\\":', p_size % 3, '}},\\\\"whatsapp\\\\":[\\\\"', {_MOBILE}, '\\\\"],\\\\"useful\\\\":\\\\"', p_size, ',5\\\\"',
  CASE WHEN p_partkey % 2 = 0 THEN ',\\\\"neighborhood\\\\":{{\\\\"id\\\\":7,\\\\"name\\\\":\\\\"Centro\\\\",\\\\"url\\\\":\\\\"/c\\\\",\\\\"geoposition\\\\":{{\\\\"lon\\\\":\\\\"-48.25\\\\",\\\\"lat\\\\":\\\\"-22.75\\\\"}}}}' ELSE '' END, '}}")</script>')"""
 
 
 @query(
-    f"""SELECT concat('', p_partkey) AS id, 'Débora Martins de Souza' AS anunciante, concat('AL-', p_partkey) AS referencia, p_retailprice AS aluguel, CASE WHEN p_size > 0 THEN p_size * 10.0e0 END AS condominio, CAST(NULL AS DOUBLE) AS iptu, {_R2.format("p_retailprice + p_size * 10")} AS total,
-    p_size % 4 AS quartos, p_size % 3 AS suites, concat('Lindo & novo', chr(10), 'aceita pets') AS descricao, 'Piscina|Mobiliado' AS caracteristicas, true AS mobiliado, true AS aceita_pet, concat('Débora Martins de Souza/', {_MOBILE}, '/', {_E164}) AS contatos,
+    f"""SELECT concat('', p_partkey) AS id, 'Zélia Exemplo de Souza' AS anunciante, concat('AL-', p_partkey) AS referencia, p_retailprice AS aluguel, CASE WHEN p_size > 0 THEN p_size * 10.0e0 END AS condominio, CAST(NULL AS DOUBLE) AS iptu, {_R2.format("p_retailprice + p_size * 10")} AS total,
+    p_size % 4 AS quartos, p_size % 3 AS suites, concat('Lindo & novo', chr(10), 'aceita pets') AS descricao, 'Piscina|Mobiliado' AS caracteristicas, true AS mobiliado, true AS aceita_pet, concat('Zélia Exemplo de Souza/', {_MOBILE}, '/', {_E164}) AS contatos,
     concat('2024-01-0', 1 + p_size % 9) AS publicado_em, CASE WHEN p_partkey % 2 = 0 THEN -22.75e0 ELSE -22.5e0 END AS lat, CASE WHEN p_partkey % 2 = 0 THEN -48.25e0 END AS lng, true AS coord_aprox, 'f.jpg' AS fotos, p_size + 0.5e0 AS area FROM part"""
 )
 def aggregator_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +68,13 @@ def aggregator_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", "anunciante", "referencia", "aluguel", "condominio", "iptu", "total", "quartos", "suites", "descricao", _join("caracteristicas"), "mobiliado", "aceita_pet", people, "publicado_em", "lat", "lng", "coord_aprox", _join("fotos"), "area")
 
 
-_KENLO_ROW = """'{"property_full_reference":"AP', p_partkey, '-EXPJ","url":"/imovel/', p_partkey, '","website_title":"Apto &quot;', p_size, '&quot;","property_type":"', CASE WHEN p_size % 2 = 0 THEN 'APARTMENT' ELSE 'STUDIO_APARTMENT' END, '","rent_price":[', p_retailprice, ',9999],"total_rent":', p_retailprice + 100, ',"bedrooms":["', p_size % 4, '"],"area":[', p_size, '],"neighborhood":"VILA DOS LAVRADORES","city":"Botucatu","state":"SP","photos":[{"picture_full":"a"},{"picture_full_fallback":"b"}],"amenities":["POOL","X","FURNISHED"],"rent_guarantee":["GUARANTOR","BOND_INSURANCE"],"listing_description":"Seguro fian&ccedil;a"'"""
+_KENLO_ROW = """'{"property_full_reference":"AP', p_partkey, '-XYZJ","url":"/imovel/', p_partkey, '","website_title":"Apto &quot;', p_size, '&quot;","property_type":"', CASE WHEN p_size % 2 = 0 THEN 'APARTMENT' ELSE 'STUDIO_APARTMENT' END, '","rent_price":[', p_retailprice, ',9999],"total_rent":', p_retailprice + 100, ',"bedrooms":["', p_size % 4, '"],"area":[', p_size, '],"neighborhood":"VILA DOS LAVRADORES","city":"Botucatu","state":"SP","photos":[{"picture_full":"a"},{"picture_full_fallback":"b"}],"amenities":["POOL","X","FURNISHED"],"rent_guarantee":["GUARANTOR","BOND_INSURANCE"],"listing_description":"Seguro fian&ccedil;a"'"""
 _KENLO_PEOPLE = f""""website":{{"chat_whatsapp_phone":"', {_MOBILE}, '"}},"offices":[{{"phones":[{{"number":"', {_PHONE}, '"}},{{"number":"(14) 3000-0000","show":false}}]}}]"""
 
 
 @query(
-    f"""SELECT concat('AP', p_partkey, '-EXPJ') AS id, concat('https://sai.example/imovel/', p_partkey) AS url, concat('Apto "', p_size, '"') AS titulo, CASE WHEN p_size % 2 = 0 THEN 'apartamento' ELSE 'kitnet' END AS tipo, p_retailprice AS aluguel, p_retailprice + 100 AS total, p_size % 4 AS quartos, p_size * 1.0e0 AS area,
-    'Vila dos Lavradores' AS bairro, 'a|b' AS fotos, 'Piscina|Mobiliado' AS caracteristicas, true AS mobiliado, 'Fiador|Seguro-fiança' AS garantias, concat('AP', p_partkey) AS referencia, concat('S.A Imóveis/', {_MOBILE}, '/', {_E164}, '|S.A Imóveis/', {_PHONE}) AS contatos, 147 AS anunciados FROM part"""
+    f"""SELECT concat('AP', p_partkey, '-XYZJ') AS id, concat('https://sai.example/imovel/', p_partkey) AS url, concat('Apto "', p_size, '"') AS titulo, CASE WHEN p_size % 2 = 0 THEN 'apartamento' ELSE 'kitnet' END AS tipo, p_retailprice AS aluguel, p_retailprice + 100 AS total, p_size % 4 AS quartos, p_size * 1.0e0 AS area,
+    'Vila dos Lavradores' AS bairro, 'a|b' AS fotos, 'Piscina|Mobiliado' AS caracteristicas, true AS mobiliado, 'Fiador|Seguro-fiança' AS garantias, concat('AP', p_partkey) AS referencia, concat('Casa Boa Imóveis/', {_MOBILE}, '/', {_E164}, '|Casa Boa Imóveis/', {_PHONE}) AS contatos, 147 AS anunciados FROM part"""
 )
 def kenlo_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = f"""concat('<script>(function(){{\n window.markoVars[\\'listings-ab1\\'] = {{{_KENLO_PEOPLE},"settings":{{"listings":{{"count":147,"data":[', {_KENLO_ROW}, '}}]}}}}}};\n}})();</script>')"""
@@ -88,12 +88,12 @@ def _people(*fields: str) -> Column:
 
 
 @query(
-    f"""SELECT concat('AP', p_partkey, '-EXPJ') AS id, concat('https://full.example/imovel/', p_partkey) AS url, p_retailprice AS aluguel, p_size * 2.0e0 AS condominio, CAST(NULL AS DOUBLE) AS iptu, {_R2.format("p_retailprice + p_size * 2")} AS total, -22.5e0 AS lat, -48.5e0 AS lng, true AS detalhado,
-    concat('Fabio/corretor/', {_MOBILE}, '/', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat({_E164}, '/') END, '238392|Só Nome/corretor/9', CASE WHEN p_partkey % 2 = 0 THEN concat('|S.A Imóveis/imobiliaria/', {_PHONE}) ELSE concat('|S.A Imóveis/imobiliaria/', {_PHONE}) END) AS contatos FROM part"""
+    f"""SELECT concat('AP', p_partkey, '-XYZJ') AS id, concat('https://full.example/imovel/', p_partkey) AS url, p_retailprice AS aluguel, p_size * 2.0e0 AS condominio, CAST(NULL AS DOUBLE) AS iptu, {_R2.format("p_retailprice + p_size * 2")} AS total, -22.5e0 AS lat, -48.5e0 AS lng, true AS detalhado,
+    concat('Corretor A/corretor/', {_MOBILE}, '/', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE concat({_E164}, '/') END, '238392|Só Nome/corretor/9', CASE WHEN p_partkey % 2 = 0 THEN concat('|Casa Boa Imóveis/imobiliaria/', {_PHONE}) ELSE concat('|Casa Boa Imóveis/imobiliaria/', {_PHONE}) END) AS contatos FROM part"""
 )
 def kenlo_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = f"""concat('<script>\n window.markoVars[\\'listing-details-x9\\'] = {{"server":{{"full_url":"https://full.example/x/y"}},"offices":[{{"phones":[{{"number":"', {_PHONE}, '"}}]}}],"settings":{{"listing":[', {_KENLO_ROW},
-     ',"condo_fees":"', {_br('p_size * 2')}, '","property_tax":0,"location":{{"lat":"-22.5","lon":-48.5}},"brokers":[{{"broker_name":"Fabio","broker_mobile_phone":"', {_MOBILE}, '","broker_credential":238392', CASE WHEN p_partkey % 2 = 0 THEN ',"broker_whatsapp":false' ELSE '' END, '}},{{"broker_name":"Só Nome","broker_credential":"9"}},{{"broker_name":"Ninguém"}}]}}]}}}};\n}})();</script>')"""
+     ',"condo_fees":"', {_br('p_size * 2')}, '","property_tax":0,"location":{{"lat":"-22.5","lon":-48.5}},"brokers":[{{"broker_name":"Corretor A","broker_mobile_phone":"', {_MOBILE}, '","broker_credential":238392', CASE WHEN p_partkey % 2 = 0 THEN ',"broker_whatsapp":false' ELSE '' END, '}},{{"broker_name":"Só Nome","broker_credential":"9"}},{{"broker_name":"Ninguém"}}]}}]}}}};\n}})();</script>')"""
     d = details.detail("kenlo")(_captures(spark, sf_dir, html))
     return d.select("id", "url", "aluguel", "condominio", "iptu", "total", "lat", "lng", "detalhado", _people("nome", "papel", "telefone", "whatsapp", "creci"))
 
@@ -104,13 +104,13 @@ _TEMPLATE = f"""concat('<script id="__NEXT_DATA__" type="application/json">{{"pr
  "captivators":[{{"namPerson":"Vende","desPhone":"(14) 3222-3333"}},{{"namPerson":"Aluga","desPhone":"', {_MOBILE}, '","creci":"12","isCaptivatorLocation":true}}],
  "property":{{"idtProperty":', p_partkey, ',"indType":"L","namCategory":"Apartamentos","namSubCategory":"Padrão","namDistrict":"VILA ÉDEN","namCity":"Botucatu","namState":"São Paulo","valLocation":', p_retailprice, ',"valCondominium":', p_size, ',"valMonthIptu":0,"prop_char_5":', p_size % 4, ',"totalGarages":1,"prop_char_95":', p_size, '.5,"idtsCharacteristics":"|3||5|', CASE WHEN p_partkey % 2 = 0 THEN '|4|' ELSE '' END, '","jsonPhotos":"[{{\\\\"urlPhoto\\\\":\\\\"a\\\\"}},{{\\\\"urlPhoto\\\\":\\\\"b\\\\",\\\\"flgNotShowSite\\\\":1}}]",
  "jsonCharacteristics":"[{{\\\\"characteristics\\\\":{{\\\\"idtCharacteristics\\\\":6}},\\\\"desInformation\\\\":\\\\"Sim\\\\"}},{{\\\\"characteristics\\\\":{{\\\\"desCharacteristics\\\\":\\\\"Portaria 24 Hrs\\\\"}},\\\\"desInformation\\\\":\\\\"', CASE WHEN p_partkey % 3 = 0 THEN 'Não' ELSE 'Sim' END, '\\\\"}}]","latitude":"-22.5","longitude":"-48.5","flgShowMapSite":', p_partkey % 2, '}}}}}}}}}}}}}}</script>')"""
-_SITE = f"'Robuste/', {_MOBILE}, '/', {_E164}, '/a@b.c|Robuste/', {_PHONE}, '/a@b.c|Robuste/(14) 3111-2222/a@b.c'"
+_SITE = f"'Imob Teste/', {_MOBILE}, '/', {_E164}, '/a@b.c|Imob Teste/', {_PHONE}, '/a@b.c|Imob Teste/(14) 3111-2222/a@b.c'"
 
 
 @query(f"SELECT concat('', p_partkey) AS id, 'rb' AS imob, concat({_SITE}) AS contatos, 'Mobília|Semi mobiliado|Cor da parede|Lavanderias' AS nomes, p_partkey::INTEGER AS cidade, CASE WHEN p_partkey % 2 = 0 THEN 77 END AS outra FROM part")
 def msys_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City pages: the agency's contacts, the characteristic dictionary, and the id of a city by name or else the first of a list."""
-    pages = _captures(spark, sf_dir, _TEMPLATE).withColumns({"fonte": F.col("id"), "fonte_nome": F.lit("Robuste")})
+    pages = _captures(spark, sf_dir, _TEMPLATE).withColumns({"fonte": F.col("id"), "fonte_nome": F.lit("Imob Teste")})
     t = F.try_variant_get(next_data(F.col("html")), "$.props.initialProps.pageProps.template", "variant")
     city = pages.select(F.col("id").alias("fonte"), platforms.msys_place(t, F.lit("Botucatu")).alias("cidade"), F.when(F.col("page") % 2 == 0, platforms.msys_place(t, F.lit("Bauru"))).alias("outra"))
     site = platforms.msys_site(pages).withColumnRenamed("site_contatos", "contatos")
@@ -120,15 +120,15 @@ def msys_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""SELECT concat('', p_partkey) AS id, concat('https://rb.example/imovel/locacao/apartamentos/botucatu/vila-eden/', p_partkey) AS url, 'Apartamento na Vila Éden' AS titulo, 'apartamento' AS tipo, p_retailprice AS aluguel, p_size * 1.0e0 AS condominio, CAST(NULL AS DOUBLE) AS iptu, {_R2.format("p_retailprice + p_size")} AS total, p_size % 4 AS quartos, 1 AS vagas, p_size + 0.5e0 AS area, 'SP' AS uf,
     CASE WHEN p_partkey % 2 = 1 THEN -22.5e0 END AS lat, 'a' AS fotos, concat(CASE WHEN p_partkey % 2 = 0 THEN 'Semimobiliado' ELSE 'Mobiliado' END, '|Lavanderia', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '|Portaria 24 Hrs' END) AS caracteristicas, true AS detalhado,
-    concat('Aluga/', {_MOBILE}, '/', {_E164}, '/a@b.c/12|Vende/(14) 3222-3333|Robuste/', {_PHONE}, '/a@b.c|Robuste/(14) 3111-2222/a@b.c') AS contatos FROM part"""
+    concat('Aluga/', {_MOBILE}, '/', {_E164}, '/a@b.c/12|Vende/(14) 3222-3333|Imob Teste/', {_PHONE}, '/a@b.c|Imob Teste/(14) 3111-2222/a@b.c') AS contatos FROM part"""
 )
 def msys_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = details.detail("msys")(_captures(spark, sf_dir, _TEMPLATE).withColumn("fonte_nome", F.lit("Robuste")))
+    d = details.detail("msys")(_captures(spark, sf_dir, _TEMPLATE).withColumn("fonte_nome", F.lit("Imob Teste")))
     return d.select("id", "url", "titulo", "tipo", "aluguel", "condominio", "iptu", "total", "quartos", "vagas", "area", "uf", "lat", _join("fotos"), _join("caracteristicas"), "detalhado", _people("nome", "telefone", "whatsapp", "email", "creci"))
 
 
 @query(
-    f"""SELECT concat('', p_partkey, '-', n) AS id, CASE WHEN n = 1 THEN 'kitnet' ELSE 'casa' END AS tipo, p_retailprice + n AS aluguel, p_size % 5 AS quartos, p_size + 0.5e0 AS area, 'Vila São Pedro' AS bairro, 'Botucatu' AS cidade, 'SP' AS uf, 'p/foto_/1' AS fotos, concat('Casa & ', n) AS titulo, concat('S.A Imóveis/', {_PHONE}) AS contatos, 1234 AS anunciados
+    f"""SELECT concat('', p_partkey, '-', n) AS id, CASE WHEN n = 1 THEN 'kitnet' ELSE 'casa' END AS tipo, p_retailprice + n AS aluguel, p_size % 5 AS quartos, p_size + 0.5e0 AS area, 'Vila São Pedro' AS bairro, 'Botucatu' AS cidade, 'SP' AS uf, 'p/foto_/1' AS fotos, concat('Casa & ', n) AS titulo, concat('Casa Boa Imóveis/', {_PHONE}) AS contatos, 1234 AS anunciados
     FROM part, (SELECT unnest([1, 2]) AS n)"""
 )
 def ksi_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,11 +142,11 @@ def ksi_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT concat('', p_partkey) AS id, 'Realize Negócios' AS anunciante, 'apartamento' AS tipo, p_retailprice AS aluguel, p_size % 4 AS quartos, 0 AS vagas, CASE WHEN p_size > 1 THEN p_size * 1.0e0 END AS area, 'Centro' AS bairro, 'Botucatu' AS cidade, 'SP' AS uf, 'i.jpg' AS fotos, 461 AS anunciados FROM part"""
+    """SELECT concat('', p_partkey) AS id, 'Exemplo Negócios' AS anunciante, 'apartamento' AS tipo, p_retailprice AS aluguel, p_size % 4 AS quartos, 0 AS vagas, CASE WHEN p_size > 1 THEN p_size * 1.0e0 END AS area, 'Centro' AS bairro, 'Botucatu' AS cidade, 'SP' AS uf, 'i.jpg' AS fotos, 461 AS anunciados FROM part"""
 )
 def aggregator_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offer of the city, one of another city and one for sale a page."""
-    offer = """'{{"url":"https://x/imovel/apartamento-{what}-{city}-centro/id-', p_partkey, '/","price":', p_retailprice, ',"name":"A","offeredBy":{{"name":"REALIZE NEG&Oacute;CIOS"}},"itemOffered":{{"numberOfBedrooms":', p_size % 4, ',"image":"i.jpg","floorSize":{{"value":', p_size, '}},"address":{{"addressRegion":"Botucatu, SP","addressLocality":"Centro"}}}}}}'"""
+    offer = """'{{"url":"https://x/imovel/apartamento-{what}-{city}-centro/id-', p_partkey, '/","price":', p_retailprice, ',"name":"A","offeredBy":{{"name":"EXEMPLO NEG&Oacute;CIOS"}},"itemOffered":{{"numberOfBedrooms":', p_size % 4, ',"image":"i.jpg","floorSize":{{"value":', p_size, '}},"address":{{"addressRegion":"Botucatu, SP","addressLocality":"Centro"}}}}}}'"""
     offers = ", ',', ".join(offer.format(what=w, city=c) for w, c in (("para-alugar", "sp-botucatu"), ("para-alugar", "sp-bauru"), ("a-venda", "sp-botucatu")))
     html = f"""concat('<script type="application/ld+json">{{"@graph":[{{"@type":"WebPage"}},{{"@type":"RealEstateListing","offers":{{"numberOfItems":461,"itemListElement":[', {offers}, ']}}}}]}}</script>')"""
     pages = _captures(spark, sf_dir, html).withColumn("anunciados", platforms.aggregator_total(F.col("html")))

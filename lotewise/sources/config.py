@@ -72,4 +72,4 @@ def ad_hoc(platform: str, site: str, name: str | None = None) -> dict:
 
 def from_environment(env: dict[str, str]) -> dict[str, str]:
     """Where the configuration and the state are, unless the environment says otherwise."""
-    return {"config": env.get("LOTEWISE_CONFIG", "config/busca.json"), "data": env.get("LOTEWISE_DATA", "data")}
+    return {"config": env.get("LOTEWISE_CONFIG", "config/sources.json"), "data": env.get("LOTEWISE_DATA", "data")}

@@ -116,10 +116,10 @@ def test_commands_name_rows_that_exist(spark):
         details.detail("other")
     with pytest.raises(ValueError):
         platforms.platform("other")
-    assert config.ad_hoc("msys", "https://www.nova.imb.br/") == {"id": "nova", "nome": "www.nova.imb.br", "plataforma": "msys", "url": "https://www.nova.imb.br", "ativo": True}
+    assert config.ad_hoc("msys", "https://www.casa.example.br/") == {"id": "casa", "nome": "www.casa.example.br", "plataforma": "msys", "url": "https://www.casa.example.br", "ativo": True}
     with pytest.raises(ValueError):
-        config.ad_hoc("msys", "nova")
-    assert config.from_environment({"LOTEWISE_DATA": "d"}) == {"config": "config/busca.json", "data": "d"}
+        config.ad_hoc("msys", "casa")
+    assert config.from_environment({"LOTEWISE_DATA": "d"}) == {"config": "config/sources.json", "data": "d"}
     assert scan.paths_for(["flat", "casa"]) == ["apartamentos-para-alugar", "casas-para-alugar"] and len(scan.paths_for(None)) == 5
 
 
