@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, jaccard_join, katz, langid, sharding, substring_dedup, toxicity, warc
+from . import ann, bpe, decontaminate, divergence, jaccard_join, katz, langid, sharding, substring_dedup, toxicity, warc
 from .common import prepare
 
 
@@ -65,6 +65,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard": op2_jaccard,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
+    "op11_divergence": op11_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -131,4 +136,39 @@ SQL: dict[str, str] = {
                CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
     """,
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), k AS (
+            SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+        ), l AS (
+            SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), c AS (
+            SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL
+        ), t AS (
+            SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + l.v) AS p,
+                   1 + (1000000000 * (k.n + 1)) // (l.total + l.v) AS q
+            FROM g JOIN k ON g.lang = k.lang JOIN l ON g.lang = l.lang
+            LEFT JOIN t ON g.lang = t.lang AND g.source = t.source
+            LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+        ), s AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), e AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+        FROM e QUALIFY part = 'pair' OR rank <= 200
+    """,
 }
