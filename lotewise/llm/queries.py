@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, divergence, jaccard_join, katz, langid, sharding, substring_dedup, toxicity, warc
+from . import ann, bpe, clustering, decontaminate, divergence, jaccard_join, katz, langid, packing, sharding, substring_dedup, toxicity, warc
 from .common import prepare
 
 
@@ -69,6 +69,14 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard": op2_jaccard,
@@ -81,8 +89,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
     "op11_divergence": op11_divergence,
+    "op12_packing": op12_packing,
+    "op13_clustering": op13_clustering,
 }
 
+def _rounds_sql(rounds: int) -> str:
+    """The rounds of op13 one after another: vectors v, their components e, and for each round distances, places and centroids."""
+    parts = [
+        """WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), e AS MATERIALIZED (
+            SELECT r, unnest(range(64)) AS d, unnest(c) AS x FROM v
+        ), f AS MATERIALIZED (
+            SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM v QUALIFY k < 8
+        ), c0 AS MATERIALIZED (
+            SELECT k, d, x FROM f JOIN e USING (r)
+        )"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""d{i} AS MATERIALIZED (
+            SELECT r, k, sum((e.x - c.x) * (e.x - c.x)) AS far FROM e JOIN c{i} c ON e.d = c.d GROUP BY r, k
+        ), a{i} AS MATERIALIZED (
+            SELECT r, k, far FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, k) = 1
+        )""")
+        if i < rounds:
+            parts.append(f"""s{i} AS MATERIALIZED (
+                SELECT k, d, sum(x) AS s, count(*)::HUGEINT AS n FROM a{i} JOIN e USING (r) GROUP BY k, d
+            ), c{i + 1} AS MATERIALIZED (
+                SELECT k, d, CAST(coalesce((s - ((s % n) + n) % n) // n, x) AS BIGINT) AS x FROM c{i} LEFT JOIN s{i} USING (k, d)
+            )""")
+    last = f"""SELECT v.vec_id, CAST(a.k AS INT) AS cluster, CAST(a.far AS BIGINT) AS distance, CAST(sum(a.far) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+        CAST(sum(a.far) OVER () AS BIGINT) AS inertia, h.sha AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (r) JOIN (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS sha FROM c{rounds} GROUP BY k) h ON h.k = a.k"""
+    return ", ".join(parts) + " " + last
+
+
 SQL: dict[str, str] = {
     "op2_jaccard": """
         WITH RECURSIVE d AS (
@@ -171,4 +213,5 @@ SQL: dict[str, str] = {
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
         FROM e QUALIFY part = 'pair' OR rank <= 200
     """,
+    "op13_clustering": _rounds_sql(clustering.ROUNDS),
 }
