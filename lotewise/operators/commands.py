@@ -124,7 +124,7 @@ def append_run(runs: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def status_from_events(events: DataFrame, key: str, kind: str, at: list[str]) -> DataFrame:
-    """Each key's last event."""
+    """Each key's last event, as it is; ``transitions`` has what events do to a status."""
     return events.groupBy(key).agg(F.max_by(kind, F.struct(*at)).alias("status"), F.max(at[0]).alias("status_em"))
 
 

@@ -23,11 +23,6 @@ class Cancelled(RuntimeError):
     """The caller stopped the run."""
 
 
-def pushed(rows: DataFrame) -> DataFrame:
-    """Rows as a source sends them that sorts by its last change."""
-    return rows.orderBy(F.desc("atualizado_em"))
-
-
 def with_details(rows: DataFrame, state: DataFrame, details: DataFrame | None, again: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, read) after the detail pages of rows not yet detailed (or of all) were laid over them.
 

@@ -1,15 +1,18 @@
 """Entity resolution: the same property in several sources becomes one group.
 
 Candidate edges come from references and from equal attributes; a group never holds two listings
-of one source. Unconstrained components are formed by label propagation first; inside each, edges
-are replayed in rank order through a union-find that refuses to merge sets that share a source.
-Unions never cross components and the order of edges is kept, so the result is that of one global
-replay. A component is a handful of listings; that is the unit of the grouped function.
+of one source. What counts is one pass over all edges in rank order through a union-find that refuses
+to merge sets that share a source. ``constrained_sets`` has its result without that pass: unconstrained
+components, formed by label propagation, do not touch each other, and inside one work goes in rounds. A
+round strikes out every edge whose sets share a source (sets only grow, so it never can be used), replays a
+component's least ``BATCH`` edges in one task, and merges every later edge that is the least at both of its
+sets, which no other edge can come before. No task holds more than ``BATCH`` edges of a component.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +22,10 @@ from ..functions.classify import match_family
 from ..functions.text import norm_ref, normalize_bairro, normalize_name
 from ..schema import AGGREGATORS
 
+#: What orders the edges, and how many of a component one task replays.
+_RANK = ["stage", "r1", "r2", "r3"]
+BATCH = 200_000
+
 
 def resolve_source(ads: DataFrame, sources: DataFrame) -> DataFrame:
     """(anunciante, fonte_resolvida): the first source whose name or nickname matches an advertiser's.
@@ -64,24 +71,24 @@ def attribute_edges(state: DataFrame) -> DataFrame:
     return pairs.join(lead, "aluguel").select(F.lit(1).alias("stage"), "r1", "r2", "r3", "a", "b")
 
 
-def label_components(edges: DataFrame, checkpoint) -> DataFrame:
+def label_components(edges: DataFrame, store) -> DataFrame:
     """(chave, comp): the least key that edges reach, by min-label propagation with pointer jumping.
 
-    ``checkpoint`` stores a DataFrame where it survives lost executors.
+    ``store`` writes a DataFrame where it survives lost executors.
     """
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = store(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:  # labels only fall, so a round that changes nothing comes
         near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         jump = labels.select(F.col("a").alias("comp"), F.col("comp").alias("far"))
-        new = checkpoint(labels.join(near, "a").join(jump, "comp", "left").select("a", F.least("comp", "near", "far").alias("comp")))
+        new = store(labels.join(near, "a").join(jump, "comp", "left").select("a", F.least("comp", "near", "far").alias("comp")))
         if new.join(labels.withColumnRenamed("comp", "old"), "a").where("comp <> old").isEmpty():
             return new.withColumnRenamed("a", "chave")
         labels = new
 
 
 def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over one component's edges in rank order; sets that share a source stay apart."""
+    """(a, raiz): union-find over edges of sets in rank order; sets that share a source stay apart."""
     parent: dict[str, str] = {}
     sources: dict[str, set[str]] = {}
 
@@ -91,30 +98,67 @@ def replay(pdf: pd.DataFrame) -> pd.DataFrame:
             k = parent[k]
         return k
 
-    for r in pdf.sort_values(["stage", "r1", "r2", "r3", "a", "b"]).itertuples():
-        for k, f in ((r.a, r.fa), (r.b, r.fb)):
+    pdf = pdf.sort_values([*_RANK, "first", "second"])
+    for a, b, fa, fb in zip(pdf["a"], pdf["b"], pdf["fa"], pdf["fb"], strict=True):
+        for k, f in ((a, fa), (b, fb)):
             if k not in parent:
-                parent[k], sources[k] = k, {f}
-        a, b = find(r.a), find(r.b)
+                parent[k], sources[k] = k, set(f)
+        a, b = find(a), find(b)
         if a != b and not sources[a] & sources[b]:
             parent[b] = a
             sources[a] |= sources.pop(b)
-    return pd.DataFrame([(k, find(k)) for k in parent], columns=["chave", "raiz"])
+    return pd.DataFrame([(k, find(k)) for k in parent], columns=["a", "raiz"])
+
+
+def constrained_sets(edges: DataFrame, sources: DataFrame, store: Callable[[DataFrame], DataFrame], batch: int = BATCH, drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
+    """(chave, raiz) of every key with an edge: the sets of the pass in rank order.
+
+    ``edges`` has stage, r1, r2, r3, a, b; ``sources`` (chave, fonte). ``store`` writes a DataFrame where it survives
+    lost executors, ``drop`` deletes what no later round reads.
+    """
+    comp = label_components(edges, store)
+    sets = store(comp.select("chave").join(sources, "chave").select("chave", F.col("chave").alias("raiz"), F.array("fonte").alias("fontes")))
+    todo = store(edges.join(comp.withColumnRenamed("chave", "a"), "a").select("comp", *_RANK, F.col("a").alias("first"), F.col("b").alias("second"), "a", "b"))
+    rank = F.struct(*_RANK, "first", "second")
+    while True:
+        held = sets.select("raiz", "fontes").distinct()  # a row for each set; all of its members have the same list
+        side = lambda c: held.select(F.col("raiz").alias(c), F.col("fontes").alias(f"f{c}"))
+        open_ = todo.where("a <> b").join(side("a"), "a").join(side("b"), "b").where(~F.arrays_overlap("fa", "fb"))
+        pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
+        live = store(open_.groupBy("comp", *pair).agg(F.min_by(F.struct(*_RANK, "first", "second", "a", "b", "fa", "fb"), rank).alias("e")).select("comp", "e.*"))
+        if live.isEmpty():
+            return sets.select("chave", "raiz")
+        w = Window.partitionBy("comp").orderBy(*_RANK, "first", "second")
+        first = live.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= batch).drop("_n")
+        done = first.groupBy("comp").applyInPandas(replay, "a string, raiz string")
+        large = live.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > batch).select("comp")
+        rest = live.join(large, "comp")
+        ends = rest.select("a", rank.alias("rank")).unionByName(rest.select(F.col("b").alias("a"), rank.alias("rank"))).groupBy("a").agg(F.min("rank").alias("least"))
+        # beyond the replayed ones: none of those touches its sets, or it were not the least there
+        both = rest.join(first.select("a", "b"), ["a", "b"], "left_anti").join(ends.withColumnRenamed("least", "la"), "a").join(ends.select(F.col("a").alias("b"), F.col("least").alias("lb")), "b").where((F.col("la") == rank) & (F.col("lb") == rank))
+        moved = store(done.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("raiz"))))
+        to = lambda c: moved.select(F.col("a").alias(c), F.col("raiz").alias(f"{c}_"))
+        named = sets.join(to("raiz"), "raiz", "left").select("chave", F.coalesce("raiz_", "raiz").alias("raiz"), "fontes")
+        # a set has a listing of each source at most, so its list is as short as the catalogue
+        lists = named.select("raiz", F.explode("fontes").alias("f")).groupBy("raiz").agg(F.collect_set("f").alias("fontes"))
+        grown = store(named.drop("fontes").join(lists, "raiz"))
+        left = rest.select("comp", *_RANK, "first", "second", "a", "b").join(to("a"), "a", "left").join(to("b"), "b", "left")
+        next_ = store(left.select("comp", *_RANK, "first", "second", F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")))
+        for old in (todo, sets, live, moved):
+            drop(old)
+        todo, sets = next_, grown
 
 
 def priority() -> Column:
-    """Order of principals: direct source, detailed, more photos, first seen, key."""
+    """Order of principals: direct source, detailed, more photos, first seen, and the key as a reader orders words."""
     seen = F.coalesce(F.unix_millis(F.col("primeira_vez").try_cast("timestamp")), F.lit(0))
-    return F.struct(F.col("plataforma").isin(*AGGREGATORS).cast("int").alias("p1"), (~F.col("detalhado")).cast("int").alias("p2"), (-F.size("fotos")).alias("p3"), seen.alias("p4"), F.col("chave").alias("p5"))
+    return F.struct(F.col("plataforma").isin(*AGGREGATORS).cast("int").alias("p1"), (~F.col("detalhado")).cast("int").alias("p2"), (-F.size("fotos")).alias("p3"), seen.alias("p4"), F.collate("chave", "UNICODE").alias("p5"), F.col("chave").alias("p6"))
 
 
-def assign_groups(state: DataFrame, sources: DataFrame, checkpoint) -> DataFrame:
+def assign_groups(state: DataFrame, sources: DataFrame, store: Callable[[DataFrame], DataFrame], batch: int = BATCH, drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
     """The state with ``grupo`` set: g:{principal} for groups of two or more, else null."""
-    edges = checkpoint(reference_edges(state, resolve_source(state.where("ativo"), sources)).unionByName(attribute_edges(state)))
-    src = state.select("chave", "fonte")
-    comp = label_components(edges, checkpoint)
-    full = edges.join(src.select(F.col("chave").alias("a"), F.col("fonte").alias("fa")), "a").join(src.select(F.col("chave").alias("b"), F.col("fonte").alias("fb")), "b").join(comp.withColumnRenamed("chave", "a"), "a")
-    roots = full.groupBy("comp").applyInPandas(replay, "chave string, raiz string")
+    edges = store(reference_edges(state, resolve_source(state.where("ativo"), sources)).unionByName(attribute_edges(state)))
+    roots = constrained_sets(edges, state.select("chave", "fonte"), store, batch, drop)
     rows = state.drop("grupo").join(roots, "chave", "left")
     w = Window.partitionBy("raiz")
     lead = F.min_by("chave", priority()).over(w)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import merge
-from ..sources import details, platforms, scan
+from ..sources import captured, details, platforms, scan
 from ..sources.pages import json_ld, next_data
+from ..sources.shared import shared_folder, stored
 from .facade import table
 from .queries import query
 
@@ -178,10 +179,13 @@ _TOTAL = "CASE WHEN fonte IN ('f1', 'f2') THEN 30 WHEN fonte = 'f9' THEN NULL EL
 
 def _scan_sql(kind: str) -> str:
     """Straight from the rule: running counts of new ids, and the pages before the first that ends the scan."""
+    pages = _PAGES.format(total=_TOTAL)
+    if kind == "kenlo":  # a page whose state is missing is an error
+        pages = pages.replace("ELSE 200 END AS status", "WHEN fonte = 'f8' AND page = 3 THEN 500 ELSE 200 END AS status")
     end = {"msys": "entradas < 50", "ksi": "novos = 0", "kenlo": "entradas < 12"}[kind]
     goal = "last_value(total IGNORE NULLS) OVER w" if kind == "msys" else "first_value(total) OVER w"
     done = "(arg_max(alvo, page) IS NULL OR bool_or(alcancado))" if kind == "msys" else "bool_or(fim AND status IN (200, 404))"
-    return f"""WITH e AS ({_ENTRIES}), p AS ({_PAGES.format(total=_TOTAL)}), n AS (SELECT fonte, page, count(*) AS novos FROM (SELECT fonte, id, min(page) AS page FROM e GROUP BY 1, 2) GROUP BY 1, 2),
+    return f"""WITH e AS ({_ENTRIES}), p AS ({pages}), n AS (SELECT fonte, page, count(*) AS novos FROM (SELECT fonte, id, min(page) AS page FROM e GROUP BY 1, 2) GROUP BY 1, 2),
     q AS (SELECT p.*, coalesce(novos, 0) AS novos FROM p LEFT JOIN n ON p.fonte = n.fonte AND p.page = n.page),
     r AS (SELECT *, sum(novos) OVER w AS lidos, {goal} AS alvo, row_number() OVER w AS k FROM q WINDOW w AS (PARTITION BY fonte ORDER BY page)),
     s AS (SELECT *, coalesce(lidos >= alvo, false) AS alcancado, status <> 200 OR coalesce(lidos >= alvo, false) OR k <> page OR {end} AS fim FROM r),
@@ -190,16 +194,52 @@ def _scan_sql(kind: str) -> str:
         max(CASE status WHEN 403 THEN 'bloqueado' WHEN 500 THEN 'erro' END) AS erro FROM t WHERE antes = 0 AND page = k GROUP BY 1"""
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf_dir, "lineitem").selectExpr("concat('f', l_suppkey % 40) AS fonte", "l_linenumber AS page", "l_orderkey AS pos", "concat('', l_partkey % 60) AS id")
-    n = e.where("NOT (fonte = 'f7' AND page = 2)").groupBy("fonte", "page").agg(F.count(F.lit(1)).alias("entradas"))
-    status = F.expr("CASE WHEN fonte = 'f3' AND page = 4 THEN 404 WHEN fonte = 'f5' AND page = 3 THEN 403 WHEN fonte = 'f6' AND page = 2 THEN 500 ELSE 200 END")
-    html = F.when(status == 403, "<title>Just a moment...</title>").otherwise("<html>")
-    return e, n.withColumns({"estado": scan.capture_status(status, html), "total": F.expr(_TOTAL)})
+#: An entry of a result page as each platform writes it, and the page around its entries; null totals are not written.
+_ENTRY = {
+    "msys": """concat('{"idtProperty":', id, '}')""",
+    "ksi": """concat('<div class="card card-imo"><a href="/alugar/Botucatu/Casa/VILA/', id, '"></a>C&oacute;d. <strong>', id, '</strong></div>')""",
+    "kenlo": """concat('{"property_full_reference":"', id, '"}')""",
+    "chavesnamao": """concat('{"url":"https://x.example/imovel/casa-para-alugar-sp-botucatu-centro/id-', id, '/","price":', aluguel, '}')""",
+}
+_AROUND = {
+    "msys": """concat('{"response":{', coalesce(concat('"numFound":', total, ','), ''), '"docs":[', entries, ']}}')""",
+    "ksi": """concat(coalesce(concat('<title>', total, ' im&oacute;veis</title>'), ''), entries)""",
+    "kenlo": """CASE WHEN fonte = 'f8' AND page = 3 THEN '<html>' ELSE concat('<script>(function(){\\n window.markoVars[\\'listings-ab1\\'] = {"settings":{"listings":{', coalesce(concat('"count":', total, ','), ''), '"data":[', entries, ']}}};\\n})();</script>') END""",
+    "chavesnamao": """concat('<script type="application/ld+json">{"@type":"RealEstateListing","offers":{', coalesce(concat('"numberOfItems":', total, ','), ''), '"itemListElement":[', entries, ']}}</script>')""",
+}
+_STATUS = "CASE WHEN fonte = 'f3' AND page = 4 THEN 404 WHEN fonte = 'f5' AND page = 3 THEN 403 WHEN fonte = 'f6' AND page = 2 THEN 500 ELSE 200 END"
+_CITY = {"cidade": "Botucatu", "uf": "SP"}
+
+
+def _site(kind: str, n: int) -> dict:
+    return {"id": f"f{n}", "nome": f"F{n}", "plataforma": kind, "url": f"https://f{n}.example", "cidades": {"botucatu": 77}}
+
+
+def _searched(spark: SparkSession, kind: str, entries: DataFrame, sources: int, total: str, **asked) -> DataFrame:
+    """The pages of a search over captures written from entries (fonte, caminho, page, pos, id, ...), each under the request it answers."""
+    sites = [_site(kind, n) for n in range(sources)]
+    wishes = {k: v for k, v in asked.items() if k == "aluguel_max"}
+    # every path is captured, whatever types are asked for
+    known = [(r.fonte, r.caminho, r.page, r.url, r.corpo) for s in sites for r in captured.requests(s, captured.Ask(**_CITY, **wishes))]
+    answers = spark.createDataFrame(known, "fonte string, caminho string, page int, url string, corpo string")
+    between = "" if kind == "ksi" else ","
+    page = entries.withColumn("entry", F.expr(_ENTRY[kind])).groupBy("fonte", "caminho", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]), between).alias("entries"))
+    page = page.withColumn("total", F.expr(total)).withColumn("status", F.expr(_STATUS if kind != "chavesnamao" else "200"))
+    html = F.when(F.col("status") == 403, "<title>Just a moment...</title>").when(F.col("status") != 200, "<html>").otherwise(F.expr(_AROUND[kind]))
+    made = page.withColumn("html", html).alias("p").join(F.broadcast(answers).alias("a"), F.expr("p.fonte = a.fonte AND p.page = a.page AND p.caminho <=> a.caminho"))  # a row for each request
+    path = shared_folder(spark, "captures")
+    captured.write_captures(made.select("p.fonte", "p.page", "p.caminho", "url", "corpo", "status", "html"), path)
+    return captured.search(spark, path, sites, _CITY["cidade"], uf=_CITY["uf"], **asked)
+
+
+def _pages_of(spark: SparkSession, sf_dir: str, kind: str, **asked) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").selectExpr("concat('f', l_suppkey % 40) AS fonte", "CAST(NULL AS STRING) AS caminho", "CAST(l_linenumber AS INT) AS page", "l_orderkey AS pos", "concat('', l_partkey % 60) AS id")
+    return _searched(spark, kind, e.where("NOT (fonte = 'f7' AND page = 2)"), 40, _TOTAL, **asked)
 
 
 def _scanned(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    rows, sources = scan.scan(*_entries(spark, sf_dir), kind)
+    """A scan of captured pages, read through the data source and parsed."""
+    rows, sources = scan.search(stored(_pages_of(spark, sf_dir, kind, aluguel_max=2500.0), "pages"), kind)
     kept = rows.groupBy("fonte").agg(F.count(F.lit(1)).cast("int").alias("linhas"))
     # the rows kept are those that the counts say
     both = sources.join(kept, "fonte", "left").withColumn("encontrados", F.when(F.coalesce("linhas", F.lit(0)) == F.col("encontrados"), F.col("encontrados")).otherwise(-1))
@@ -221,12 +261,24 @@ def scan_kenlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir, "kenlo")
 
 
+@query(
+    f"""WITH e AS ({_ENTRIES}), t AS (SELECT *, row_number() OVER (PARTITION BY fonte, id ORDER BY page, pos, concat(id, '}')) AS k FROM e WHERE page = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY fonte ORDER BY page, pos, concat(id, '}')) AS n FROM t WHERE k = 1)
+    SELECT fonte, CAST(n AS INTEGER) AS n, id FROM r WHERE n <= 20"""
+)
+def limited_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 rows of each source: of its pages only the first can be needed, and no other is read."""
+    rows, _ = scan.search(_pages_of(spark, sf_dir, "msys", limite=20), "msys", limit=20)
+    place = Window.partitionBy("fonte").orderBy("page", "pos")
+    return rows.select("fonte", F.row_number().over(place).cast("int").alias("n"), "id")
+
+
 _WAY = "CASE l_partkey % 5 WHEN 0 THEN 'apartamentos-para-alugar' WHEN 1 THEN 'kitnet-para-alugar' WHEN 2 THEN 'casas-para-alugar' WHEN 3 THEN 'casas-em-condominio-para-alugar' ELSE 'coberturas-para-alugar' END"
 _WAY_TOTAL = "CASE WHEN caminho = 'kitnet-para-alugar' THEN 20 WHEN caminho = 'casas-para-alugar' AND fonte = 'f0' THEN NULL ELSE 90 END"
 
 
 @query(
-    f"""WITH e AS (SELECT concat('f', l_suppkey % 20) AS fonte, {_WAY} AS caminho, l_linenumber AS page, concat('', l_partkey % 300) AS id, l_extendedprice / 20 AS aluguel, l_orderkey AS pos FROM lineitem WHERE l_partkey % 5 < 3),
+    f"""WITH e AS (SELECT concat('f', l_suppkey % 20) AS fonte, {_WAY} AS caminho, l_linenumber AS page, concat('', l_partkey % 300) AS id, floor(l_extendedprice / 20) AS aluguel, l_orderkey AS pos FROM lineitem WHERE l_partkey % 5 < 3),
     p AS (SELECT fonte, caminho, {_WAY_TOTAL} AS total, max(page) AS ate FROM e WHERE page <= 5 GROUP BY 1, 2),
     l AS (SELECT fonte, caminho, total, CASE WHEN total IS NULL THEN 1 WHEN total = 20 THEN 2 ELSE 5 END AS ultima FROM p),
     k AS (SELECT e.*, row_number() OVER (PARTITION BY e.fonte, e.id ORDER BY CASE e.caminho WHEN 'apartamentos-para-alugar' THEN 1 WHEN 'kitnet-para-alugar' THEN 2 ELSE 3 END, e.page, e.pos) AS n FROM e JOIN l ON e.fonte = l.fonte AND e.caminho = l.caminho AND e.page <= l.ultima),
@@ -235,10 +287,11 @@ _WAY_TOTAL = "CASE WHEN caminho = 'kitnet-para-alugar' THEN 20 WHEN caminho = 'c
     FROM l LEFT JOIN f ON l.fonte = f.fonte GROUP BY 1"""
 )
 def scan_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three of the five paths hold a wanted type; prices above 2000 are left out after the scan."""
-    e = table(spark, sf_dir, "lineitem").selectExpr("concat('f', l_suppkey % 20) AS fonte", f"{_WAY} AS caminho", "l_linenumber AS page", "l_orderkey AS pos", "concat('', l_partkey % 300) AS id", "l_extendedprice / 20 AS aluguel")
-    pages = e.groupBy("fonte", "caminho", "page").agg(F.count(F.lit(1)).alias("entradas")).withColumns({"estado": F.lit(scan.OK), "total": F.expr(_WAY_TOTAL)})
-    _, sources = scan.scan_aggregator(e, pages, 2000.0, ["flat", "studio", "casa"])
+    """Three of the five paths hold a wanted type, and only those are read; prices above 2000 are left out after the scan."""
+    e = table(spark, sf_dir, "lineitem").selectExpr("concat('f', l_suppkey % 20) AS fonte", f"{_WAY} AS caminho", "CAST(l_linenumber AS INT) AS page", "l_orderkey AS pos", "concat('', l_partkey % 300) AS id", "floor(l_extendedprice / 20) AS aluguel")
+    types = ["flat", "studio", "casa"]
+    pages = _searched(spark, "chavesnamao", e, 20, _WAY_TOTAL, aluguel_max=2000.0, tipos=types)
+    _, sources = scan.search(stored(pages, "pages"), "chavesnamao", city_slug="sp-botucatu", max_rent=2000.0, types=types)
     return sources.select("fonte", "total", "completo", F.nullif(F.array_join("avisos", "|"), F.lit("")).alias("avisos"), "encontrados")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, text
-from ..operators import commands, criteria, merge, resolve, views
+from ..operators import commands, criteria, merge, resolve, transitions, views
+from ..sources.shared import dropped, stored
 from .facade import LISTINGS, OBSERVATIONS, listings, observations, state, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,19 +184,35 @@ def attribute_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.attribute_edges(rows).select("a", "b")
 
 
-@query()
-def groups_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = state(spark, sf_dir).withColumn("aluguel", F.floor(F.col("aluguel") / 100).cast("double"))
-    src = table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), "n_nationkey").alias("id"), F.col("n_nationkey").alias("pos"), F.lit("msys").alias("plataforma"), F.col("n_name").alias("nome"), F.array().cast("array<string>").alias("apelidos"))
-    return resolve.assign_groups(rows, src, checkpointed(spark)).select("chave", "grupo")
+#: Every listing has a reference that some of its source share, and aggregators' ones name another source.
+_NAMED = """SELECT l.*, concat('AP 0', ord % 50) AS referencia, n_name AS anunciante FROM l JOIN nation ON n_nationkey = 1 + ord % 6"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Listings with references and advertisers, and the catalogue of sources: a nation each."""
+    nation = table(spark, sf_dir, "nation")
+    rows = state(spark, sf_dir).withColumn("referencia", F.concat(F.lit("AP 0"), F.col("ord") % 50)).drop("anunciante")
+    rows = rows.join(nation.select(F.col("n_name").alias("anunciante"), F.col("n_nationkey").alias("k")), F.col("k") == 1 + F.col("ord") % 6).drop("k")
+    return rows, nation.select(F.concat(F.lit("f"), "n_nationkey").alias("id"), F.col("n_nationkey").alias("pos"), F.lit("msys").alias("plataforma"), F.col("n_name").alias("nome"), F.array().cast("array<string>").alias("apelidos"))
 
 
-def checkpointed(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """DataFrame.checkpoint in the folder that the cluster names, or a folder of one's own where none is set."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-    return lambda df: df.checkpoint()
+@query(
+    _L
+    + f""", a AS ({_NAMED}), d AS (SELECT fonte, ord % 50 AS ref, max(ord) AS ord FROM a WHERE ativo AND plataforma <> 'chavesnamao' GROUP BY 1, 2)
+    SELECT a.chave AS anuncio, t.chave AS alvo FROM a JOIN d ON d.fonte = concat('f', 1 + a.ord % 6) AND d.ref = a.ord % 50 JOIN a t ON t.ord = d.ord WHERE a.ativo AND a.plataforma = 'chavesnamao'"""
+)
+def reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregator's listing and the direct one that it names: the last of that source with the reference."""
+    rows, src = _named(spark, sf_dir)
+    return resolve.reference_edges(rows, resolve.resolve_source(rows.where("ativo"), src)).select(F.col("a").alias("anuncio"), F.col("b").alias("alvo"))
+
+
+@query()
+def groups_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References are the first edges, equal attributes the others."""
+    rows, src = _named(spark, sf_dir)
+    rows = rows.withColumn("aluguel", F.floor(F.col("aluguel") / 100).cast("double"))
+    return resolve.assign_groups(rows, src, lambda df: stored(df, "groups"), drop=dropped).select("chave", "grupo")
 
 
 @query(_L + "SELECT a.chave, string_agg(b.chave, ',' ORDER BY b.ord) AS outros FROM l a JOIN l b ON a.grupo = b.grupo AND a.chave <> b.chave GROUP BY a.chave")
@@ -272,6 +289,30 @@ def funnel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.status_from_events(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
 
 
+#: A reader's presses, made from events: five kinds, of which one sets a status.
+_PRESS = "CASE event_type WHEN 'purchase' THEN 'contatar' WHEN 'signup' THEN 'favoritar' WHEN 'error' THEN 'descartar' WHEN 'click' THEN 'desfazer' ELSE 'marcar' END"
+_MARK = "CASE CAST(floor(coalesce(value, 0)) AS INT) % 6 WHEN 0 THEN 'novo' WHEN 1 THEN 'interesse' WHEN 2 THEN 'contatado' WHEN 3 THEN 'visita' WHEN 4 THEN 'proposta' ELSE 'descartado' END"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, {_PRESS} AS k, {_MARK} AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+    r AS (
+        SELECT user_id, 0::BIGINT AS n, 'novo' AS status, CAST(NULL AS VARCHAR) AS antes FROM (SELECT DISTINCT user_id FROM e)
+        UNION ALL
+        SELECT r.user_id, e.n,
+            CASE e.k WHEN 'marcar' THEN e.s WHEN 'desfazer' THEN coalesce(r.antes, r.status) WHEN 'favoritar' THEN CASE r.status WHEN 'interesse' THEN 'novo' ELSE 'interesse' END
+                WHEN 'descartar' THEN CASE r.status WHEN 'descartado' THEN 'novo' ELSE 'descartado' END ELSE CASE WHEN r.status IN ('novo', 'interesse') THEN 'contatado' ELSE r.status END END,
+            CASE WHEN e.k = 'desfazer' THEN NULL WHEN e.k = 'contatar' AND r.status NOT IN ('novo', 'interesse') THEN r.antes ELSE r.status END
+        FROM r JOIN e ON r.user_id = e.user_id AND e.n = r.n + 1
+    ) SELECT user_id, arg_max(status, n) AS status, max(n) AS eventos FROM r GROUP BY 1"""
+)
+def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a history of contacts, stars, discards, settings and undoings leads."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr(_PRESS).alias("evento"), F.expr(_MARK).alias("para"))
+    h = transitions.histories(e, "user_id", "evento", "para", ["ts", "event_id"])
+    return h.select("user_id", transitions.status_after(F.lit("novo"), F.col("map")).alias("status"), F.col("n").alias("eventos"))
+
+
 @query("SELECT page_id, trim(regexp_replace(strip_accents(lower(url)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
 def slug_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.slugify(F.col("url")).alias("slug"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"))

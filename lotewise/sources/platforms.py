@@ -21,6 +21,8 @@ from .pages import json_ld, next_data, widget_state
 #: Characteristic ids of the msys API (fixed values).
 MSYS_IDS = {"built": 1, "total": 2, "bedrooms": 5, "suites": 6, "bathrooms": 7, "garages": 12, "furnished": 27, "usable": 95, "all_bathrooms": 176, "pet": 194, "semi": 467, "no_pet": 621}
 MSYS_PAGE, KENLO_PAGE, AGGREGATOR_PAGE, AGGREGATOR_PAGES = 50, 12, 15, 5
+#: How a card begins (fixed value).
+KSI_CARD = '<div class="card card-imo"'
 #: State names that the msys API spells out (fixed values).
 STATES = {"sao paulo": "SP", "minas gerais": "MG", "parana": "PR", "rio de janeiro": "RJ"}
 #: Characteristics of the msys dictionary worth a tag, and those shown by another name (fixed values).
@@ -144,6 +146,12 @@ def msys(docs: DataFrame, site: DataFrame | None = None, keep: tuple[str, ...] =
     return _msys(docs.join(site, "fonte", "left") if site is not None else docs, keep)
 
 
+def msys_docs(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """API answers (column ``html``) to documents (``doc``: variant, ``pos``), as ``msys`` takes them."""
+    docs = F.try_variant_get(F.try_parse_json("html"), "$.response.docs", "array<variant>")
+    return pages.select("fonte", "fonte_nome", "base", *keep, F.posexplode(docs).alias("pos", "doc")).where(_v("doc", "idtProperty").isNotNull())
+
+
 def msys_place(template: Column, city: Column) -> Column:
     """Id of a city at a site (variant): of the place of that name, else the first of the site's list if it has places."""
     places = _list(template, "$.data.initialPlaces")
@@ -218,7 +226,7 @@ def ksi(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """List pages (column ``html``): one row a card, with the first two of its page's agency phones; ``pos`` can be kept."""
     agency = _contacts(F.transform(F.slice(ksi_phones(F.col("html")), 1, 2), lambda p: make_contact("imobiliaria", F.col("fonte_nome"), p)))
     from_page = [c for c in keep if c != "pos"]
-    parts = F.split("html", '<div class="card card-imo"')
+    parts = F.split("html", KSI_CARD)
     cards = pages.select("fonte", "fonte_nome", "base", *from_page, agency.alias("contatos"), F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(0)))).alias("pos", "card"))
     x = lambda p, g=1: F.nullif(F.regexp_extract("card", p, g), F.lit(""))
     count = lambda p: half_up(parse_brl(x(p))).cast("int")

@@ -14,17 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.merge import first_of_key
-from .pages import looks_blocked
+from . import platforms
+from .captured import paths_for
+from .pages import looks_blocked, widget_state
 from .platforms import AGGREGATOR_PAGE, AGGREGATOR_PAGES, KENLO_PAGE, MSYS_PAGE
 
-#: Result paths of the aggregator and the types of listing that each holds, in the order they are read (fixed values).
-PATHS = (
-    ("apartamentos-para-alugar", ("apartamento", "flat")),
-    ("kitnet-para-alugar", ("kitnet", "studio")),
-    ("casas-para-alugar", ("casa", "sobrado")),
-    ("casas-em-condominio-para-alugar", ("casa_condominio",)),
-    ("coberturas-para-alugar", ("cobertura",)),
-)
 #: States of a capture; a block is no proof that there are no results.
 OK, MISSING, BLOCKED, FAILED = "ok", "ausente", "bloqueado", "erro"
 
@@ -42,16 +36,57 @@ class Rule:
 RULES = {"msys": Rule(size=MSYS_PAGE, first_total=False), "ksi": Rule(new=True), "kenlo": Rule(size=KENLO_PAGE)}
 
 
-def paths_for(types: list[str] | None) -> list[str]:
-    """The aggregator's paths that can hold a wanted type; all where none is named."""
-    return [p for p, kinds in PATHS if not types or set(kinds) & set(types)]
-
-
 def capture_status(status: Column, html: Column) -> Column:
     """ok, ausente (not there), bloqueado (anti-bot page) or erro."""
     return F.when(status.isin(404, 410), MISSING).when(looks_blocked(status, html), BLOCKED).when(status.between(200, 299), OK).otherwise(FAILED)
 
 
+def page_facts(pages: DataFrame, platform: str) -> DataFrame:
+    """(fonte, caminho, page, estado, total, entradas) of captured result pages (status, html), as the scans take them.
+
+    A kenlo page whose state is missing is an error: the platform's marking has changed.
+    """
+    html, state = F.col("html"), capture_status(F.col("status"), F.col("html"))
+    if platform == "msys":
+        answer = F.try_parse_json(html)
+        total, held = F.try_variant_get(answer, "$.response.numFound", "int"), F.try_variant_get(answer, "$.response.docs", "array<variant>")
+    elif platform == "kenlo":
+        listings = F.try_variant_get(widget_state(html, "listings"), "$.settings.listings", "variant")
+        total, held = F.try_variant_get(listings, "$.count", "int"), F.try_variant_get(listings, "$.data", "array<variant>")
+        state = F.when((state == OK) & listings.isNull(), FAILED).otherwise(state)
+    elif platform == "ksi":
+        total, held = platforms.ksi_total(html), F.slice(F.split(html, platforms.KSI_CARD), 2, 1 << 30)
+    else:
+        total, held = platforms.aggregator_total(html), F.try_variant_get(platforms.offer_list(html), "$.offers.itemListElement", "array<variant>")
+    return pages.select("fonte", "caminho", "page", state.alias("estado"), total.alias("total"), F.coalesce(F.size(held), F.lit(0)).alias("entradas"))
+
+
+def first_rows(rows: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first ``limit`` rows of each source in the order in which they were read; all without a limit."""
+    if not limit or limit < 0:
+        return rows
+    w = Window.partitionBy("fonte").orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+def search(pages: DataFrame, platform: str, *, city_slug: str = "", max_rent: float | None = None, types: list[str] | None = None, most: int | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, sources) of one platform's captured pages, as the data source gives them: parsed, scanned, cut to ``limit`` rows a source."""
+    own = pages.where(F.col("plataforma") == platform)
+    good = own.where(capture_status(F.col("status"), F.col("html")) == OK)
+    facts = page_facts(own, platform)
+    if platform == "chavesnamao":
+        rows = platforms.aggregator(good, city_slug, keep=("caminho", "page", "pos"))
+        held = rows.groupBy("fonte", "caminho", "page").agg(F.count(F.lit(1)).cast("int").alias("entradas"))  # offers elsewhere or for sale do not count
+        facts = facts.drop("entradas").join(held, ["fonte", "caminho", "page"], "left").fillna(0, ["entradas"])
+        kept, sources = scan_aggregator(rows, facts, max_rent, types, most or AGGREGATOR_PAGES)
+        place = F.array_position(F.array(*map(F.lit, paths_for(types))), F.col("caminho"))
+        return first_rows(kept.withColumn("_p", place), limit, "_p", "page", "pos").drop("_p"), sources
+    parser = platforms.platform(platform)
+    rows = parser(platforms.msys_docs(good, ("page",)) if platform == "msys" else good, keep=("page", "pos"))
+    kept, sources = scan(rows, facts.drop("caminho"), platform, most)
+    return first_rows(kept, limit, "page", "pos"), sources
+
+
 def scan(rows: DataFrame, pages: DataFrame, platform: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, sources) of a scan by a platform's rule.
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lotewise.operators import commands, criteria, merge, resolve, views
-from lotewise.plans.queries import checkpointed
+from lotewise.sources.shared import stored
 from lotewise.schema import LISTING, STATE
 from lotewise.sources.state import StateStore
 from lotewise.streaming.upsert import upsert_stream
@@ -90,7 +90,7 @@ def test_resolution(spark):
         {"id": "5", "chave": "d:5", "fonte": "d", "ord": 5, "ativo": True, "area": 60.0},
         schema=STATE,
     )
-    got = {r.chave: r.grupo for r in resolve.assign_groups(st, src, checkpointed(spark)).collect()}
+    got = {r.chave: r.grupo for r in resolve.assign_groups(st, src, lambda df: stored(df, "groups")).collect()}
     assert got == {"d:1": "g:d:1", "g:9": "g:d:1", "e:2": "g:d:1", "e:3": None, "d:4": None, "d:5": None}
 
 
