@@ -262,8 +262,8 @@ def scan_kenlo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS ({_ENTRIES}), t AS (SELECT *, row_number() OVER (PARTITION BY fonte, id ORDER BY page, pos, concat(id, '}')) AS k FROM e WHERE page = 1),
-    r AS (SELECT *, row_number() OVER (PARTITION BY fonte ORDER BY page, pos, concat(id, '}')) AS n FROM t WHERE k = 1)
+    f"""WITH e AS ({_ENTRIES}), t AS (SELECT *, row_number() OVER (PARTITION BY fonte, id ORDER BY page, pos, concat(id, '}}')) AS k FROM e WHERE page = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY fonte ORDER BY page, pos, concat(id, '}}')) AS n FROM t WHERE k = 1)
     SELECT fonte, CAST(n AS INTEGER) AS n, id FROM r WHERE n <= 20"""
 )
 def limited_search(spark: SparkSession, sf_dir: str) -> DataFrame:
