@@ -13,8 +13,9 @@ of (length, task) give each task's first number, and number and length tell the
 the place in the sequence. The tables of bins and of their lengths are bounded by ``capacity`` too; they go to all
 tasks. Nothing else is broadcast, and no task holds the pieces of a length.
 
-Tokenising cuts texts at ASCII white space, which the vocabulary's pattern never crosses, and encodes each
-distinct word once with the tokenizers library, special tokens in the text included.
+Tokenising cuts texts at ASCII white space, and between an ASCII letter and a comma, stop, colon, semicolon,
+question or exclamation mark, all of which the vocabulary's pattern never crosses, and encodes each distinct
+word once with the tokenizers library, special tokens in the text included.
 
 Defined cases: null text is an empty one, which has the closing id alone; a document of ``capacity`` tokens is one
 piece; repeated rows and ids are separate documents, null ids are kept; an empty table gives an empty result;
@@ -24,6 +25,9 @@ other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -43,19 +47,33 @@ CAPACITY = 4096
 END_ID = 1
 #: Words, and their ids, that a worker remembers before it starts anew.
 MEMO, MEMO_IDS = 400_000, 4_000_000
+#: Words encoded as one text; letters from BEYOND on, and the one whose lower case is two characters, are not among them.
+TOGETHER = 500
+BEYOND, DOTTED = "\u0250", "\u0130"
 #: Bits for the number of a piece among those of its length.
 _NUMBER_BITS = 44
-_SPACE = np.zeros(256, bool)
+_SPACE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARKS = ",.;:!?"
+_MARK[list(_MARKS.encode())] = True
 
 
 class Encoder:
     """Ids of whole texts, from a memo of words."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; the library would start a thread for each of the machine's
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = _MARK if not set(special) & set(_MARKS) else np.zeros(256, bool)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        self.last = None  # by id: whether a token ends a word
+        if suffix := model.get("end_of_word_suffix"):
+            self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.last[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -66,15 +84,38 @@ class Encoder:
         """Where each word is in the memo."""
         if len(self.memo) > MEMO or len(self.flat) > MEMO_IDS:
             self.forget()
-        new = [w for w in words if w not in self.memo]
+        at = list(map(self.memo.get, words))
+        new = [w for w, i in zip(words, at, strict=True) if i is None]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            count = np.array([len(i) for i in ids], np.int64)
+            new, flat, count = self.fresh(new)
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
             self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(count) - count))
             self.count = np.concatenate((self.count, count))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(count.sum()))))
-        return np.fromiter((self.memo[w] for w in words), np.int64, len(words))
+            self.flat = np.concatenate((self.flat, flat))
+            at = list(map(self.memo.__getitem__, words))
+        return np.array(at, np.int64)
+
+    def fresh(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words not met before, in another order, with their ids and how many each has.
+
+        A word of Latin letters is one piece of the vocabulary's pattern, which ends with the one token that is marked
+        as a word's last; so many are encoded as one text.
+        """
+        plain, odd = [], []
+        for w in words:
+            (plain if self.last is not None and w.isalpha() and max(w) < BEYOND and DOTTED not in w else odd).append(w)
+        flat, _ = self.ids([" ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)])
+        ends = np.flatnonzero(self.last[flat]) if plain else np.zeros(0, np.int64)
+        if len(ends) != len(plain):  # another pattern: one by one
+            plain, odd, flat, ends = [], words, flat[:0], ends[:0]
+        more, each = self.ids(odd)
+        return plain + odd, np.concatenate((flat, more)), np.concatenate((np.diff(ends, prepend=-1), each))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(count.sum())), count
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and the n+1 offsets of texts."""
@@ -84,12 +125,13 @@ class Encoder:
         begin[1:] &= ~inside[:-1]
         edge = off[(off > 0) & (off < len(data))]
         begin[edge] |= inside[edge]
+        begin[1:] |= self.marks[data[1:]] & _LETTER[data[:-1]]
         start = np.flatnonzero(begin)
         count = at = np.zeros(0, np.int64)
         if len(start):
             ends = np.append(np.cumsum(inside)[start] - 1, int(inside.sum()))
             found = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[inside])).dictionary_encode()
-            at = self.learn(found.dictionary.to_pylist())[np.asarray(found.indices)]
+            at = self.learn(found.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(found.indices)]
             count = self.count[at]
         sums = np.append(0, np.cumsum(count))
         own = np.diff(sums[np.searchsorted(start, off)]) + 1

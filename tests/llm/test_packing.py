@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from lotewise.llm import common, packing
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
-ODD = "aZ é̸́ß日本語   \x85\x0b\x0c\x1c\t\n\r'st'Re1٣½ <|endoftext|> <|startoftext|>🙂İΣς.,!_\x00"
+ODD = "aZ é̸́ß日本語   \x85\x0b\x0c\x1c\t\n\r'st'Re1٣½ <|endoftext|> <|startoftext|>🙂İΣς.,!_\x00.a,b;c:"
 
 
 @pytest.fixture(scope="module")
@@ -26,10 +26,13 @@ def library():
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+ENCODER = packing.Encoder(FILE)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(sorted(set(ODD))), max_size=40), st.text(max_size=30)), max_size=6))
 def test_ids(library, texts):
-    got, off = packing.Encoder(FILE).encode(pa.array(texts, pa.string()), 1)
+    got, off = ENCODER.encode(pa.array(texts, pa.string()), 1)
     assert [got[i:j].tolist() for i, j in zip(off, off[1:], strict=False)] == [library(t) for t in texts]
 
 
