@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 from collections.abc import Callable
 from html.entities import html5
@@ -67,6 +69,11 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), "[\u0300-\u036f]", "")
 
 
+def plain(text: str) -> str:
+    """The same of a Python string."""
+    return re.sub("[\u0300-\u036f]", "", text.translate(str.maketrans(_ACCENTED, _PLAIN)))
+
+
 def _meaning(name: Column) -> Column:
     """What an entity's name or number stands for; null for unknown names."""
     table = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])

@@ -159,9 +159,14 @@ def in_keys(state: DataFrame, keys: DataFrame) -> DataFrame:
     return state.join(keys.select("chave"), "chave", "left_semi")
 
 
-def in_last_run(state: DataFrame, runs: DataFrame) -> DataFrame:
+def news_of(run: DataFrame, news: DataFrame) -> DataFrame:
+    """The new keys (inicio, pos, chave) of a run, one row or none."""
+    return news.join(F.broadcast(run.select("inicio").limit(1)), "inicio", "left_semi")  # one row
+
+
+def in_last_run(state: DataFrame, runs: DataFrame, news: DataFrame) -> DataFrame:
     """Rows that the last run found first."""
-    return in_keys(state, last_run(runs).select(F.explode("novos").alias("chave")))
+    return in_keys(state, news_of(last_run(runs), news))
 
 
 def last_run(runs: DataFrame) -> DataFrame:
@@ -169,9 +174,9 @@ def last_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("inicio")).limit(1)
 
 
-def new_in_order(run: DataFrame, state: DataFrame) -> DataFrame:
-    """(pos, state row) of a run's new keys, in its order; keys no longer there are left out."""
-    return run.select(F.posexplode("novos").alias("pos", "chave")).join(state, "chave")
+def new_in_order(run: DataFrame, news: DataFrame, state: DataFrame) -> DataFrame:
+    """(pos, state row) of a run's new keys, ``pos`` being its order; keys no longer there are left out."""
+    return news_of(run, news).select("pos", "chave").join(state, "chave")
 
 
 def seen_span(observations: DataFrame, by: str, at: str, **last: tuple[str, list[str]]) -> DataFrame:
@@ -183,24 +188,32 @@ def run_summary(changes: DataFrame, scans: DataFrame, details: DataFrame) -> Dat
     """One row a source of a run: ok, encontrados, novos, atualizados, removidos, detalhados, erro, avisos, ms.
 
     ``changes`` is a merge's result, ``scans`` has (fonte, encontrados, erro, avisos, ms), ``details`` one row a detail
-    page read (fonte, ord, id, erro). The first three failures of details are told, the others counted.
+    page read (fonte, ord, id, erro). The first three failures of details are told, the others counted: rows are
+    ranked, and cut to three in every task, before any are gathered.
     """
+    order = Window.partitionBy("fonte").orderBy("ord", "id", "erro")
+    first = details.where("erro IS NOT NULL").withColumn("_n", F.row_number().over(order)).where("_n <= 3")
+    told = first.groupBy("fonte").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "id", "erro"))), lambda x: F.concat(F.lit("detalhe "), x["id"], F.lit(": "), x["erro"])).alias("ditas"))
     many = F.count(F.col("erro"))
-    told = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("erro").isNotNull(), F.struct("ord", "id", "erro")))), 1, 3), lambda x: F.concat(F.lit("detalhe "), x["id"], F.lit(": "), x["erro"]))
-    more = F.when(many > 3, F.array(F.concat(F.lit("... e mais "), (many - 3).cast("string"), F.lit(" falhas de detalhe")))).otherwise(F.array().cast("array<string>"))
-    d = details.groupBy("fonte").agg(F.count_if(F.col("erro").isNull()).alias("detalhados"), F.concat(told, more).alias("falhas"))
+    more = F.when(many > 3, F.array(F.concat(F.lit("... e mais "), (many - 3).cast("string"), F.lit(" falhas de detalhe"))))
+    d = details.groupBy("fonte").agg(F.count_if(F.col("erro").isNull()).alias("detalhados"), more.alias("outras"))
     none = F.array().cast("array<string>")
-    counted = scans.join(run_counts(changes), "fonte", "left").join(d, "fonte", "left")
+    counted = scans.join(run_counts(changes), "fonte", "left").join(d, "fonte", "left").join(told, "fonte", "left")
     n = lambda c: F.when(F.col("erro").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("int").alias(c)
-    return counted.select("fonte", F.col("erro").isNull().alias("ok"), n("encontrados"), n("novos"), n("atualizados"), n("removidos"), n("detalhados"), "erro", F.concat(F.coalesce("avisos", none), F.coalesce("falhas", none)).alias("avisos"), F.col("ms").cast("long").alias("ms"))
+    notes = F.concat(*[F.coalesce(c, none) for c in ("avisos", "ditas", "outras")]).alias("avisos")
+    return counted.select("fonte", F.col("erro").isNull().alias("ok"), n("encontrados"), n("novos"), n("atualizados"), n("removidos"), n("detalhados"), "erro", notes, F.col("ms").cast("long").alias("ms"))
+
+
+def run_news(changes: DataFrame, begin: str) -> DataFrame:
+    """(inicio, pos, chave): the keys that a run found first; ``pos`` is their order in the state."""
+    return changes.where("acao = 'inserir'").select(F.lit(begin).alias("inicio"), F.col("ord").alias("pos"), "chave")
 
 
-def run_row(summary: DataFrame, changes: DataFrame, begin: str, end: str) -> DataFrame:
-    """The run log's row: its sources' summaries by id (a row for each configured source) and the new keys in stored order."""
+def run_row(summary: DataFrame, begin: str, end: str) -> DataFrame:
+    """The run log's row: its sources' summaries by id (a row for each configured source), and how many keys were new."""
     parts = [c for c in summary.columns if c != "fonte"]
-    sources = summary.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fonte", F.struct(*parts).alias("r"))))).alias("fontes"))
-    new = changes.where("acao = 'inserir'").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chave"))), lambda x: x["chave"]).alias("novos"))
-    return sources.crossJoin(new).select(F.lit(begin).alias("id"), F.lit(begin).alias("inicio"), F.lit(end).alias("fim"), "fontes", "novos")
+    rows = summary.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fonte", F.struct(*parts).alias("r"))))).alias("fontes"), F.coalesce(F.sum("novos"), F.lit(0)).alias("novos"))
+    return rows.select(F.lit(begin).alias("id"), F.lit(begin).alias("inicio"), F.lit(end).alias("fim"), "fontes", "novos")
 
 
 def run_counts(changes: DataFrame) -> DataFrame:

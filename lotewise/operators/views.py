@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import stat_family, type_label
 from ..functions.text import bind, half_up, normalize_bairro, plain_number
+from ..sources.shared import stored
 from .criteria import first_per_group
 from .merge import last_n, last_run
+from .quantiles import exact_quantiles
 
 
-def market_stats(state: DataFrame) -> DataFrame:
+def market_stats(state: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: stored(df, "stats")) -> DataFrame:
     """(grupo, n, p25, mediana, p75, mediana_m2) of active listings, one of each duplicate group."""
     rows = first_per_group(state.where("ativo AND aluguel IS NOT NULL"), [F.col("ord")])
     rooms = F.when(F.col("quartos").isNull(), "?").when(F.col("quartos") >= 3, "3+").otherwise(F.col("quartos").cast("string"))
-    q = lambda c, p: half_up(F.round(F.percentile(c, p), 8), 2)  # noqa: E731  interpolation noise must not decide a half
     m2 = F.when(F.col("area") > 5, F.col("aluguel") / F.col("area"))
-    return rows.groupBy(F.concat(stat_family(F.col("tipo")), F.lit(" · "), rooms, F.lit(" quartos")).alias("grupo")).agg(F.count(F.lit(1)).alias("n"), q("aluguel", 0.25).alias("p25"), q("aluguel", 0.5).alias("mediana"), q("aluguel", 0.75).alias("p75"), q(m2, 0.5).alias("mediana_m2"))
+    group = F.concat(stat_family(F.col("tipo")), F.lit(" · "), rooms, F.lit(" quartos")).alias("grupo")
+    both = F.array(F.struct(F.lit("aluguel").alias("medida"), F.col("aluguel").alias("x")), F.struct(F.lit("m2").alias("medida"), m2.alias("x")))
+    values = store(rows.select(group, F.inline(both)))
+    found = exact_quantiles(values, ["grupo", "medida"], "x", [0.25, 0.5, 0.75], store)
+    q = lambda of, p: F.max(F.when((F.col("medida") == of) & (F.col("p") == p), half_up(F.round("q", 8), 2)))  # noqa: E731  interpolation noise must not decide a half
+    table = found.groupBy("grupo").agg(q("aluguel", 0.25).alias("p25"), q("aluguel", 0.5).alias("mediana"), q("aluguel", 0.75).alias("p75"), q("m2", 0.5).alias("mediana_m2"))
+    return values.where("medida = 'aluguel'").groupBy("grupo").agg(F.count(F.lit(1)).alias("n")).join(table, "grupo").select("grupo", "n", "p25", "mediana", "p75", "mediana_m2")
 
 
 def sorted_stats(stats: DataFrame) -> DataFrame:
@@ -33,7 +42,7 @@ def summary(state: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     out = base.crossJoin(as_map(state.where("ativo"), "status", "por_status")).crossJoin(as_map(state.where("ativo"), "fonte", "por_fonte"))
     if runs is None:
         return out
-    last = last_run(runs).agg(F.first(F.struct("inicio", "fim", F.size("novos").alias("novos"))).alias("ultima_busca"))  # one row, null without runs
+    last = last_run(runs).agg(F.first(F.struct("inicio", "fim", "novos")).alias("ultima_busca"))  # one row, null without runs
     return out.crossJoin(last)
 
 

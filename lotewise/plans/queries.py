@@ -62,6 +62,14 @@ def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(criteria.matches_text(" Tiôn  reti ", F.col("text"))).select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE contains(strip_accents(lower(coalesce(text, ''))), 'tion') AND contains(strip_accents(lower(coalesce(text, ''))), 'reti') UNION ALL SELECT doc_id FROM documents WHERE contains(strip_accents(lower(coalesce(text, ''))), 'zuungein')")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches over rows that are stored with signatures: texts without the trigrams are not looked at."""
+    rows = stored(criteria.with_signature(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text")), "signatures")
+    found = [criteria.search_text(rows, q, F.col("text")).select("doc_id") for q in ("Tiôn  reti", "ZUUNGEIN")]
+    return merge.union_scans(found)
+
+
 @query(_L + "SELECT count(*) FILTER (status <> 'descartado') AS todos, count(*) FILTER (status = 'novo') AS novo, count(*) FILTER (status = 'descartado') AS descartado FROM l WHERE ativo AND (aluguel IS NULL OR aluguel <= 1500)")
 def tab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return criteria.tab_counts(listings(spark, sf_dir), ["novo", "descartado"], ceiling=1500)

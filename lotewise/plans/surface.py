@@ -9,6 +9,7 @@ from ..functions import classify, text
 from ..operators import commands, criteria, crawl, merge, views
 from ..schema import STATE
 from ..sources import config
+from ..sources.shared import stored
 from .facade import LISTINGS, listings, state, table
 from .queries import query
 
@@ -132,26 +133,61 @@ def limited_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return criteria.page_of(criteria.console_filter(state(spark, sf_dir), status="visita"), None, "lista", 20).select("chave", "de")
 
 
+def _in_place(df: DataFrame, name: str) -> DataFrame:
+    """Rows with ``lugar``, their place in the order that ``df`` gives: a place in the partition, and the sizes of those before."""
+    rows = stored(df.withColumn("_id", F.monotonically_increasing_id()), name)
+    part = F.shiftrightunsigned("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    begins = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.withColumn("_part", part).join(begins, "_part").withColumn("lugar", F.col("before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "before")
+
+
+@query(_L + " UNION ALL ".join(f"SELECT '{k}' AS pedido, chave, count(*) OVER () AS de, row_number() OVER (ORDER BY coalesce(aluguel, 1e9), ord) AS lugar FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(grupo, concat('k:', chave)) ORDER BY coalesce(aluguel, 1e9), ord) AS rn FROM l WHERE ativo) WHERE rn = 1" for k in ("None", "0")))
+def whole_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list without a limit, or with one of zero, is whole and in order."""
+    out = [_in_place(criteria.page_of(state(spark, sf_dir), F.col("ativo"), "preco", n), "list").select(F.lit(str(n)).alias("pedido"), "chave", "de", "lugar") for n in (None, 0)]
+    return merge.union_scans(out)
+
+
+@query(_L + "SELECT chave, CAST(rank AS INTEGER) AS lugar, CAST(1 + (rank - 1) // 60 AS INTEGER) AS pagina FROM (SELECT chave, row_number() OVER (ORDER BY primeira_vez DESC, coalesce(aluguel, 1e9), ord) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(grupo, concat('k:', chave)) ORDER BY primeira_vez DESC, coalesce(aluguel, 1e9), ord) AS rn FROM l WHERE ativo) WHERE rn = 1) WHERE rank <= 120")
+def next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages of sixty rows; the second begins after the position of the first one's last row."""
+    rows, out, since = state(spark, sf_dir), [], None
+    for page in (1, 2):
+        got = criteria.listing(rows, F.col("ativo"), "lista", 60, since=since).withColumn("_at", criteria.position("lista"))
+        w = Window.orderBy(*criteria.ORDERS["lista"]())  # a page
+        ranked = got.withColumn("_n", F.row_number().over(w))
+        last = ranked.orderBy(F.desc("_n")).select("_at").first()
+        since = tuple(last["_at"]) if last else since
+        out.append(ranked.select("chave", (F.col("_n") + 60 * (page - 1)).alias("lugar"), F.lit(page).alias("pagina")))
+    return merge.union_scans(out)
+
+
 _RUNS = "SELECT concat('2024-01-', lpad(concat('', 1 + event_id % 28), 2, '0'), 'T', lpad(concat('', event_id % 24), 2, '0')) AS inicio, event_id FROM events WHERE event_id % 10 = 0"
 
 
+def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New keys of runs: an event is one, the day and hour of its number are its run, the part of that number its key."""
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.expr("concat('2024-01-', lpad(concat('', 1 + event_id % 28), 2, '0'), 'T', lpad(concat('', event_id % 24), 2, '0'))").alias("inicio"), n.alias("pos"), F.concat(F.lit("f"), (n % 7).cast("string"), F.lit(":"), n.cast("string")).alias("chave"))
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run log: one run for each day and hour of some events, with the parts of those numbers as its new keys."""
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("concat('2024-01-', lpad(concat('', 1 + event_id % 28), 2, '0'), 'T', lpad(concat('', event_id % 24), 2, '0')) AS inicio", "event_id")
+    """The run log of those keys."""
     ok = lambda f, n: F.struct(F.lit(f).alias("fonte"), F.struct(F.lit(f != "f2").alias("ok"), F.lit(n).alias("encontrados")).alias("r"))
-    keys = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: F.concat(F.lit("f"), (x % 7).cast("string"), F.lit(":"), x.cast("string")))
-    return e.groupBy("inicio").agg(keys.alias("novos")).withColumns({"id": F.col("inicio"), "fim": F.concat("inicio", F.lit("F")), "fontes": F.map_from_entries(F.array(ok("f1", 3), ok("f2", 0), ok("x9", 0)))})
+    return _news(spark, sf_dir).groupBy("inicio").agg(F.count(F.lit(1)).alias("novos")).withColumns({"id": F.col("inicio"), "fim": F.concat("inicio", F.lit("F")), "fontes": F.map_from_entries(F.array(ok("f1", 3), ok("f2", 0), ok("x9", 0)))})
 
 
-@query(_L + f", r AS ({_RUNS}), u AS (SELECT max(inicio) AS m FROM r), n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM r, u WHERE inicio = m) SELECT CAST(pos AS INTEGER) AS pos, l.chave, aluguel FROM n JOIN l ON l.chave = concat('f', event_id % 7, ':', event_id)")
+@query(_L + f", r AS ({_RUNS}), u AS (SELECT max(inicio) AS m FROM r), n AS (SELECT event_id FROM r, u WHERE inicio = m) SELECT event_id AS pos, l.chave, aluguel FROM n JOIN l ON l.chave = concat('f', event_id % 7, ':', event_id)")
 def last_run_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last run's new keys in its order; those that the state lacks are left out."""
-    return merge.new_in_order(merge.last_run(_runs(spark, sf_dir)), listings(spark, sf_dir)).select("pos", "chave", "aluguel")
+    return merge.new_in_order(merge.last_run(_runs(spark, sf_dir)), _news(spark, sf_dir), listings(spark, sf_dir)).select("pos", "chave", "aluguel")
 
 
 @query(_L + f", r AS ({_RUNS}) SELECT chave FROM l WHERE chave IN (SELECT concat('f', event_id % 7, ':', event_id) FROM r WHERE inicio = (SELECT max(inicio) FROM r)) AND ativo AND status <> 'descartado'")
 def console_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return criteria.console_filter(state(spark, sf_dir), last_run=merge.last_run(_runs(spark, sf_dir)), unread=True).select("chave")
+    return criteria.console_filter(state(spark, sf_dir), last_run=merge.news_of(merge.last_run(_runs(spark, sf_dir)), _news(spark, sf_dir)), unread=True).select("chave")
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +202,7 @@ def page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("ativos", "ultima", F.array_join("falhas", "|").alias("falhas"), F.array_join("usadas", "|").alias("usadas"))
 
 
-@query(_L + f", r AS ({_RUNS}), s AS (SELECT status, count(*) AS n FROM l WHERE ativo GROUP BY 1), f AS (SELECT fonte, count(*) AS n FROM l WHERE ativo GROUP BY 1) SELECT (SELECT string_agg(concat(status, '=', n), ',' ORDER BY status) FROM s) AS por_status, (SELECT string_agg(concat(fonte, '=', n), ',' ORDER BY fonte) FROM f) AS por_fonte, (SELECT max(inicio) FROM r) AS inicio, CAST((SELECT count(*) FROM r WHERE inicio = (SELECT max(inicio) FROM r)) AS INTEGER) AS novos")
+@query(_L + f", r AS ({_RUNS}), s AS (SELECT status, count(*) AS n FROM l WHERE ativo GROUP BY 1), f AS (SELECT fonte, count(*) AS n FROM l WHERE ativo GROUP BY 1) SELECT (SELECT string_agg(concat(status, '=', n), ',' ORDER BY status) FROM s) AS por_status, (SELECT string_agg(concat(fonte, '=', n), ',' ORDER BY fonte) FROM f) AS por_fonte, (SELECT max(inicio) FROM r) AS inicio, CAST((SELECT count(*) FROM r WHERE inicio = (SELECT max(inicio) FROM r)) AS BIGINT) AS novos")
 def summary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.summary(state(spark, sf_dir), _runs(spark, sf_dir))
     flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias(m)
@@ -317,7 +353,7 @@ def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = config.Config(cidade="Botucatu", uf="SP", fontes=[], aluguel_max=1400, tipos=["apartamento", "kitnet", "casa", "sobrado", "casa_condominio"], buscar_detalhes=False)
     rows = merge.default_row(listings(spark, sf_dir).withColumn("cidade", F.lit("Botucatu")), keep=("ord",))
     scans = {f"f{i}": (rows.where(F.col("fonte") == f"f{i}"), {"completo": True, "erro": "bloqueado" if i == 4 else None}) for i in range(7)}
-    _, log = crawl.run(state(spark, sf_dir).limit(0), scans, c, _NOW, _NOW)
-    return log.select(F.explode("fontes").alias("fonte", "r"), F.size("novos").cast("long").alias("total_novos")).select("fonte", "r.ok", "r.encontrados", "r.novos", "r.erro", "total_novos")
+    _, log, _ = crawl.run(state(spark, sf_dir).limit(0), scans, c, _NOW, _NOW)
+    return log.select(F.explode("fontes").alias("fonte", "r"), F.col("novos").alias("total_novos")).select("fonte", "r.ok", "r.encontrados", "r.novos", "r.erro", "total_novos")
 
 

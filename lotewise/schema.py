@@ -14,7 +14,9 @@ LIFECYCLE = (
     "ia struct<nota:int,resumo:string,alertas:array<string>,data:string>, ord bigint"
 )
 STATE = f"{LISTING}, {LIFECYCLE}"
-RUN = "id string, inicio string, fim string, fontes map<string,struct<ok:boolean,encontrados:int,novos:int,atualizados:int,removidos:int,detalhados:int,erro:string,avisos:array<string>,ms:bigint>>, novos array<string>"
+RUN = "id string, inicio string, fim string, fontes map<string,struct<ok:boolean,encontrados:int,novos:int,atualizados:int,removidos:int,detalhados:int,erro:string,avisos:array<string>,ms:bigint>>, novos bigint"
+#: The keys that a run found first, in stored order: a row each, as a run may find any number.
+NEWS = "inicio string, pos bigint, chave string"
 
 #: Fixed values.
 RESIDENTIAL = ("apartamento", "kitnet", "studio", "cobertura", "flat", "casa", "sobrado", "casa_condominio")

@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import RUN, STATE, columns
+from ..schema import NEWS, RUN, STATE, columns
 
 KEEP = 3
 LOCK_TIMEOUT, LOCK_STALE, LOCK_POLL, LOCK_RENEW = 30.0, 120.0, 0.075, 20.0
@@ -121,22 +121,23 @@ class StateStore:
             return self.read()
 
 
-def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(state, runs) of a state document: one JSON object with ``imoveis`` by key and ``execucoes``.
+def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state, runs, new keys of runs) of a state document: one JSON object with ``imoveis`` by key and ``execucoes``.
 
     No file, or an object without ``imoveis``, is an empty state; text that is not JSON is an error. Rows
     keep the document's order in ``ord``.
     """
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    empty = spark.createDataFrame([], STATE), spark.createDataFrame([], RUN)
+    empty = tuple(spark.createDataFrame([], x) for x in (STATE, RUN, NEWS))
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return empty
     row = ",".join(f"{n}:{k}" for n, k in columns(STATE))
-    runs = ",".join(f"{n}:{k}" for n, k in columns(RUN))
+    runs = ",".join(f"{n}:{'array<string>' if n == 'novos' else k}" for n, k in columns(RUN))  # a document lists a run's new keys in it
     doc = spark.read.schema(f"imoveis map<string,struct<{row}>>, execucoes array<struct<{runs}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
     names = [n for n, _ in columns(STATE)]
     flat = doc.select(F.posexplode("imoveis").alias("pos", "k", "r")).select(*[(F.col("pos").cast("long") if n == "ord" else F.coalesce("r.chave", "k") if n == "chave" else F.col(f"r.{n}")).alias(n) for n in names])
-    return flat, doc.select(F.inline("execucoes"))
+    told = doc.select(F.inline("execucoes"))
+    return flat, told.withColumn("novos", F.coalesce(F.size("novos"), F.lit(0)).cast("long")), told.select("inicio", F.posexplode("novos").alias("pos", "chave")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def export_json(state: DataFrame, path: str) -> None:

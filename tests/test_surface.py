@@ -67,11 +67,12 @@ def test_lock_is_its_owners(spark, tmp_path, monkeypatch):
 
 
 def test_import_and_export(spark, tmp_path):
-    assert [df.count() for df in state.import_json(spark, f"file://{tmp_path}/none.json")] == [0, 0]
+    assert [df.count() for df in state.import_json(spark, f"file://{tmp_path}/none.json")] == [0, 0, 0]
     doc = {"versao": 1, "imoveis": {"b:1": {"chave": "b:1", "aluguel": 900, "fotos": ["x"], "historico_precos": [{"data": "2024-01-01", "aluguel": 900, "total": None}], "notas": "n"}, "a:2": {"aluguel": None}}, "execucoes": [{"id": "t", "inicio": "t", "fontes": {"b": {"ok": True, "encontrados": 1}}, "novos": ["b:1"]}]}
     (tmp_path / "s.json").write_text(json.dumps(doc))
-    rows, runs = state.import_json(spark, f"file://{tmp_path}/s.json")
+    rows, runs, news = state.import_json(spark, f"file://{tmp_path}/s.json")
     assert [(r.chave, r.ord, r.aluguel) for r in rows.orderBy("ord").collect()] == [("b:1", 0, 900.0), ("a:2", 1, None)]
+    assert [tuple(r) for r in news.collect()] == [("t", 0, "b:1")] and runs.first().novos == 1
     assert runs.first().fontes["b"].encontrados == 1 and runs.columns == [c.split(" ")[0] for c in RUN.replace("map<string,struct<", "").split(", ") if " " in c][:1] + runs.columns[1:]
     (tmp_path / "bad.json").write_text("{oops")
     with pytest.raises(Exception, match="(?i)malformed|json"):
@@ -131,12 +132,15 @@ def test_run_tells_its_phases(spark):
     d = spark.createDataFrame([("a", "0", "longa", None), ("a", "1", None, "sumiu")], "fonte string, id string, descricao string, erro string")
     heard = []
     known = rows_of(spark, [{"chave": "a:3", "fonte": "a", "id": "3", "detalhado": True, "ativo": True, "ord": 1, "aluguel": 503.0}, {"chave": "a:7", "fonte": "a", "id": "7", "ativo": True, "ord": 2}, {"chave": "b:1", "fonte": "b", "id": "1", "ativo": True, "ord": 3}])
-    new, log = crawl.run(known, {"a": (batch, {"completo": True}), "b": (batch.limit(0), {"erro": "bloqueado"})}, c, "2024-01-01T00:00:00Z", "2024-01-01T00:01:00Z", details=d, on_progress=heard.append)
+    new, log, news = crawl.run(known, {"a": (batch, {"completo": True}), "b": (batch.limit(0), {"erro": "bloqueado"})}, c, "2024-01-01T00:00:00Z", "2024-01-01T00:01:00Z", details=d, on_progress=heard.append)
     got = {r.chave: (r.ativo, r.descricao, r.detalhado) for r in new.collect()}
     assert got == {"a:0": (True, "longa", True), "a:1": (True, None, False), "a:2": (True, None, False), "a:3": (True, None, True), "a:7": (False, None, False), "b:1": (True, None, False)}
     r = log.first()
-    assert r.novos == ["a:0", "a:1", "a:2"] and r.fontes["a"].detalhados == 1 and r.fontes["a"].removidos == 1 and r.fontes["a"].atualizados == 1 and r.fontes["a"].avisos == ["detalhe 1: sumiu"] and r.fontes["b"].erro == "bloqueado"
-    assert [h["a"]["fase"] for h in heard][:3] == ["buscando", "detalhando", "ok"] and heard[-1]["b"] == {"fase": "erro", "msg": "bloqueado"}
+    assert [x.chave for x in news.orderBy("pos").collect()] == ["a:0", "a:1", "a:2"] and r.novos == 3 and r.fontes["a"].detalhados == 1 and r.fontes["a"].removidos == 1 and r.fontes["a"].atualizados == 1 and r.fontes["a"].avisos == ["detalhe 1: sumiu"] and r.fontes["b"].erro == "bloqueado"
+    phases = [h["a"]["fase"] for h in heard]
+    assert [p for i, p in enumerate(phases) if (not i or p != phases[i - 1]) and p != "aguardando"] == ["buscando", "detalhando", "ok"]
+    assert heard[-1]["a"]["fase"] == "ok" and (heard[-1]["b"]["fase"], heard[-1]["b"]["msg"]) == ("erro", "bloqueado")
+    assert any(h["a"].get("detalhados") == 1 and h["a"]["falhas"] == 1 for h in heard) and r.fontes["a"].ms > 0
     with pytest.raises(crawl.Cancelled):
         crawl.run(known, {"a": (batch, {})}, c, "x", "y", stop=lambda: True)
     log2 = commands.append_run(log.limit(0), log)
