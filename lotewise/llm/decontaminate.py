@@ -4,7 +4,9 @@ Words are lower-cased runs of letters and digits; in scripts without spaces each
 All word trigrams of a benchmark item are its seeds, however common. Where a document has a seed, the
 surrounding passage is aligned with the item word by word; the score is the best local alignment's
 share of a perfect one. Passages with too few of the item's words to reach ``THRESHOLD`` by any
-alignment are not aligned, which loses none. Items of fewer than ``LEAST_WORDS`` words are searched
+alignment are not aligned, which loses none. Common seeds are bounded, not left out: a text whose seeds meet more
+than ``TOGETHER`` places of items is first held against each of these items by the words that they share at all, and
+what then is left goes on in parts of that size. Items of fewer than ``LEAST_WORDS`` words are searched
 for as exact word sequences.
 
 The benchmark is broadcast in chunks of at most ``CHUNK_BYTES`` bytes of text (or one item), one pass
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_case_fold, pieces, string_buffers
+from .common import Words, byte_case_fold, pieces, runs, string_buffers
 
 SEED = 3
 LEAST_WORDS = 5
@@ -37,6 +39,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 CHUNK_BYTES = 8 << 20
 #: Words beyond the item's length, on either side, that an alignment may use, as a share of it.
 SLACK = 0.5
+#: Seeds with their items that are held at once; only one text's seeds of one item can be more.
+TOGETHER = 1 << 20
 
 
 def spaced(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +70,18 @@ def _words(col: pa.Array) -> Words:
 class Items:
     """Benchmark items ready to search for."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: pa.Array | list, texts: list[str]):
         w = _words(pa.array(texts, pa.string()))
-        self.ids, self.words = ids, [w.hash[i:j] for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
+        self.ids = ids if isinstance(ids, pa.Array) else pa.array(ids)
+        self.words = [w.hash[i:j] for i, j in zip(w.first[:-1], w.first[1:], strict=True)]
         keys, owner, place, short = [], [], [], {}
         grams = w.windows(SEED)
         self.kinds = [np.unique(x, return_counts=True) for x in self.words]
+        # the same in one piece: words, how often an item has them, where an item's begin, and how many it must share
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.kind = np.concatenate([k for k, _ in self.kinds]) if self.words else np.zeros(0, np.uint64)
+        self.most = np.concatenate([n for _, n in self.kinds]) if self.words else np.zeros(0, np.int64)
+        self.begin = np.cumsum([0, *[len(k) for k, _ in self.kinds]])
         for n, (i, j) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
             if j - i < LEAST_WORDS:
                 if j > i:
@@ -121,20 +131,77 @@ class Items:
         at = np.flatnonzero(self.maybe[g >> np.uint64(44)])
         lo = np.searchsorted(self.keys, g[at], "left")
         n = np.searchsorted(self.keys, g[at], "right") - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        if not len(at):
-            return []
-        pos = np.repeat(at, n)
-        seed = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        row = np.searchsorted(w.first, pos, "right") - 1
-        ok = w.first[row + 1] >= pos + SEED
-        pos, seed, row = pos[ok], seed[ok], row[ok]
+        row = np.searchsorted(w.first, at, "right") - 1
+        ok = (n > 0) & (w.first[row + 1] >= at + SEED)
+        at, lo, n, row = at[ok], lo[ok], n[ok], row[ok]
+        out, cut = [], runs(row)
+        sums = np.add.reduceat(n, cut) if len(cut) else n[:0]
+        ends = np.append(cut[1:], len(row))
+        few = np.flatnonzero(sums <= TOGETHER)
+        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(sums[few]) // TOGETHER)) + 1):  # texts together, of up to twice as many places
+            if len(part):
+                mine = np.isin(row, row[cut[part]])
+                out += self.passages(w, at[mine], lo[mine], n[mine])
+        for x in np.flatnonzero(sums > TOGETHER).tolist():
+            mine = slice(int(cut[x]), int(ends[x]))
+            out += self.crowded(w, int(row[cut[x]]), at[mine], lo[mine], n[mine])
+        return out
+
+    def crowded(self, w: Words, row: int, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
+        """The copies in a text whose seeds meet many places of items."""
+        kinds, most = np.unique(w.hash[w.first[row] : w.first[row + 1]], return_counts=True)
+        seeds, which = np.unique(lo, return_index=True)
+        met = np.zeros(len(self.words), bool)
+        for i, m in zip(seeds.tolist(), n[which].tolist(), strict=True):
+            met[self.owner[i : i + m]] = True
+        some = np.flatnonzero(met)
+        # the words that an item and the whole text share are no fewer than those of any passage
+        wanted = np.zeros(len(self.words), bool)
+        for part in np.array_split(some, 1 + int((self.begin[some + 1] - self.begin[some]).sum()) // TOGETHER):
+            if not len(part):
+                continue
+            long = self.begin[part + 1] - self.begin[part]
+            of = np.repeat(self.begin[part] - np.cumsum(long) + long, long) + np.arange(long.sum())
+            found = np.minimum(np.searchsorted(kinds, self.kind[of]), len(kinds) - 1)
+            both = np.where(kinds[found] == self.kind[of], np.minimum(most[found], self.most[of]), 0)
+            shared = np.add.reduceat(both, np.cumsum(long) - long)
+            wanted[part[shared >= THRESHOLD * self.size[part]]] = True
+        out, some = [], np.flatnonzero(wanted)
+        # places of wanted items in front of each place, to count those of a seed without naming them
+        total = self.met_by(some, lo, n)
+        for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(total) // TOGETHER)) + 1) if len(some) else []:
+            only = np.zeros(len(self.words), bool)
+            only[part] = True
+            out += self.passages(w, at, lo, n, only)
+        return out
+
+    def met_by(self, items: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each item, how many times the seeds at ``lo`` meet one of its places."""
+        seeds, times = np.unique(lo, return_counts=True)
+        reach = n[np.unique(lo, return_index=True)[1]]
+        out = np.zeros(len(self.words), np.int64)
+        for i, m, k in zip(seeds.tolist(), reach.tolist(), times.tolist(), strict=True):
+            np.add.at(out, self.owner[i : i + m], k)
+        return out[items]
+
+    def passages(self, w: Words, at: np.ndarray, lo: np.ndarray, n: np.ndarray, only: np.ndarray | None = None) -> list[tuple[int, int, float, int, int, int]]:
+        """The copies around seeds at words ``at``, each of which is at ``n`` places from ``lo`` on; of the items ``only``, if given."""
+        if only is None:
+            pos = np.repeat(at, n)
+            seed = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        else:
+            mine = np.flatnonzero(only[self.owner])
+            first, last = np.searchsorted(mine, lo), np.searchsorted(mine, lo + n)
+            many = last - first
+            pos = np.repeat(at, many)
+            seed = mine[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
         if not len(pos):
             return []
+        row = np.searchsorted(w.first, pos, "right") - 1
         item, begin = self.owner[seed], pos - self.place[seed]
         order = np.lexsort((begin, item, row))
         row, item, begin = row[order], item[order], begin[order]
-        size = np.array([len(x) for x in self.words])[item]
+        size = self.size[item]
         slack = (size * SLACK).astype(np.int64) + 2
         other = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
         # seeds on near diagonals share a passage
@@ -191,7 +258,7 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end
 
 
-def chunks(benchmark: DataFrame, most: int = CHUNK_BYTES) -> Iterator[tuple[list, list[str]]]:
+def chunks(benchmark: DataFrame, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
     """The benchmark's (ids, texts), at most ``most`` bytes of text, or else one slot of items, at a time."""
     items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -208,7 +275,7 @@ def chunks(benchmark: DataFrame, most: int = CHUNK_BYTES) -> Iterator[tuple[list
     for low, high in spans:
         got = items.where(slot.between(low, high)).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         if got.num_rows:
-            yield got.column("item_id").to_pylist(), got.column("text").to_pylist()
+            yield got.column("item_id").combine_chunks(), got.column("text").to_pylist()
 
 
 def prepared(benchmark: DataFrame) -> Iterator[Items]:
@@ -233,7 +300,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     got = items.find(b.column("text").slice(i, j - i))
                     if got:
                         r, k, s, n, a, e = zip(*got, strict=True)
-                        yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).take(pa.array(r)), pa.array([items.ids[x] for x in k]), pa.array(s, pa.float64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(e, pa.int64())], names=["doc_id", "item_id", "score", "n_seeds", "first_word", "end_word"])
+                        yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).take(pa.array(r)), items.ids.take(pa.array(k)), pa.array(s, pa.float64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(e, pa.int64())], names=["doc_id", "item_id", "score", "n_seeds", "first_word", "end_word"])
 
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
     return out

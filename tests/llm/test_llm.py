@@ -447,7 +447,7 @@ def test_decontaminate_chunks(spark):
     items = [(i, words(rng, 20)) for i in range(200)]
     bench = spark.createDataFrame([*items, *items[:3]], "item_id bigint, text string")
     got = list(decontaminate.chunks(bench, 2000))
-    assert len(got) > 5 and sorted(x for ids, _ in got for x in ids) == list(range(200))
+    assert len(got) > 5 and sorted(x for ids, _ in got for x in ids.to_pylist()) == list(range(200))
     assert sum(sum(map(len, texts)) > 2000 for _, texts in got) == 0
     assert list(decontaminate.chunks(bench.limit(0))) == []
 
@@ -499,6 +499,41 @@ def smith_waterman(a, b):
     return best
 
 
+def test_decontaminate_hot_seeds(monkeypatch):
+    """Items that begin alike, in a text that says it often: the same copies, however few places are held at once."""
+    rng = np.random.default_rng(31)
+    items = ["which of the following " + words(rng, 8, 400) for _ in range(300)] + [words(rng, 12, 30) for _ in range(40)]
+    texts = [" ".join(f"which of the following z{i}" for i in range(60)) + " " + items[7] + " x " + items[9].replace("of", "oh"), words(rng, 500, 30), None, items[3], words(rng, 300, 400)]
+    ready = decontaminate.Items(list(range(len(items))), items)
+    whole = ready.find(pa.array(texts))
+    assert {(0, 7), (0, 9), (3, 3)} <= {x[:2] for x in whole}
+    for most in (5, 300, 4000):
+        monkeypatch.setattr(decontaminate, "TOGETHER", most)
+        assert sorted(ready.find(pa.array(texts))) == sorted(whole)
+
+
+def test_decontaminate_bounded_seeds():
+    """20,000 items with one beginning and a text that has it 400 times take no more room than any text."""
+    import tracemalloc
+
+    rng = np.random.default_rng(32)
+    items = ["which of the following " + words(rng, 8, 50_000) for _ in range(20_000)]
+    ready = decontaminate.Items(list(range(len(items))), items)
+    text = " ".join(f"which of the following z{i} y{i}" for i in range(400)) + " " + items[77]
+    tracemalloc.start()
+    assert [x[1] for x in ready.find(pa.array([text]))] == [77]
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(9,2)", "date"])
+def test_decontaminate_item_ids(spark, kind):
+    item = "alpha beta gamma delta epsilon zeta eta"
+    bench = spark.createDataFrame([("2024-01-01" if kind == "date" else "3", item)], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    got = decontaminate.find(spark.createDataFrame([(1, "x " + item), (2, "y")], "doc_id bigint, text string"), bench)
+    assert dict(got.dtypes)["item_id"] == kind and [r.item_id for r in got.collect()] == [bench.first().item_id]
+
+
 def test_decontaminate_against_brute_force(spark):
     """Every pair of a document and an item, aligned in full: found are those with a trigram in common that reach the threshold."""
     rng = np.random.default_rng(21)
