@@ -5,8 +5,8 @@ The filters are sliced: position p holds one bit per language, so ANDing the mas
 n-gram's positions gives at once all languages that contain it. A text's language is the one
 with most hits after the expected false positives of its filter are taken away.
 
-Training takes about ``sample`` labelled rows (chosen by a hash of the id; whole texts), and of each
-language its even share of ``sample`` at least, or all its rows: twice ``sample`` together at most;
+Training takes labelled rows by a hash of id and text (whole texts): of each language its share of ``sample``
+rows, its even share of them at least, or all that there are. That is twice ``sample``, and two rows a language, at most;
 counts and masks are aggregated by Spark, and what is broadcast is the slice table of ``2**bits``
 masks, whatever the corpus. Prediction is one pass over the texts without a shuffle.
 
@@ -17,6 +17,7 @@ give repeated rows; long texts are read whole; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_grams, folded, pieces, string_buffers
+from .common import byte_grams, folded, pieces, stored, string_buffers
+from .sampling import bounded
 
 #: Bytes in an n-gram.
 SIZES = (3, 5)
-#: Labelled rows to learn from (about).
+#: Labelled rows to learn from; twice as many with the even shares of rare languages.
 SAMPLE = 6000
 #: An n-gram belongs to a language if this share of its training texts has it.
 SHARE = 0.02
@@ -58,9 +60,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, share: float = SHARE, bits: int
         return Filters([], np.zeros(1 << bits, np.uint64), np.zeros(0))
     if len(rows) > 64:
         raise ValueError(f"{len(rows)} languages; a mask has 64 bits")
-    rate = {x: min(1.0, max(sample / sum(rows.values()), sample / len(rows) / n)) for x, n in rows.items()}
-    below = F.create_map(*[F.lit(v) for x, r in rate.items() for v in (x, int(1_000_003 * r) + 1)])
-    part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < below[F.col("lang")])
+    most = {x: min(n, max(math.ceil(sample * n / sum(rows.values())), math.ceil(sample / len(rows)))) for x, n in rows.items()}
+    part = stored(bounded(known, ["doc_id", "text"], "lang", most, rows), "languages")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
