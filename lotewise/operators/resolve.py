@@ -155,6 +155,11 @@ def priority() -> Column:
     return F.struct(F.col("plataforma").isin(*AGGREGATORS).cast("int").alias("p1"), (~F.col("detalhado")).cast("int").alias("p2"), (-F.size("fotos")).alias("p3"), seen.alias("p4"), F.collate("chave", "UNICODE").alias("p5"), F.col("chave").alias("p6"))
 
 
+def principals(state: DataFrame, by: str = "grupo") -> DataFrame:
+    """(by, chave): the principal of each set of rows."""
+    return state.groupBy(by).agg(F.min_by("chave", priority()).alias("chave"))
+
+
 def assign_groups(state: DataFrame, sources: DataFrame, store: Callable[[DataFrame], DataFrame], batch: int = BATCH, drop: Callable[[DataFrame], None] = lambda df: None) -> DataFrame:
     """The state with ``grupo`` set: g:{principal} for groups of two or more, else null."""
     edges = store(reference_edges(state, resolve_source(state.where("ativo"), sources)).unionByName(attribute_edges(state)))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..operators import commands, criteria, merge, resolve, transitions, views
+from ..schema import STATE
+from ..sources.platforms import variant_number
 from ..sources.shared import dropped, stored
 from .facade import LISTINGS, OBSERVATIONS, listings, observations, state, table
 
@@ -215,6 +217,16 @@ def reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.reference_edges(rows, resolve.resolve_source(rows.where("ativo"), src)).select(F.col("a").alias("anuncio"), F.col("b").alias("alvo"))
 
 
+_LETTERS = "concat('f:', CASE WHEN p_partkey % 2 = 0 THEN 'k' ELSE 'K' END, p_size)"
+
+
+@query(f"SELECT grupo, chave FROM (SELECT p_brand AS grupo, {_LETTERS} AS chave, row_number() OVER (PARTITION BY p_brand ORDER BY lower({_LETTERS}), {_LETTERS} DESC) AS n FROM part) WHERE n = 1")
+def group_principals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows alike but for their keys: the first key as a reader orders words, small letters before great ones."""
+    rows = merge.default_row(table(spark, sf_dir, "part").select(F.col("p_brand").alias("grupo"), F.expr(_LETTERS).alias("chave"), F.lit("msys").alias("plataforma"), F.lit("2024-01-01").alias("primeira_vez")), STATE)
+    return resolve.principals(rows).select("grupo", "chave")
+
+
 @query()
 def groups_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References are the first edges, equal attributes the others."""
@@ -367,7 +379,7 @@ def search_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", variant_number(F.try_parse_json("props"), "$.k").cast("int").alias("k"))
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS papeis FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations WHERE trim(role) <> '' GROUP BY 1, 2) GROUP BY 1")
@@ -379,7 +391,8 @@ def set_uniq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_name AS nome, c_nationkey AS pais, 'c' AS origem FROM customer UNION ALL SELECT s_name, s_nationkey, 's' FROM supplier")
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("nome"), F.col("c_nationkey").alias("pais"), F.lit("c").alias("origem"))
-    return c.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("nome"), F.col("s_nationkey").alias("pais"), F.lit("s").alias("origem")))
+    s = table(spark, sf_dir, "supplier").select(F.lit("s").alias("origem"), F.col("s_nationkey").alias("pais"), F.col("s_name").alias("nome"))
+    return merge.union_scans([c, s])
 
 
 @query(_L + "SELECT chave, titulo, aluguel, substr(descricao, 1, 700) AS descricao, ativo FROM l")

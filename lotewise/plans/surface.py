@@ -74,24 +74,24 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 1234567.89e0 WHEN 1 THEN p_size * 1000e0 WHEN 2 THEN p_size + 0.5e0 WHEN 3 THEN NULL WHEN 4 THEN p_size * 1.0e0 ELSE 1234.56e0 END AS valor, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN NULL WHEN 2 THEN 3 ELSE 0 END AS inteiro,
-    CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE -22.5e0 END AS coord, CASE WHEN p_size % 2 = 0 THEN p_size * 1.0e0 END AS positivo, floor((p_retailprice + p_size) * 100 + 0.5e0) / 100.0e0 AS total, concat('R$ 1.', lpad(concat('', p_size), 3, '0'), CASE WHEN p_size % 2 = 1 THEN ',5' ELSE '' END) AS texto, p_size * 1.0e0 AS arredondado FROM part WHERE p_size > 0"""
+    CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE -22.5e0 END AS coord, CASE WHEN p_size % 2 = 0 THEN p_size * 1.0e0 END AS positivo, floor((p_retailprice + p_size) * 100 + 0.5e0) / 100.0e0 AS total, concat('R$ 1.', lpad(concat('', p_size), 3, '0'), CASE WHEN p_size % 2 = 1 THEN ',5' ELSE '' END) AS texto, p_size * 1.0e0 AS arredondado FROM part"""
 )
 def number_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr
-    return table(spark, sf_dir, "part").where("p_size > 0").select(
+    return table(spark, sf_dir, "part").select(
         "p_partkey", text.parse_brl(e("CASE p_partkey % 6 WHEN 0 THEN 'R$ 1.234.567,89' WHEN 1 THEN concat(p_size, '.000') WHEN 2 THEN concat(p_size, ',5 m²') WHEN 3 THEN 'Sob consulta' WHEN 4 THEN concat('R$ ', p_size, '.') ELSE '1,234.56' END")).alias("valor"),
         text.parse_int(e("CASE p_partkey % 4 WHEN 0 THEN concat(p_size, ' vagas') WHEN 1 THEN '-2' WHEN 2 THEN '2.5' ELSE 'nenhum' END")).alias("inteiro"), text.parse_coord(e("CASE WHEN p_partkey % 3 = 0 THEN '0' ELSE ' -22.5' END")).alias("coord"), text.positive_or_null(e("CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END")).alias("positivo"),
         text.compute_total(F.col("p_retailprice"), F.col("p_size").cast("double"), F.lit(None).cast("double")).alias("total"), text.brl(e("1000 + p_size + CASE WHEN p_size % 2 = 1 THEN 0.5D ELSE 0D END")).alias("texto"), text.half_up(e("p_size - 0.5D")).alias("arredondado"),
     )
 
 
-@query("SELECT conv_id, string_agg(concat(nome, '/', digitos, '/', coalesce(email, '')), '|' ORDER BY primeiro) AS contatos FROM (SELECT conv_id, role AS nome, concat('(14) 3000-000', min(turn) % 10) AS digitos, CASE WHEN count(*) > 1 THEN 'x@y.z' END AS email, min(turn) AS primeiro FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE turn < 9 AND role IN ('user', 'assistant')) GROUP BY conv_id, role) GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(concat(nome, '/', digitos, '/', coalesce(email, '')), '|' ORDER BY primeiro) AS contatos FROM (SELECT conv_id, role AS nome, concat('(14) 3000-0', lpad(concat('', min(turn) % 1000), 3, '0')) AS digitos, CASE WHEN count(*) > 1 THEN 'x@y.z' END AS email, min(turn) AS primeiro FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY conv_id, role) GROUP BY conv_id")
 def contacts_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A role's turns are one contact under the number of its first; its later turns bring an address."""
-    c = table(spark, sf_dir, "conversations").where("turn < 9 AND role IN ('user', 'assistant')").select("conv_id", "turn", "role").distinct()
+    c = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select("conv_id", "turn", "role").distinct()
     w = Window.partitionBy("conv_id", "role")
     c = c.withColumn("first", F.min("turn").over(w))
-    phone = F.concat(F.lit("14 3000-000"), (F.col("first") % 10).cast("string"))
+    phone = F.concat(F.lit("14 3000-0"), F.lpad((F.col("first") % 1000).cast("string"), 3, "0"))
     made = text.make_contact("anunciante", F.col("role"), phone, email=F.when(F.col("turn") > F.col("first"), "x@y.z"))
     g = c.select("conv_id", "turn", "role", made.alias("c")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "c"))), lambda x: x["c"]).alias("cs"))
     return g.select("conv_id", F.array_join(F.transform(text.dedupe_contacts(F.col("cs")), lambda x: F.concat_ws("/", x["nome"], x["telefone"], F.coalesce(x["email"], F.lit("")))), "|").alias("contatos"))
@@ -164,13 +164,13 @@ def next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.union_scans(out)
 
 
-_RUNS = "SELECT concat('2024-01-', lpad(concat('', 1 + event_id % 28), 2, '0'), 'T', lpad(concat('', event_id % 24), 2, '0')) AS inicio, event_id FROM events WHERE event_id % 10 = 0"
+_RUNS = "SELECT concat('2024-01-', lpad(concat('', 1 + event_id % 28), 2, '0'), 'T', lpad(concat('', event_id % 24), 2, '0')) AS inicio, event_id FROM events"
 
 
 def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New keys of runs: an event is one, the day and hour of its number are its run, the part of that number its key."""
+    """New keys of runs: an event is one, the day and hour of its number are its run, the part of the next number its key."""
     n = F.col("event_id")
-    return table(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.expr("concat('2024-01-', lpad(concat('', 1 + event_id % 28), 2, '0'), 'T', lpad(concat('', event_id % 24), 2, '0'))").alias("inicio"), n.alias("pos"), F.concat(F.lit("f"), (n % 7).cast("string"), F.lit(":"), n.cast("string")).alias("chave"))
+    return table(spark, sf_dir, "events").select(F.expr("concat('2024-01-', lpad(concat('', 1 + event_id % 28), 2, '0'), 'T', lpad(concat('', event_id % 24), 2, '0'))").alias("inicio"), n.alias("pos"), F.concat(F.lit("f"), ((n + 1) % 7).cast("string"), F.lit(":"), (n + 1).cast("string")).alias("chave"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,13 +179,13 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _news(spark, sf_dir).groupBy("inicio").agg(F.count(F.lit(1)).alias("novos")).withColumns({"id": F.col("inicio"), "fim": F.concat("inicio", F.lit("F")), "fontes": F.map_from_entries(F.array(ok("f1", 3), ok("f2", 0), ok("x9", 0)))})
 
 
-@query(_L + f", r AS ({_RUNS}), u AS (SELECT max(inicio) AS m FROM r), n AS (SELECT event_id FROM r, u WHERE inicio = m) SELECT event_id AS pos, l.chave, aluguel FROM n JOIN l ON l.chave = concat('f', event_id % 7, ':', event_id)")
+@query(_L + f", r AS ({_RUNS}), u AS (SELECT max(inicio) AS m FROM r), n AS (SELECT event_id FROM r, u WHERE inicio = m) SELECT event_id AS pos, l.chave, aluguel FROM n JOIN l ON l.chave = concat('f', (event_id + 1) % 7, ':', event_id + 1)")
 def last_run_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last run's new keys in its order; those that the state lacks are left out."""
     return merge.new_in_order(merge.last_run(_runs(spark, sf_dir)), _news(spark, sf_dir), listings(spark, sf_dir)).select("pos", "chave", "aluguel")
 
 
-@query(_L + f", r AS ({_RUNS}) SELECT chave FROM l WHERE chave IN (SELECT concat('f', event_id % 7, ':', event_id) FROM r WHERE inicio = (SELECT max(inicio) FROM r)) AND ativo AND status <> 'descartado'")
+@query(_L + f", r AS ({_RUNS}) SELECT chave FROM l WHERE chave IN (SELECT concat('f', (event_id + 1) % 7, ':', event_id + 1) FROM r WHERE inicio = (SELECT max(inicio) FROM r)) AND ativo AND status <> 'descartado'")
 def console_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return criteria.console_filter(state(spark, sf_dir), last_run=merge.news_of(merge.last_run(_runs(spark, sf_dir)), _news(spark, sf_dir)), unread=True).select("chave")
 
@@ -292,8 +292,8 @@ def detail_read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT concat('f', l_suppkey % 30) AS fonte, CASE l_linenumber % 4 WHEN 0 THEN 'inserir' WHEN 1 THEN 'atualizar' WHEN 2 THEN 'desativar' ELSE 'manter' END AS acao, l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0),
-    d AS (SELECT concat('f', l_suppkey % 30) AS fonte, count(*) FILTER (l_quantity > 2) AS bons, count(*) FILTER (l_quantity <= 2) AS ruins FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1),
+    """WITH c AS (SELECT concat('f', l_suppkey % 30) AS fonte, CASE l_linenumber % 4 WHEN 0 THEN 'inserir' WHEN 1 THEN 'atualizar' WHEN 2 THEN 'desativar' ELSE 'manter' END AS acao, l_orderkey FROM lineitem),
+    d AS (SELECT concat('f', l_suppkey % 30) AS fonte, count(*) FILTER (l_quantity > 2) AS bons, count(*) FILTER (l_quantity <= 2) AS ruins FROM lineitem GROUP BY 1),
     s AS (SELECT fonte, count(*) AS n, count(*) FILTER (acao = 'inserir') AS a, count(*) FILTER (acao = 'atualizar') AS b, count(*) FILTER (acao = 'desativar') AS c FROM c GROUP BY 1)
     SELECT s.fonte, s.fonte <> 'f4' AS ok, CAST(CASE WHEN s.fonte = 'f4' THEN 0 ELSE n END AS INTEGER) AS encontrados, CAST(CASE WHEN s.fonte = 'f4' THEN 0 ELSE a END AS INTEGER) AS novos, CAST(CASE WHEN s.fonte = 'f4' THEN 0 ELSE b END AS INTEGER) AS atualizados, CAST(CASE WHEN s.fonte = 'f4' THEN 0 ELSE c END AS INTEGER) AS removidos,
     CAST(CASE WHEN s.fonte = 'f4' THEN 0 ELSE coalesce(bons, 0) END AS INTEGER) AS detalhados, CAST(1 + least(coalesce(ruins, 0), 3) + CASE WHEN ruins > 3 THEN 1 ELSE 0 END AS INTEGER) AS avisos, CASE WHEN ruins > 3 THEN concat('... e mais ', ruins - 3, ' falhas de detalhe') END AS ultimo FROM s LEFT JOIN d ON s.fonte = d.fonte"""
@@ -301,9 +301,9 @@ def detail_read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of a run: a merge's actions, found rows, detail pages with their first failures; one source failed."""
     li = table(spark, sf_dir, "lineitem").withColumn("fonte", F.expr("concat('f', l_suppkey % 30)"))
-    changes = li.where("l_orderkey % 3 = 0").withColumn("acao", F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'inserir' WHEN 1 THEN 'atualizar' WHEN 2 THEN 'desativar' ELSE 'manter' END"))
+    changes = li.withColumn("acao", F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'inserir' WHEN 1 THEN 'atualizar' WHEN 2 THEN 'desativar' ELSE 'manter' END"))
     scans = changes.groupBy("fonte").agg(F.count(F.lit(1)).alias("encontrados")).select("fonte", "encontrados", F.when(F.col("fonte") == "f4", "quebrou").alias("erro"), F.array(F.lit("aviso")).alias("avisos"), F.lit(5).alias("ms"))
-    pages = li.where("l_orderkey % 50 = 0").select("fonte", F.col("l_orderkey").alias("ord"), F.col("l_partkey").cast("string").alias("id"), F.when(F.col("l_quantity") <= 2, "sumiu").alias("erro"))
+    pages = li.select("fonte", F.col("l_orderkey").alias("ord"), F.col("l_partkey").cast("string").alias("id"), F.when(F.col("l_quantity") <= 2, "sumiu").alias("erro"))
     s = merge.run_summary(changes, scans, pages)
     last = F.element_at("avisos", -1)
     return s.select("fonte", "ok", "encontrados", "novos", "atualizados", "removidos", "detalhados", F.size("avisos").alias("avisos"), F.when(last.startswith("..."), last).alias("ultimo"))
