@@ -22,11 +22,10 @@ def market_stats(state: DataFrame, store: Callable[[DataFrame], DataFrame] = lam
     m2 = F.when(F.col("area") > 5, F.col("aluguel") / F.col("area"))
     group = F.concat(stat_family(F.col("tipo")), F.lit(" · "), rooms, F.lit(" quartos")).alias("grupo")
     both = F.array(F.struct(F.lit("aluguel").alias("medida"), F.col("aluguel").alias("x")), F.struct(F.lit("m2").alias("medida"), m2.alias("x")))
-    values = store(rows.select(group, F.inline(both)))
-    found = exact_quantiles(values, ["grupo", "medida"], "x", [0.25, 0.5, 0.75], store)
+    found = exact_quantiles(rows.select(group, F.inline(both)), ["grupo", "medida"], "x", [0.25, 0.5, 0.75], store)
     q = lambda of, p: F.max(F.when((F.col("medida") == of) & (F.col("p") == p), half_up(F.round("q", 8), 2)))  # noqa: E731  interpolation noise must not decide a half
-    table = found.groupBy("grupo").agg(q("aluguel", 0.25).alias("p25"), q("aluguel", 0.5).alias("mediana"), q("aluguel", 0.75).alias("p75"), q("m2", 0.5).alias("mediana_m2"))
-    return values.where("medida = 'aluguel'").groupBy("grupo").agg(F.count(F.lit(1)).alias("n")).join(table, "grupo").select("grupo", "n", "p25", "mediana", "p75", "mediana_m2")
+    n = F.max(F.when(F.col("medida") == "aluguel", F.col("n"))).alias("n")
+    return found.groupBy("grupo").agg(n, q("aluguel", 0.25).alias("p25"), q("aluguel", 0.5).alias("mediana"), q("aluguel", 0.75).alias("p75"), q("m2", 0.5).alias("mediana_m2"))
 
 
 def sorted_stats(stats: DataFrame) -> DataFrame:
