@@ -5,7 +5,7 @@ identity group, counterfactuals are made by swapping the group for others of its
 penalises the squared change of the score's logit between a text and its counterfactuals, so
 that neutral mentions of a group carry no weight of their own.
 
-Training is bounded: at most ``sample`` labelled rows, by a hash of id, text and label. Executors
+Training is bounded: at most ``sample`` labelled rows, by a hash of id and text. Executors
 count their n-grams and keep at most ``FEATURES``; only these come to the driver, as integers. The
 model is ``2**BITS`` weights, of which as many are not zero, and is broadcast. Scoring is one pass over whole texts, no shuffle.
 
@@ -99,7 +99,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, fair: float = FAIR) -> Mode
     spark = labelled.sparkSession
     rows = labelled.where("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     n = rows.select("toxic").count()
-    part = bounded(rows.withColumn("_all", F.lit(0)), ["doc_id", "text", "toxic"], "_all", {0: sample}, {0: n}).drop("_all")
+    part = bounded(rows.withColumn("_all", F.lit(0)), ["doc_id", "text"], "_all", {0: sample}, {0: n}).drop("_all")
     part = stored(part.repartition(PARTS), "labelled")  # ``sample`` rows at most
     count = part.agg(F.count_if(F.col("toxic") > 0).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     if not 0 < count["pos"] < count["n"]:
