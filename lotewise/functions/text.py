@@ -288,7 +288,11 @@ def make_contact(role: str, name: Column, phone: Column, whatsapp: Column | None
             F.lit("creci"), _none(F.trim(creci if creci is not None else null)),
         )
 
-    return bind(parse_phone(phone, ddd), lambda tel: bind(parse_phone(whatsapp if whatsapp is not None else null, ddd), lambda wa: contact(tel, wa)))
+    if whatsapp is None:
+        return bind(parse_phone(phone, ddd), lambda tel: contact(tel, F.lit(None).cast("struct<exibicao:string,e164:string>")))
+    if whatsapp is phone:  # one number, parsed once
+        return bind(parse_phone(phone, ddd), lambda tel: contact(tel, tel))
+    return bind(parse_phone(phone, ddd), lambda tel: bind(parse_phone(whatsapp, ddd), lambda wa: contact(tel, wa)))
 
 
 def contact_key(c: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import merge
 from ..sources import captured, details, platforms, scan
 from ..sources.pages import json_ld, next_data
-from ..sources.shared import shared_folder, stored
+from ..sources.shared import once, shared_folder, stored
 from .facade import table
 from .queries import query
 
@@ -19,9 +19,19 @@ def _br(c: str) -> str:
     return f"translate(format_number({c}, 2), ',.', '.,')"
 
 
+#: Captures that one task parses: rows of the tables are a few bytes each, so a file that Spark takes for one task can hold a million pages.
+CAPTURES = 8192
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out evenly, ``CAPTURES`` a partition, however their files are cut; they are counted from the files' footers."""
+    return rows.repartition(max(1, -(-rows.count() // CAPTURES)))
+
+
 def _captures(spark: SparkSession, sf_dir: str, html: str) -> DataFrame:
     """One capture a part."""
-    return table(spark, sf_dir, "part").selectExpr("concat('', p_partkey) AS id", "'sai' AS fonte", "'Casa Boa Imóveis' AS fonte_nome", "'https://sai.example' AS base", f"{html} AS html", "p_partkey AS page")
+    rows = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"))
+    return once(rows.selectExpr("concat('', p_partkey) AS id", "'sai' AS fonte", "'Casa Boa Imóveis' AS fonte_nome", "'https://sai.example' AS base", f"{html} AS html", "p_partkey AS page"))
 
 
 def _join(c: str) -> Column:
@@ -112,8 +122,9 @@ _SITE = f"'Imob Teste/', {_MOBILE}, '/', {_E164}, '/a@b.c|Imob Teste/', {_PHONE}
 def msys_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City pages: the agency's contacts, the characteristic dictionary, and the id of a city by name or else the first of a list."""
     pages = _captures(spark, sf_dir, _TEMPLATE).withColumns({"fonte": F.col("id"), "fonte_nome": F.lit("Imob Teste")})
-    t = F.try_variant_get(next_data(F.col("html")), "$.props.initialProps.pageProps.template", "variant")
-    city = pages.select(F.col("id").alias("fonte"), platforms.msys_place(t, F.lit("Botucatu")).alias("cidade"), F.when(F.col("page") % 2 == 0, platforms.msys_place(t, F.lit("Bauru"))).alias("outra"))
+    read = once(pages.select("id", "page", F.try_variant_get(next_data(F.col("html")), "$.props.initialProps.pageProps.template", "variant").alias("t")))
+    t = F.col("t")
+    city = read.select(F.col("id").alias("fonte"), platforms.msys_place(t, F.lit("Botucatu")).alias("cidade"), F.when(F.col("page") % 2 == 0, platforms.msys_place(t, F.lit("Bauru"))).alias("outra"))
     site = platforms.msys_site(pages).withColumnRenamed("site_contatos", "contatos")
     return site.join(city, "fonte").select(F.col("fonte").alias("id"), "imob", _people("nome", "telefone", "whatsapp", "email"), F.array_join(F.transform("site_nomes", lambda x: x["nome"]), "|").alias("nomes"), "cidade", "outra")
 

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import infer_furnished, infer_guarantees, infer_pet, map_type
-from ..functions.text import clean_multiline, compute_total, dedupe_contacts, fix_upper_case, half_up, html_to_text, inline, make_contact, parse_brl, parse_coord, parse_int, positive_or_null, preposition, slugify, strip_accents, uniq
+from ..functions.text import bind, clean_multiline, compute_total, dedupe_contacts, fix_upper_case, half_up, html_to_text, inline, make_contact, parse_brl, parse_coord, parse_int, positive_or_null, preposition, slugify, strip_accents, uniq
 from ..operators.merge import default_row
 from ..schema import CONTACT
 from .pages import json_ld, next_data, widget_state
+from .shared import once
 
 #: Characteristic ids of the msys API (fixed values).
 MSYS_IDS = {"built": 1, "total": 2, "bedrooms": 5, "suites": 6, "bathrooms": 7, "garages": 12, "furnished": 27, "usable": 95, "all_bathrooms": 176, "pet": 194, "semi": 467, "no_pet": 621}
@@ -104,7 +105,7 @@ def msys_contacts(info: Column, name: Column, ddd: str | None = None) -> Column:
     phones = F.flatten(F.transform(F.filter(F.array(text(info, "$.phone"), text(info, "$.phone2")), lambda p: F.trim(p) != ""), lambda p: F.split(p, "[|/;]| e ")))
     out = F.concat(F.transform(whats, lambda w: make_contact("imobiliaria", name, w, whatsapp=w, email=email, ddd=ddd)), F.transform(phones, lambda p: make_contact("imobiliaria", name, p, email=email, ddd=ddd)))
     bare = F.array(make_contact("imobiliaria", name, F.lit(None).cast("string"), email=email))
-    return _contacts(F.when(F.size(out) > 0, out).otherwise(bare))
+    return _contacts(bind(out, lambda some: F.when(F.size(some) > 0, some).otherwise(bare)))
 
 
 def msys_names(template: Column) -> Column:
@@ -118,7 +119,7 @@ def _template(html: Column) -> Column:
 
 def msys_site(pages: DataFrame) -> DataFrame:
     """Captured city pages (column ``html``, one a source) to (fonte, imob, site_contatos, site_nomes), as ``msys`` takes them."""
-    t = pages.select("fonte", "fonte_nome", _template(F.col("html")).alias("t"))
+    t = once(pages.select("fonte", "fonte_nome", _template(F.col("html")).alias("t")))
     return t.select("fonte", F.try_variant_get("t", "$.imob", "string").alias("imob"), msys_contacts(F.try_variant_get("t", "$.imobInfo", "variant"), F.col("fonte_nome")).alias("site_contatos"), msys_names(F.col("t")).alias("site_nomes"))
 
 
@@ -149,7 +150,8 @@ def msys(docs: DataFrame, site: DataFrame | None = None, keep: tuple[str, ...] =
 def msys_docs(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """API answers (column ``html``) to documents (``doc``: variant, ``pos``), as ``msys`` takes them."""
     docs = F.try_variant_get(F.try_parse_json("html"), "$.response.docs", "array<variant>")
-    return pages.select("fonte", "fonte_nome", "base", *keep, F.posexplode(docs).alias("pos", "doc")).where(_v("doc", "idtProperty").isNotNull())
+    answers = once(pages.select("fonte", "fonte_nome", "base", *keep, docs.alias("docs")))
+    return answers.select("fonte", "fonte_nome", "base", *keep, F.posexplode("docs").alias("pos", "doc")).where(_v("doc", "idtProperty").isNotNull())
 
 
 def msys_place(template: Column, city: Column) -> Column:
@@ -162,7 +164,7 @@ def msys_place(template: Column, city: Column) -> Column:
 
 def msys_detail(pages: DataFrame, ddd: str | None = None) -> DataFrame:
     """Detail pages (column ``html``) to listings with brokers and characteristics; pages without a property give none."""
-    t = pages.select("fonte", "fonte_nome", "base", _template(F.col("html")).alias("t")).withColumn("doc", F.try_variant_get("t", "$.data.property", "variant")).where("doc IS NOT NULL AND NOT is_variant_null(doc)")
+    t = once(pages.select("fonte", "fonte_nome", "base", _template(F.col("html")).alias("t")).withColumn("doc", F.try_variant_get("t", "$.data.property", "variant"))).where("doc IS NOT NULL AND NOT is_variant_null(doc)")
     t = t.withColumns({"site_contatos": msys_contacts(F.try_variant_get("t", "$.imobInfo", "variant"), F.col("fonte_nome"), ddd), "site_nomes": msys_names(F.col("t"))})
     s = lambda v, p: F.try_variant_get(v, p, "string")
     own = F.concat(*[_list(F.try_parse_json(s(F.col("doc"), f"$.{f}")), "$") for f in ("jsonCharacteristics", "jsonCondominiumCharacteristics")])
@@ -227,10 +229,11 @@ def ksi(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     agency = _contacts(F.transform(F.slice(ksi_phones(F.col("html")), 1, 2), lambda p: make_contact("imobiliaria", F.col("fonte_nome"), p)))
     from_page = [c for c in keep if c != "pos"]
     parts = F.split("html", KSI_CARD)
-    cards = pages.select("fonte", "fonte_nome", "base", *from_page, agency.alias("contatos"), F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(0)))).alias("pos", "card"))
+    cut = once(pages.select("fonte", "fonte_nome", "base", *from_page, agency.alias("contatos"), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(0))).alias("cards")))
+    cards = cut.select("fonte", "fonte_nome", "base", *from_page, "contatos", F.posexplode("cards").alias("pos", "card"))
     x = lambda p, g=1: F.nullif(F.regexp_extract("card", p, g), F.lit(""))
     count = lambda p: half_up(parse_brl(x(p))).cast("int")
-    cards = cards.withColumns({"href": x(r'href="((?:/)?alugar/[^"]+?/\d+)"'), "code": x(r"(?i)C(?:&oacute;|ó)d\.\s*<strong>\s*([\w-]+)\s*</strong>"), "place": inline(html_to_text(x(r'(?s)card-bairro-cidade-texto">(.*?)</div>'))), "texto": html_to_text(x(r'(?s)<div class="card-texto">\s*<p>(.*?)</p>'))})
+    cards = once(cards.withColumns({"href": x(r'href="((?:/)?alugar/[^"]+?/\d+)"'), "code": x(r"(?i)C(?:&oacute;|ó)d\.\s*<strong>\s*([\w-]+)\s*</strong>"), "place": inline(html_to_text(x(r'(?s)card-bairro-cidade-texto">(.*?)</div>'))), "texto": html_to_text(x(r'(?s)<div class="card-texto">\s*<p>(.*?)</p>'))}))
     segs = F.split(F.regexp_replace("href", "^/", ""), "/")
     seg = lambda i: F.regexp_replace(F.get(segs, F.lit(i)), "-+", " ")
     id_ = F.coalesce("code", F.regexp_extract("href", r"/(\d+)$", 1))
@@ -262,7 +265,8 @@ def aggregator_total(html: Column) -> Column:
 def aggregator(pages: DataFrame, city_slug: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """List pages of the aggregator (column ``html``): offers of the page's JSON-LD that are rentals in the city."""
     from_page = [c for c in keep if c != "pos"]
-    offers = pages.select("fonte", *from_page, F.posexplode(F.try_variant_get(offer_list(F.col("html")), "$.offers.itemListElement", "array<variant>")).alias("pos", "o"))
+    lists = once(pages.select("fonte", *from_page, F.try_variant_get(offer_list(F.col("html")), "$.offers.itemListElement", "array<variant>").alias("offers")))
+    offers = lists.select("fonte", *from_page, F.posexplode("offers").alias("pos", "o"))
     s = lambda p: _v("o", p)
     url = F.coalesce(s("url"), s('itemOffered["@id"]'))
     offers = offers.withColumn("link", url).where(F.contains("link", F.lit("-para-alugar-")) & F.contains("link", F.lit(f"-{city_slug}-")) & F.col("link").rlike(r"/id-\d+"))
@@ -298,13 +302,15 @@ def kenlo(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """List pages (column ``html``): rows of the page's embedded state, with the agency's contacts."""
     from_page = [c for c in keep if c != "pos"]
     state = pages.select("fonte", "fonte_nome", "base", *from_page, widget_state(F.col("html"), "listings").alias("state"))
-    d = state.select("fonte", "fonte_nome", "base", *from_page, kenlo_contacts(F.col("state"), F.col("fonte_nome")).alias("contatos"), F.posexplode(F.try_variant_get("state", "$.settings.listings.data", "array<variant>")).alias("pos", "d"))
+    data = F.try_variant_get("state", "$.settings.listings.data", "array<variant>")
+    read = once(state.select("fonte", "fonte_nome", "base", *from_page, kenlo_contacts(F.col("state"), F.col("fonte_nome")).alias("contatos"), data.alias("data")))
+    d = read.select("fonte", "fonte_nome", "base", *from_page, "contatos", F.posexplode("data").alias("pos", "d"))
     return _kenlo(d, keep)
 
 
 def kenlo_detail(pages: DataFrame) -> DataFrame:
     """Detail pages (column ``html``) to listings with brokers, fees and place; pages without a listing give none."""
-    state = pages.select("fonte", "fonte_nome", "base", widget_state(F.col("html"), "listing-details").alias("state")).withColumn("d", F.try_variant_get("state", "$.settings.listing[0]", "variant")).where("d IS NOT NULL")
+    state = once(pages.select("fonte", "fonte_nome", "base", widget_state(F.col("html"), "listing-details").alias("state")).withColumn("d", F.try_variant_get("state", "$.settings.listing[0]", "variant"))).where("d IS NOT NULL")
     s = lambda v, p: F.try_variant_get(v, p, "string")
     agency = kenlo_contacts(F.col("state"), F.col("fonte_nome"))
     whats = lambda b: F.coalesce(s(b, "$.broker_whatsapp") != "false", F.lit(True))
