@@ -170,15 +170,36 @@ class Reader(DataSourceReader):
             out += [r for r in requests(source, Ask(**self.ask)) if f"page={r.page}" in there]
         return out
 
-    def read(self, request: Request) -> Iterator[tuple]:
-        import pyarrow.dataset as ds
+    def read(self, request: Request) -> Iterator:
+        """The answers as Arrow batches: a page may be as long as a source is large, and is handed on without a copy of its text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
         store, root = self._folder()
-        found = ds.dataset(f"{root}/fonte={request.fonte}/page={request.page}", filesystem=store, format="parquet")
-        body = ds.field("corpo")
-        same = (ds.field("url") == request.url) & (body.is_null() if request.corpo is None else body == request.corpo)
-        for r in found.to_table(columns=["status", "html"], filter=same).to_pylist():
-            yield (request.fonte, request.plataforma, request.fonte_nome, request.base, request.caminho, request.page, self.ask["cidade"], self.ask.get("aluguel_max"), request.tipo, request.url, request.corpo, r["status"], r["html"])
+        told = (request.fonte, request.plataforma, request.fonte_nome, request.base, request.caminho, request.page, self.ask["cidade"], self.ask.get("aluguel_max"), request.tipo, request.url, request.corpo)
+        text, whole, real = pa.string(), pa.int32(), pa.float64()
+        kinds = (text, text, text, text, text, whole, text, real, text, text, text)
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        for info in store.get_file_info(fs.FileSelector(f"{root}/fonte={request.fonte}/page={request.page}", recursive=True)):
+            if info.type != fs.FileType.File or not info.size or info.base_name.startswith(("_", ".")):
+                continue
+            with store.open_input_file(info.path) as source:
+                file = pq.ParquetFile(source, pre_buffer=False)
+                for group in range(file.num_row_groups):
+                    keys = file.read_row_group(group, columns=["url", "corpo", "status"], use_threads=False)
+                    body = keys["corpo"]
+                    same = pc.and_kleene(pc.equal(keys["url"], request.url), pc.is_null(body) if request.corpo is None else pc.equal(body, request.corpo))
+                    wanted = [i for i, x in enumerate(same.to_pylist()) if x]
+                    at = 0
+                    # answers are long: only a group that has a wanted one is read, a row at a time
+                    for page in file.iter_batches(batch_size=1, row_groups=[group], columns=["html"], use_threads=False) if wanted else ():
+                        if at in wanted:
+                            status = pa.array([keys["status"][at].as_py()], whole)
+                            yield pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(told, kinds, strict=True)), status, page.column(0).cast(text)], names=names)
+                        at += 1
+        pa.default_memory_pool().release_unused()  # a worker goes on to other pages
 
 
 class CapturedPages(DataSource):
